@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .mixing import mix_sources
 from .sharding import shard_documents
+from .token_files import read_token_files, write_token_files
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,30 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in packed files, read back."""
+    path, files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocab=50_257)
+    return read_token_files(spark, path, files)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back by the salvage reader."""
+    path, files = write_warc(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return read_warc(spark, path, files, payload=False).where("kind = 'record'").select(
+        F.col("record_id").try_cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_token_files": op2_token_files,
         "op4_mixing": op4_mixing,
+        "op7_warc": op7_warc,
     }
 
 
