@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .block_topk import top_products
+from .hnsw import nearest
 from .mixing import mix_sources
 from .sharding import shard_documents
 from .token_files import read_token_files, write_token_files
@@ -46,14 +48,42 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query vector's ten nearest, by graph search."""
+    return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query vector's ten largest integer inner products."""
+    return top_products(_table(spark, sf_dir, "embeddings"), k=10, scale=1024, every=100)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_token_files": op2_token_files,
         "op4_mixing": op4_mixing,
         "op7_warc": op7_warc,
+        "op9_nearest": op9_nearest,
+        "op10_top_products": op10_top_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_top_products": OP10_SQL}
