@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a bucket, about, and how many buckets meet in the next level of the tree.
+#: Rows of a bucket at most, about, and how many buckets meet in the next level of the tree; a source has as many at least.
 BUCKET_ROWS = 20_000
 FAN_IN = 64
 WEIGHTS = (3, 1, 2)
@@ -119,7 +119,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     totals = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sizes = {r["source"]: r["words"] for r in totals}
     targets = source_targets(sizes, weights, share, most)
-    buckets = 1
+    buckets = FAN_IN
     while buckets * BUCKET_ROWS < max((r["n"] for r in totals), default=0):
         buckets *= FAN_IN
     table = spark.createDataFrame(
