@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .block_topk import top_products
+from .byte_cnn import fit_quality, quality
 from .hnsw import nearest
+from .labelled import held_out
 from .mixing import mix_sources
 from .sharding import shard_documents
+from .storage import short_batches
+from .string_kernel import fit_languages, language
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
@@ -36,6 +40,25 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, files)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every whole text; the model never sees labels of held-out ids."""
+    short_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 3, 1)
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), ~out)
+    scored = docs.select("doc_id", out.alias("held_out"), quality(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; the model never sees held-out documents."""
+    short_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = fit_languages(docs, ~out)
+    return docs.select("doc_id", out.alias("held_out"), language(model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back by the salvage reader."""
     path, files = write_warc(_table(spark, sf_dir, "pages"), min_bytes=0)
@@ -78,7 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_token_files": op2_token_files,
+        "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
+        "op6_language": op6_language,
         "op7_warc": op7_warc,
         "op9_nearest": op9_nearest,
         "op10_top_products": op10_top_products,
