@@ -32,13 +32,13 @@ from .storage import forget, fresh_path, put_file, saved, short_batches
 MAGIC = b"RANS0001"
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 1024
 CHECKPOINT = 128
 #: Tokens of a block and bytes of a file, about; a block holds whole documents.
-BLOCK_TOKENS = 131_072
+BLOCK_TOKENS = 524_288
 FILE_BYTES = 8 << 20
 #: Words that a worker remembers the ids of; beyond it starts afresh.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 1_000_000
 END_ID = 2
 
 
@@ -182,7 +182,6 @@ class TextEncoder:
     run of white space and the ids of the parts put together. Special tokens' strings are ordinary text.
     """
 
-    ODD = re.compile(r"\s\s|[^\S \n]")
     CONTROL = re.compile(r"[\x1c-\x1f]")
     UNIT = re.compile(r"\s*\S+|\s+")
 
@@ -193,14 +192,39 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.kind = kind
+        # the letters that stand for bytes in the vocabulary, read off the pre-tokenizer itself
+        latin = [chr(b) for b in range(0x80, 0x100)]
+        forms = {c: self.split.pre_tokenize_str(c)[0][0] for c in latin if c.isalpha()}
+        self.byte_letters = {b: f for c, f in forms.items() for b, f in zip(c.encode(), f, strict=True)}
+        self.letters = re.compile("[" + re.escape("".join(c for c in forms)) + "A-Za-z]+").fullmatch
         self.units = _Remembered(self.ids_of)
-        self.words = _Remembered(lambda w: self.ids_of(f" {w}"))
+        self.words = _Remembered(self._word)
+        self.pack = struct.Struct(np.dtype(kind).str.replace("u2", "H").replace("u4", "I")).pack
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """The only white space is single spaces and single line ends."""
+        return text.replace("\n", "").isprintable() and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
 
     def ids_of(self, unit: str) -> bytes:
-        return np.array([t.id for piece, _ in self.split.pre_tokenize_str(unit) for t in self.model.tokenize(piece)], self.kind).tobytes()
+        return b"".join([self._piece(piece) for piece, _ in self.split.pre_tokenize_str(unit)])
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self.pack(t.id) for t in self.model.tokenize(piece)])
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word with the space before it; marks after letters and lines are pieces of their own."""
+        if self.letters(word):
+            return self._piece("\u0120" + word.encode().decode("latin-1").translate(self.byte_letters))
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.units[word[-1]]
+        first, line, rest = word.partition("\n")
+        if line and first and rest:
+            return self.words[first] + self.units["\n"] + (self.units[rest] if "\n" not in rest else self.ids_of(rest))
+        return self.ids_of(f" {word}")
 
     def encode(self, text: str) -> bytes:
-        if not self.ODD.search(text):
+        if self._plain(text):
             first, *words = text.split(" ")
             return (self.units[first] if first else b"") + b"".join(map(self.words.__getitem__, words))
         if self.CONTROL.search(text):
@@ -220,11 +244,21 @@ class _Remembered(dict):
         return value
 
 
+_encoders: dict[tuple[str, str], TextEncoder] = {}
+
+
+def text_encoder(path: str, kind: str) -> TextEncoder:
+    """The worker's own encoder: what it remembers serves the tasks that follow."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = TextEncoder(path, kind)
+    return _encoders[path, kind]
+
+
 def _blocks(tokenizer_path: str, kind: str, end_id: int):
     """Documents of a sorted partition to rows of whole documents with about BLOCK_TOKENS ids."""
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = TextEncoder(tokenizer_path, kind)
+        coder = text_encoder(tokenizer_path, kind)
         part, width = TaskContext.get().partitionId(), np.dtype(kind).itemsize
         end = np.array([end_id], kind).tobytes()
         block, docs, lens, ids, tokens = 0, [], [], [], 0
