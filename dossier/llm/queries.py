@@ -12,6 +12,7 @@ from .byte_cnn import fit_quality, quality
 from .hnsw import nearest
 from .labelled import held_out
 from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .sharding import shard_documents
 from .storage import short_batches
 from .string_kernel import fit_languages, language
@@ -71,6 +72,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of four-word shingles are 80 % alike."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query vector's ten nearest, by graph search."""
     return nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op6_language": op6_language,
         "op7_warc": op7_warc,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_nearest": op9_nearest,
         "op10_top_products": op10_top_products,
     }
