@@ -13,6 +13,7 @@ from .hnsw import nearest
 from .labelled import held_out
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .piece_sampling import sample_pieces
 from .sharding import shard_documents
 from .storage import short_batches
 from .string_kernel import fit_languages, language
@@ -51,6 +52,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every whole text, with inclusion scores, decoded again."""
+    return sample_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text; the model never sees held-out documents."""
     short_batches(spark)
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
         "op4_mixing": op4_mixing,
+        "op5_pieces": op5_pieces,
         "op6_language": op6_language,
         "op7_warc": op7_warc,
         "op8_near_duplicates": op8_near_duplicates,
