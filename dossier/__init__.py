@@ -1,0 +1 @@
+"""Evidence held in documents: validity, retrieval, text, evaluation and ingestion as DataFrame operators."""
