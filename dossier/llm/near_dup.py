@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     full = saved(texts.mapInPandas(_sketches(words), "id bigint, n bigint, sig binary, sketch array<bigint>"), "sketches")
-    reps = full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep"))
+    # a table of its own: then the join's sides are both shuffled for it, and Spark can split a hot set of copies
+    reps = saved(full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep")), "reps")
     members = saved(full.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", "rep", "sig"), "members")
     ids = members.where(F.col("id") == F.col("rep")).select("id", "sig").distinct()
     nodes = full.join(ids, ["id", "sig"]).dropDuplicates(["sig"]).select("id", "n", "sketch")
