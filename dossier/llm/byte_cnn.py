@@ -27,8 +27,8 @@ PIECE = 1 << 19
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts, each filled with zero bytes to whole half chunks (one at least), and the half chunks of each."""
-    halves = np.array([max(1, -(-len(t) // HALF)) for t in texts], np.int64)
+    """The texts, each filled with a window of zero bytes at least to whole half chunks, and the half chunks of each."""
+    halves = np.array([-(-(len(t) + WINDOW) // HALF) for t in texts], np.int64)
     buffer = np.zeros(int(halves.sum()) * HALF + WINDOW, np.uint8)
     at = 0
     for t, h in zip(texts, halves, strict=True):
@@ -55,9 +55,14 @@ class ByteCNN:
         self.p["bytes"][0] = 0
         self.rng = rng
 
-    def half_pools(self, buffer: np.ndarray, place: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """The largest value of each filter over the windows that begin in each half chunk, and where (if asked)."""
-        n = (len(buffer) - WINDOW) // HALF
+    def half_pools(self, buffer: np.ndarray, halves: np.ndarray, place: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The largest value of each filter over the windows that begin in each half chunk, and where (if asked).
+
+        Windows that would reach into the next text are left out; the filling before them is all they have of their own.
+        """
+        n = int(halves.sum())
+        last = np.zeros(n, bool)
+        last[np.cumsum(halves) - 1] = True
         pools, where = np.full((n, FILTERS), -np.inf, np.float32), np.zeros((n, FILTERS), np.int64)
         for at in range(0, n, PIECE // HALF):
             k = min(PIECE // HALF, n - at)
@@ -65,6 +70,8 @@ class ByteCNN:
             for phase in range(0, WINDOW, STRIDE):
                 rows = x[phase : phase + k * HALF].reshape(k * HALF // WINDOW, WINDOW * WIDTH)
                 out = (rows @ self.p["filters"]).reshape(k, HALF // WINDOW, FILTERS)
+                if phase:
+                    out[last[at : at + k], -1] = -np.inf
                 if place:
                     arg = out.argmax(axis=1)
                     top = np.take_along_axis(out, arg[:, None, :], axis=1)[:, 0]
@@ -100,13 +107,13 @@ class ByteCNN:
         if not texts:
             return np.zeros(0)
         buffer, halves = padded(texts)
-        pools, _ = self.half_pools(buffer)
+        pools, _ = self.half_pools(buffer, halves)
         z, _ = self.document_features(pools, halves, np.array([len(t) for t in texts]))
         return self.head(z)[0].astype(np.float64)
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         buffer, halves = padded(texts)
-        pools, where = self.half_pools(buffer, place=True)
+        pools, where = self.half_pools(buffer, halves, place=True)
         z, kept = self.document_features(pools, halves, np.array([len(t) for t in texts]))
         prob, h = self.head(z)
         g: dict[str, np.ndarray] = {}
