@@ -199,6 +199,7 @@ class TextEncoder:
         self.letters = re.compile("[" + re.escape("".join(c for c in forms)) + "A-Za-z]+").fullmatch
         self.units = _Remembered(self.ids_of)
         self.words = _Remembered(self._word)
+        self.starts = _Remembered(self._start)
         self.pack = struct.Struct(np.dtype(kind).str.replace("u2", "H").replace("u4", "I")).pack
 
     @staticmethod
@@ -213,20 +214,28 @@ class TextEncoder:
         return b"".join([self.pack(t.id) for t in self.model.tokenize(piece)])
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word with the space before it; marks after letters and lines are pieces of their own."""
+        """The ids of a word with the space before it."""
+        return self._marked(word, "\u0120", self.words, " ")
+
+    def _start(self, word: str) -> bytes:
+        """The ids of a word that begins a line."""
+        return self._marked(word, "", self.starts, "")
+
+    def _marked(self, word: str, before: str, known: "_Remembered", space: str) -> bytes:
+        """Letters are one piece with the space before them; a mark after letters is a piece of its own."""
         if self.letters(word):
-            return self._piece("\u0120" + word.encode().decode("latin-1").translate(self.byte_letters))
+            return self._piece(before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_letters)))
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.units[word[-1]]
-        first, line, rest = word.partition("\n")
-        if line and first and rest:
-            return self.words[first] + self.units["\n"] + (self.units[rest] if "\n" not in rest else self.ids_of(rest))
-        return self.ids_of(f" {word}")
+            return known[word[:-1]] + self.units[word[-1]]
+        return self.ids_of(space + word)
+
+    def _line(self, line: str) -> bytes:
+        first, *words = line.split(" ")
+        return (self.starts[first] if first else b"") + b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self._plain(text):
-            first, *words = text.split(" ")
-            return (self.units[first] if first else b"") + b"".join(map(self.words.__getitem__, words))
+            return self.units["\n"].join(map(self._line, text.split("\n")))
         if self.CONTROL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.units.__getitem__, self.UNIT.findall(text)))
