@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .storage import saved, short_batches
+from .storage import forget, saved, short_batches
 
 SKETCH = 160
 #: Cells of the table of how often sketch values occur: a bound of what is broadcast, whatever the corpus.
@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # a table of its own: then the join's sides are both shuffled for it, and Spark can split a hot set of copies
     reps = saved(full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep")), "reps")
     members = saved(full.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", "rep", "sig"), "members")
+    forget(reps)
     ids = members.where(F.col("id") == F.col("rep")).select("id", "sig").distinct()
     nodes = full.join(ids, ["id", "sig"]).dropDuplicates(["sig"]).select("id", "n", "sketch")
 
@@ -195,6 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     listed = saved(listed, "listed")
     lists = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1)
     shared = saved(listed.join(lists, "v"), "shared")
+    forget(listed)
 
     stars = shared.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = saved(_verified(stars, full, texts, words, percent), "star-links")
@@ -204,6 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     left = shared.join(first, "id", "left").select("v", "id", "size", "pivot", F.coalesce("component", "id").alias("component"))
     open_lists = left.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = saved(left.join(open_lists.select("v"), "v"), "open-lists")
+    forget(shared)
 
     short = left.where(F.col("size") <= SHORT_LIST).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "component", "pivot"))).alias("m"))
     short = short.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
@@ -225,6 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     edges = links.unionByName(more).unionByName(blocks)
     final = components(edges, "components").withColumnRenamed("id", "rep")
+    forget(full)
+    forget(left)
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
     found = members.join(final, "rep", "left").select("id", "n", component.alias("component"))
     # an id with several texts: one component for all
