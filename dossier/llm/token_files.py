@@ -200,18 +200,13 @@ class TextEncoder:
         self.units = _Remembered(self.ids_of)
         self.words = _Remembered(self._word)
         self.starts = _Remembered(self._start)
-        self.pack = struct.Struct(np.dtype(kind).str.replace("u2", "H").replace("u4", "I")).pack
-
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """The only white space is single spaces and single line ends."""
-        return text.replace("\n", "").isprintable() and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+        self.packed = _Remembered(struct.Struct(np.dtype(kind).str.replace("u2", "H").replace("u4", "I")).pack)
 
     def ids_of(self, unit: str) -> bytes:
         return b"".join([self._piece(piece) for piece, _ in self.split.pre_tokenize_str(unit)])
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.pack(t.id) for t in self.model.tokenize(piece)])
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(piece)])
 
     def _word(self, word: str) -> bytes:
         """The ids of a word with the space before it."""
@@ -223,24 +218,37 @@ class TextEncoder:
 
     def _marked(self, word: str, before: str, known: "_Remembered", space: str) -> bytes:
         """Letters are one piece with the space before them; a mark after letters is a piece of its own."""
+        if not word:
+            raise _OtherSpaces
+        if word.isascii() and word.isalpha():
+            return self._piece(before + word)
         if self.letters(word):
-            return self._piece(before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_letters)))
+            return self._piece(before + word.encode().decode("latin-1").translate(self.byte_letters))
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             return known[word[:-1]] + self.units[word[-1]]
         return self.ids_of(space + word)
 
     def _line(self, line: str) -> bytes:
-        first, *words = line.split(" ")
-        return (self.starts[first] if first else b"") + b"".join(map(self.words.__getitem__, words))
+        words = line.split(" ")
+        words[0] = self.starts[words[0]]
+        words[1:] = map(self.words.__getitem__, words[1:])
+        return b"".join(words)
 
     def encode(self, text: str) -> bytes:
-        if self._plain(text):
-            return self.units["\n"].join(map(self._line, text.split("\n")))
+        if text.replace("\n", "").isprintable():
+            try:
+                return self.units["\n"].join(map(self._line, text.split("\n")))
+            except _OtherSpaces:
+                pass
         if self.CONTROL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.units.__getitem__, self.UNIT.findall(text)))
 
 
+class _OtherSpaces(Exception):
+    """A text has white space besides single spaces and single line ends."""
+
+
 class _Remembered(dict):
     def __init__(self, make):
         super().__init__()
