@@ -4,6 +4,8 @@ The writer makes one gzip member a record, as the format asks for. Of records wi
 the response, the others point to it. The reader checks each record: the member's own checksum, the version
 line, the headers, the length and the payload digest. After a failed check it searches for the next member
 or version line from which a record can be read, goes on from there, and logs the bytes between as a gap.
+A member of several records is searched in the same way in its inflated bytes, as far as they can be inflated;
+what follows a broken place in the compressed bytes of one member can't be inflated and is part of the gap.
 """
 
 from __future__ import annotations
@@ -34,10 +36,30 @@ READ_SCHEMA = (
 )
 
 
+#: Digest algorithms that the reader checks; others it hands on unchecked.
+ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def digest_fits(told: str, payload: bytes) -> bool | None:
+    """Whether a labelled digest (hex, base32 or base64) is the payload's; null if its algorithm isn't known.
+
+    A digest without a label is taken for SHA-1; what isn't a label and a value doesn't fit.
+    """
+    label, _, value = told.rpartition(":")
+    label, value = label.strip().lower().replace("-", "") or "sha1", value.strip().rstrip("=")
+    if not (label.isascii() and label.isalnum() and value.isascii()):
+        return False
+    if label not in ALGORITHMS or not value:
+        return None
+    raw = hashlib.new(label, payload).digest()
+    base64s = (base64.b64encode(raw), base64.urlsafe_b64encode(raw))
+    return value.lower() == raw.hex() or value.upper() == base64.b32encode(raw).decode().rstrip("=") or value in [x.decode().rstrip("=") for x in base64s]
+
+
 def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """A response record, or a revisit record (the response's headers without the payload) if refers_to is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -61,7 +83,7 @@ class Damaged(ValueError):
 
 
 def parse_record(data: memoryview) -> tuple[dict, int]:
-    """The record at the start of data and its length."""
+    """The record at the start of data and its length; checked says whether a digest vouches for its payload."""
     head_end = bytes(data[: 1 << 16]).find(b"\r\n\r\n")
     if bytes(data[: len(VERSION)]) != VERSION or head_end < 0:
         raise Damaged("no version line" if head_end >= 0 else "no end of headers")
@@ -82,61 +104,116 @@ def parse_record(data: memoryview) -> tuple[dict, int]:
         for x in http.decode("latin-1").split("\r\n"):
             if x.lower().startswith("content-length:") and x.partition(":")[2].strip().isdigit():
                 size = int(x.partition(":")[2])
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and digest and digest_of(payload) != digest:
+    digest = head.get("warc-payload-digest", "")
+    fits = digest_fits(digest, payload) if kind != "revisit" and digest else None
+    if fits is False:
         raise Damaged("digest doesn't match")
+    digest = digest.removeprefix("sha1:")
     bare = lambda k: head[k].removeprefix("<urn:page:").strip("<>") if k in head else None
-    found = {"record_type": kind, "record_id": bare("warc-record-id"), "refers_to": bare("warc-refers-to"), "url": head.get("warc-target-uri")}
+    found = {"record_type": kind, "record_id": bare("warc-record-id"), "refers_to": bare("warc-refers-to"), "url": head.get("warc-target-uri"), "checked": bool(fits)}
     return found | {"payload_bytes": size if kind == "revisit" else len(payload), "payload_digest": digest or digest_of(payload), "payload": None if kind == "revisit" else payload}, end + 4
 
 
-def inflate(data: memoryview) -> tuple[bytes, int]:
-    """The member at the start of data and its compressed length; its checksum holds, or it is damaged."""
+def inflate(data: memoryview) -> tuple[bytes, int, str | None]:
+    """What can be inflated of the member at the start of data, the compressed bytes read, and why it fails, if it does."""
     coder, out, at = zlib.decompressobj(31), [], 0
-    try:
-        while not coder.eof:
-            if at >= len(data):
-                raise Damaged("member ends early")
+    while not coder.eof:
+        if at >= len(data):
+            return b"".join(out), len(data), "member ends early"
+        before = coder.copy()
+        try:
             out.append(coder.decompress(data[at : at + FEED]))
-            at += FEED
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    return b"".join(out), min(at, len(data)) - len(coder.unused_data)
+        except zlib.error as e:
+            try:  # byte by byte, for what comes before the fault
+                for at in range(at, min(at + FEED, len(data))):
+                    out.append(before.decompress(data[at : at + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at + 1, f"member: {e}"
+        at += FEED
+    return b"".join(out), min(at, len(data)) - len(coder.unused_data), None
+
+
+def contents(plain: bytes) -> list[tuple[int, int, dict | str]]:
+    """Start, end and record of all that can be read in the bytes of a member, or the reason instead for what lies between."""
+    view, at, gap, why, found = memoryview(plain), 0, None, "", []
+    while at < len(plain):
+        try:
+            record, size = parse_record(view[at:])
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+            at = plain.find(VERSION, at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if gap is not None:
+            found.append((gap, at, why))
+            gap = None
+        found.append((at, at + size, record))
+        at += size
+    if gap is not None:
+        found.append((gap, len(plain), why))
+    return found
+
 
+def rows_at(data: memoryview) -> tuple[list[dict], int, str | None]:
+    """The records (and gaps between them) of the member at the start of data, or the plain record there.
 
-def records_at(data: memoryview) -> tuple[list[dict], int]:
-    """The records of the member at the start of data, or the plain record there, and the bytes they take."""
+    With them the bytes they take, and the failed check after which only a search can go on, if one failed. A record
+    alone in a member that fails is not given: the member's checksum is its own. Of several, those are given that
+    pass the checks of a plain record; one without a digest to vouch for it says so as its reason.
+    """
     if bytes(data[:3]) != MEMBER:
-        record, size = parse_record(data)
-        return [record], size
-    plain, size = inflate(data)
-    rest, found = memoryview(plain), []
-    while len(rest):
-        record, used = parse_record(rest)
-        found.append(record)
-        rest = rest[used:]
-    return found, size
+        try:
+            record, size = parse_record(data)
+        except Damaged as e:
+            return [], 0, str(e)
+        return [{"kind": "record"} | record], size, None
+    plain, size, fault = inflate(data)
+    parts = contents(plain)
+    records = [x for x in parts if isinstance(x[2], dict)]
+    if not records:
+        return [], size, fault or (parts[0][2] if parts else None)
+    if fault:
+        if len(records) == 1 and records[0][0] == 0 and plain.find(VERSION, records[0][1]) < 0:
+            return [], size, fault
+        parts = parts[: parts.index(records[-1]) + 1]
+    rows = []
+    for start, end, x in parts:
+        if isinstance(x, dict):
+            rows.append({"kind": "record"} | x | ({"reason": f"{fault}; no digest to check"} if fault and not x["checked"] else {}))
+        else:
+            rows.append({"kind": "gap", "reason": f"{x}: bytes {start} to {end} of the member's content"})
+    return rows, size, fault and f"{fault}: from byte {records[-1][1]} of the member's content"
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Every record that can be read, and every gap, in file order."""
+    """Every record that can be read, and every gap, in file order.
+
+    Offset and length are those of the member (as far as it was read) for what is found in one.
+    """
     view, at = memoryview(data), 0
     gap, why = None, None
+    known, until = set(), 0  # records given of a failed member: its bytes are searched again, and may hold them as they are
+    key = lambda r: (r["record_type"], r["record_id"], r["url"], r["payload_digest"], r["payload_bytes"])
     while at < len(data):
-        try:
-            records, size = records_at(view[at:])
-        except Damaged as e:
-            if gap is None:
-                gap, why = at, str(e)
-            nexts = [i for i in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-            at = min(nexts, default=len(data))
-            continue
-        if gap is not None:
+        rows, size, fault = rows_at(view[at:])
+        if at < until:
+            rows = [r for r in rows if r["kind"] == "gap" or key(r) not in known]
+        if gap is not None and rows:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
             gap = None
-        for r in records:
-            yield {"kind": "record", "offset": at, "length": size} | r
-        at += size
+        for r in rows:
+            yield {"offset": at, "length": size} | r
+        if not fault:
+            at += size
+            continue
+        if gap is None:
+            gap, why = at, fault
+        if rows:
+            known, until = {key(r) for r in rows if r["kind"] == "record"}, at + size
+        nexts = [i for i in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if i >= 0]
+        at = min(nexts, default=len(data))
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
 
@@ -185,8 +262,8 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
 def read_warc(spark: SparkSession, path: str, files: DataFrame | None = None, glob: str = "*.warc*", payload: bool = True) -> DataFrame:
     """The records and the gaps of all files in a folder (of those in files, a column name, if given).
 
-    A row has kind record or gap, the file's name, and offset and length of the bytes it came from; gaps have the
-    reason of the first failed check. payload False leaves the payload out (it is checked all the same).
+    A row has kind record or gap, the file's name, and offset and length of the bytes it came from (the whole member
+    for what is found in one); gaps have the reason of the first failed check. payload False leaves the payload out (it is checked all the same).
     Empty files have no rows.
     """
     short_batches(spark)

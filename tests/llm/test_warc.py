@@ -37,6 +37,54 @@ def test_mixed_members_and_plain_records():
     assert ids(RECORDS[0] + W.gzip_member(RECORDS[1]) + RECORDS[2] + W.gzip_member(RECORDS[3] + RECORDS[4])) == list("01234")
 
 
+def test_member_of_several_records():
+    whole = bytearray(b"".join(RECORDS))
+    at = len(RECORDS[0]) + len(RECORDS[1])
+    for place, why in ((at + len(RECORDS[2]) - 9, "digest doesn't match"), (at, "no version line")):
+        bad = bytearray(whole)
+        bad[place] ^= 0xFF
+        member = W.gzip_member(bytes(bad))
+        rows = list(W.salvage(member + W.gzip_member(RECORDS[0])))
+        assert [r.get("record_id") for r in rows] == ["0", "1", None, "3", "4", "5", "0"]
+        assert (rows[2]["offset"], rows[2]["length"]) == (0, len(member))
+        assert rows[2]["reason"] == f"{why}: bytes {at} to {at + len(RECORDS[2])} of the member's content"
+    assert ids(W.gzip_member(bytes(whole) + b"junk")) == list("012345") and len(gaps(W.gzip_member(bytes(whole) + b"junk"))) == 1
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_failed_member_of_several_records(level):
+    payloads = [hashlib.shake_256(bytes([i])).digest(30_000).hex().encode() for i in range(20)]
+    records = [W.record_bytes(str(i), f"http://x/{i}", p, "0" if i == 3 else None) for i, p in enumerate(payloads)]
+    coder = W.zlib.compressobj(level, W.zlib.DEFLATED, 31)
+    member = coder.compress(b"".join(records)) + coder.flush()
+    every, after = [str(i) for i in range(20)], W.gzip_member(RECORDS[5]) + RECORDS[4]
+    summed = bytearray(member)
+    summed[-6] ^= 0xFF  # the checksum
+    for bad in (bytes(summed), member[:-3]):
+        rows = list(W.salvage(bad + after))
+        assert [r["record_id"] for r in rows if r["kind"] == "record"] == [*every, "5", "4"]
+        assert [r["record_id"] for r in rows if r["kind"] == "record" and r.get("reason")] == ["3"]
+        assert [r["kind"] for r in rows].count("gap") == 1
+    half = ids(member[: len(member) // 2] + after)
+    assert sorted(half[-2:]) == ["4", "5"] and half[:-2] == every[: len(half) - 2] and len(half) >= 10
+    broken = bytearray(member)
+    broken[len(member) // 2] ^= 0xFF
+    found = ids(bytes(broken) + after)
+    assert found[:9] == every[:9] and found[-2:] == ["5", "4"] and len(found) == len(set(found[:-2])) + 2
+
+
+@pytest.mark.parametrize("name", ["md5", "sha1", "sha256", "sha-256"])
+def test_digests(name):
+    payload = b"<p>page 0</p>" * 20
+    raw = hashlib.new(name.replace("-", ""), payload).digest()
+    own = f"sha1:{W.digest_of(payload)}".encode()
+    for told in (raw.hex(), raw.hex().upper(), base64.b32encode(raw).decode(), base64.b64encode(raw).decode()):
+        assert ids(RECORDS[0].replace(own, f"{name}:{told}".encode())) == ["0"]
+        assert ids(RECORDS[0].replace(own, f"{name}:{told}".encode()).replace(b"page 0", b"page 7", 1)) == []
+    assert ids(RECORDS[0].replace(own, b"blake9:abc")) == ["0"]
+    assert ids(RECORDS[0].replace(own, hashlib.sha1(payload).hexdigest().encode())) == ["0"]
+
+
 def test_pages(spark):
     html = ["<p>a</p>", None, "", "<p>a</p>", "é" * 50_000, "WARC/1.1\r\n\r\nfake", "<p>a</p>"]
     rows = [(10 - i, None if i == 2 else f"http://h/{i} \r\n", h, "x") for i, h in enumerate(html)] + [(None, "u", "<p>a</p>", "x")]
