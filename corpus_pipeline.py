@@ -40,9 +40,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id; rows with a null id stay."""
+    """One document of each group of near duplicates, that with the least id, with all its texts; rows with a null id stay."""
     kept = saved(near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct(), "kept-ids")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

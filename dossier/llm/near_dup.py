@@ -113,10 +113,10 @@ def _confirmed(words: int, percent: int):
         for batch in batches:
             keep, known = [], {}
             for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if b not in known:  # pairs with one pivot come together
-                    known = {b: shingle_sets([y.encode()], words)[0]}
-                s, t = shingle_sets([x.encode()], words)[0], known[b]
-                keep.append(alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
+                if (b, y) not in known:  # pairs with one pivot come together
+                    known = {(b, y): shingle_sets([y.encode()], words)[0]}
+                s, t = shingle_sets([x.encode()], words)[0], known[b, y]
+                keep.append(len(s) > 0 and alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
             yield batch.loc[keep, ["a", "b"]]
 
     return fn
@@ -152,7 +152,7 @@ def _block_links(words: int, percent: int):
         if not s or not t:
             return pd.DataFrame({"a": [], "b": []})
         nl, nr = np.array([len(x) for x in s]), np.array([len(x) for x in t])
-        ok = alike(overlaps(s, t).astype(np.int64), nl[:, None], nr[None, :], percent)
+        ok = alike(overlaps(s, t).astype(np.int64), nl[:, None], nr[None, :], percent) & (nl[:, None] > 0)
         cl, cr = left["component"].to_numpy(), right["component"].to_numpy()
         x, y = np.nonzero(ok & (cl[:, None] != cr[None, :]))
         return pd.DataFrame({"a": cl[x], "b": cr[y]}).drop_duplicates()
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: in
     side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = saved(near.mapInPandas(_passing(percent), "a bigint, b bigint").distinct(), "near-pairs")
-    text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    text = lambda c: texts.where(F.col("text").isNotNull()).select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     return near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_confirmed(words, percent), "a bigint, b bigint")
 
 
@@ -226,13 +226,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     parts = parts.withColumn("meet", F.explode(meets)).select("id", "component", "cluster", "block", "meet.i", "meet.j")
     blocks = parts.join(texts.where(F.col("text").isNotNull()), "id").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "a bigint, b bigint")
 
-    edges = links.unionByName(more).unionByName(blocks)
-    final = components(edges, "components").withColumnRenamed("id", "rep")
+    # an id with several texts: one component for all
+    members = members.select("id", "n", F.coalesce("rep", "id").alias("node"))
+    several = members.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    own = members.where(F.col("id") != F.col("node")).join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
+
+    edges = links.unionByName(more).unionByName(blocks).unionByName(own)
+    final = components(edges, "components").withColumnRenamed("id", "node")
     forget(full)
     forget(left)
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    found = members.join(final, "rep", "left").select("id", "n", component.alias("component"))
-    # an id with several texts: one component for all
+    found = members.join(final, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),

@@ -76,6 +76,20 @@ def test_null_and_repeated_ids(spark):
     assert out == sorted(map(str, [(None, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]))
 
 
+def test_ids_with_several_texts(spark, monkeypatch):
+    for short in (24, 2):
+        monkeypatch.setattr(near_dup, "SHORT_LIST", short)
+        a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcde")
+        rows = [(3, b), (5, a), (5, b), (5, None), (7, a + " more"), (7, None), (8, d), (9, c), (9, e), (9, ""), (10, a + " and more"), (11, e + " more")]
+        rows += [(13, ""), (13, d + " more"), (14, ""), (15, None), (17, " "), (17, c), (18, a), (18, e + " x")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        out = near_dup.near_duplicates(docs, words=4, percent=80).collect()
+        component, _ = brute(rows, 4, 80)
+        assert len(out) == len(rows) and {component[i] for i in (5, 7, 9, 17, 18)} == {3}
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(i, k, i == k) for i, k in component.items()}
+        assert sorted((r["doc_id"], r["n_shingles"]) for r in out) == sorted((i, len(reference(t, 4))) for i, t in rows)
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -27,6 +27,12 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(str(r["doc_id"]) for r in P.keep_one_of_near_duplicates(spark, docs, FOLDER).collect()) == ["1", "9", "None"]
 
 
+def test_near_duplicate_stage_keeps_all_texts_of_an_id(spark):
+    rows = [(4, "one text of the id, of its own"), (4, "another text of it, with other words"), (4, "one text of the id, of its own"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r["text"]) for r in P.keep_one_of_near_duplicates(spark, docs, FOLDER).collect()) == sorted(map(str, {t for _, t in rows}))
+
+
 def test_mixing_stage_repeats_rows(spark):
     rows = [(i % 40, f"w{i} " * (i % 9 + 1), "en", ["a", "b", None][i % 3], 1) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
