@@ -12,9 +12,11 @@ into consecutive shards so that the largest shard is as small as that order allo
    finer, until every look-up is exact;
 3. the groups are cut there.
 
-A group larger than the fair share of what is left gets a shard of its own first, as it would set the
-capacity for all others. Rows get gapless slots in their shard; the rows of a group are counted in salted
-parts, so a text that a third of the rows share is not one task's work.
+The order begins with the groups larger than the fair share of what is left, the largest first; each is a shard of
+its own, as it would set the capacity for all others. The shards are consecutive runs of that order, and the search
+covers all groups after the giants. Rows get gapless slots in their shard. Rows that repeat an id and a text are one
+entry with a number; the entries of a group are counted in salted parts, so neither a text nor an id that a third of the
+rows share is one task's work.
 """
 
 from __future__ import annotations
@@ -31,15 +33,18 @@ from .storage import saved
 BLOCKS = 8192
 #: Groups in a bucket of the prefix sums, and rows in a salted part of a group, about.
 PART_ROWS = 50_000
+#: Repeats of one row that are written out together.
+REPEATS = 10_000
 
 
 @dataclass(frozen=True)
 class Block:
-    """A range of prefix sums: the least, the largest and how many."""
+    """A range of prefix sums: the least, the largest, how many, and the number of its part in the table."""
 
     low: int
     high: int
     n: int
+    part: int
 
 
 class Summary:
@@ -94,40 +99,30 @@ class Summary:
         return sorted(found, key=lambda b: b.low)
 
 
-def _summarise(prefix: DataFrame, ranges: list[tuple[int, int]], blocks: int) -> list[Block]:
-    """Least, largest and number of the prefix sums in equal parts of the ranges; one small row a part."""
-    step = max(1, -(-sum(b - a + 1 for a, b in ranges) // blocks))
-    part: Column = F.lit(None).cast("bigint")
-    for k, (a, b) in enumerate(ranges):
-        inside = F.col("high").between(a, b)
-        part = F.when(inside, F.lit(k * (1 << 40)) + F.floor((F.col("high") - a) / step)).otherwise(part)
-    rows = (
-        prefix.select("high", part.alias("part"))
-        .where(F.col("part").isNotNull())
-        .groupBy("part")
-        .agg(F.min("high").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
-        .collect()
-    )
-    return [Block(r["low"], r["high"], r["n"]) for r in rows]
+def _summarise(parts: DataFrame) -> list[Block]:
+    """Least, largest and number of the prefix sums in each part; one small row a part."""
+    rows = parts.groupBy("part").agg(F.min("high").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).collect()
+    return [Block(r["low"], r["high"], r["n"], r["part"]) for r in rows]
 
 
-def _merged(blocks: list[Block], known: list[Block]) -> list[tuple[int, int]]:
-    """Neighbouring blocks as one range, so that a query names few ranges."""
-    place = {b: i for i, b in enumerate(known)}
-    out: list[list[int]] = []
-    last = None
-    for b in blocks:
-        if last is not None and place[b] == last + 1:
-            out[-1][1] = b.high
-        else:
-            out.append([b.low, b.high])
-        last = place[b]
-    return [(a, b) for a, b in out]
+def _refined(parts: DataFrame, ranges: list[Block], pieces: int, begin: int) -> DataFrame:
+    """The prefix sums of some parts, each cut into pieces of its own, numbered from begin."""
+    step = lambda b: -(-(b.high - b.low + 1) // pieces)
+    table = parts.sparkSession.createDataFrame(
+        [(b.part, begin + i * pieces, b.low, step(b)) for i, b in enumerate(ranges)], "part bigint, first bigint, low bigint, step bigint"
+    )
+    # the table has a row for each undecided part, a number that the summary's size bounds
+    return parts.join(F.broadcast(table), "part").select("high", F.expr("first + (high - low) div step").alias("part"))
 
 
 def minimax_cuts(prefix: DataFrame, total: int, shards: int, largest: int, blocks: int = BLOCKS) -> tuple[int, list[int]]:
-    """The smallest capacity and the prefix sums after which to cut. prefix: a column ``high`` of distinct longs."""
-    summary = Summary(_summarise(prefix, [(1, total)], blocks))
+    """The smallest capacity and the prefix sums after which to cut. prefix: a column ``high`` of distinct longs.
+
+    Every round cuts each undecided part into two pieces at least, of which the first has its least and the last its largest
+    prefix sum. So the parts get smaller in each round, and the search ends, for any number of shards.
+    """
+    parts = _refined(prefix.select("high", F.lit(0).cast("bigint").alias("part")), [Block(1, total, 0, 0)], blocks, 0)
+    summary, begin = Summary(_summarise(parts)), blocks
     least = max(largest, -(-total // shards))
     while True:
         sure = summary.least(shards, total, least, hopeful=False)
@@ -135,8 +130,12 @@ def minimax_cuts(prefix: DataFrame, total: int, shards: int, largest: int, block
         open_ranges = summary.open_ranges((hoped, sure), shards, total)
         if not open_ranges:
             return sure, summary.walk(sure, shards, total, hopeful=False)[2]
-        fresh = _summarise(prefix, _merged(open_ranges, summary.blocks), blocks)
-        stale = set(open_ranges)
+        pieces = max(2, blocks // len(open_ranges))
+        parts = _refined(parts, open_ranges, pieces, begin)
+        begin += pieces * len(open_ranges)
+        fresh, stale = _summarise(parts), set(open_ranges)
+        if max(b.n for b in fresh) >= max(b.n for b in stale):
+            raise RuntimeError("a round of the capacity search made no part smaller: the prefix sums are not distinct")
         summary = Summary([b for b in summary.blocks if b not in stale] + fresh)
 
 
@@ -155,13 +154,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"),
     )
-    rows = saved(rows, "shard-rows")
+    rows = saved(rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("times")), "shard-rows")
     n = rows.count()
     salts = max(16, n // PART_ROWS)
     buckets = max(256, n // PART_ROWS)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
     parts = saved(
-        rows.groupBy("key", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-parts"
+        rows.groupBy("key", "salt").agg(F.sum("times").alias("n"), F.sum(F.col("size") * F.col("times")).alias("bytes")), "shard-parts"
     )
     groups = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     top = groups.orderBy(F.desc("bytes"), "key").limit(shards).select("key", "bytes").collect()
@@ -221,16 +220,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
             (F.coalesce("start", F.lit(0)) + F.col("inner")).alias("start"),
         )
     )
-    turn = F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc_id", "size"))
+    turn = Window.partitionBy("key", "salt").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed_rows = rows.withColumn("turn", F.coalesce(F.sum("times").over(turn), F.lit(0))).join(part_slots, ["key", "salt"])
+    # the repeats of an entry again as rows, first in runs of bounded length
+    first_of_run = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1, F.lit(REPEATS).cast("bigint")))
+    within = F.sequence(F.col("run"), F.least(F.col("run") + REPEATS, F.col("times")) - 1)
     return (
-        rows.withColumn("turn", turn)
-        .join(part_slots, ["key", "salt"])
+        placed_rows.withColumn("run", first_of_run)
+        .withColumn("again", F.explode(within))
         .select(
             "doc_id",
             "size",
             "text_crc32",
             "shard",
-            (F.col("start") + F.col("turn") - 1).cast("bigint").alias("slot"),
+            (F.col("start") + F.col("turn") + F.col("again")).cast("bigint").alias("slot"),
             F.lit(max(capacity, *[r["bytes"] for r in top], 0) if top else 0).cast("bigint").alias("capacity"),
         )
     )

@@ -12,9 +12,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from ``spark.checkpoint.dir``; only where that is unset (local runs, tests) one under /tmp."""
+    """The shared folder, from ``spark.checkpoint.dir``; where that is unset, one under /tmp for a local master, else an error."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", told)
     return told if ":" in told.split("/", 1)[0] else f"file://{told}"

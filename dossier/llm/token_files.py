@@ -179,7 +179,8 @@ class TextEncoder:
     """Ids of a text with a byte-level BPE file of the tokenizers library, word by word, remembering words.
 
     The file's pre-tokenizer never joins a character with the white space after it, so a text can be cut before each
-    run of white space and the ids of the parts put together. Special tokens' strings are ordinary text.
+    run of white space and the ids of the parts put together. A text that holds the string of a token added to the file
+    (an end-of-text mark, say) goes to the library whole, as such a token is found before anything is split.
     """
 
     CONTROL = re.compile(r"[\x1c-\x1f]")
@@ -189,7 +190,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.kind = kind
         # the letters that stand for bytes in the vocabulary, read off the pre-tokenizer itself
@@ -202,6 +203,9 @@ class TextEncoder:
         self.starts = _Remembered(self._start)
         self.packed = _Remembered(struct.Struct(np.dtype(kind).str.replace("u2", "H").replace("u4", "I")).pack)
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def ids_of(self, unit: str) -> bytes:
         return b"".join([self._piece(piece) for piece, _ in self.split.pre_tokenize_str(unit)])
 
@@ -235,13 +239,15 @@ class TextEncoder:
         return b"".join(words)
 
     def encode(self, text: str) -> bytes:
+        if any(map(text.__contains__, self.added)):
+            return self._whole(text)
         if text.replace("\n", "").isprintable():
             try:
                 return self.units["\n"].join(map(self._line, text.split("\n")))
             except _OtherSpaces:
                 pass
         if self.CONTROL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            return self._whole(text)
         return b"".join(map(self.units.__getitem__, self.UNIT.findall(text)))
 
 
@@ -305,14 +311,16 @@ def _blocks(tokenizer_path: str, kind: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, vocab: int, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Tokenizes whole texts and writes the files; returns their folder and the list of files.
 
-    A null text counts as empty and gives the end id alone. Repeated ids follow each other, by text; null ids come
-    first. An empty table gives a folder with only the table of frequencies.
+    A null text counts as empty and gives the end id alone. Repeated ids follow each other, by a hash of the text, then the text; null
+    ids come first. An empty table gives a folder with only the table of frequencies.
     """
     spark = docs.sparkSession
     short_batches(spark)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the digest lets the rows of one id lie in several ranges
+    ordered = ordered.withColumn("digest", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").drop("digest")
     schema = "part int, block int, doc_ids array<bigint>, lengths array<int>, ids binary"
     blocks = saved(ordered.mapInPandas(_blocks(tokenizer_path, kind, end_id), schema), "token-blocks", codec="zstd")
 

@@ -20,9 +20,9 @@ RESULT = "query_id bigint, vec_id bigint, score {}"
 
 
 def usable(vector: str, zero: bool) -> Column:
-    """The vector is there, has components, none null or non-finite; zero: all components 0 will do."""
+    """The vector is there, no component null or non-finite; zero: one without components, or all of them 0, will do."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = F.col(vector).isNotNull() & (F.size(vector) > 0) & finite
+    kept = F.col(vector).isNotNull() & finite
     return kept if zero else kept & F.exists(vector, lambda x: x != 0)
 
 

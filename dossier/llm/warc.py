@@ -2,7 +2,7 @@
 
 The writer makes one gzip member a record, as the format asks for. Of records with equal payloads one is
 the response, the others point to it. The reader checks each record: the member's own checksum, the version
-line, the headers, the length and the payload digest. After a failed check it searches for the next member
+line, the headers, the length and the digests of block and payload. After a failed check it searches for the next member
 or version line from which a record can be read, goes on from there, and logs the bytes between as a gap.
 A member of several records is searched in the same way in its inflated bytes, as far as they can be inflated;
 what follows a broken place in the compressed bytes of one member can't be inflated and is part of the gap.
@@ -69,7 +69,7 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str
         head.append("WARC-Target-URI: " + "".join(url.split()))
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -82,20 +82,26 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def parse_record(data: memoryview) -> tuple[dict, int]:
-    """The record at the start of data and its length; checked says whether a digest vouches for its payload."""
-    head_end = bytes(data[: 1 << 16]).find(b"\r\n\r\n")
-    if bytes(data[: len(VERSION)]) != VERSION or head_end < 0:
-        raise Damaged("no version line" if head_end >= 0 else "no end of headers")
-    lines = bytes(data[:head_end]).decode("utf-8", "replace").split("\r\n")[1:]
+def parse_record(data: bytes, start: int = 0) -> tuple[dict, int]:
+    """The record at a place of data and its length; checked says whether a digest vouches for its payload."""
+    if not data.startswith(VERSION, start):
+        raise Damaged("no version line")
+    head_end = data.find(b"\r\n\r\n", start)
+    if head_end < 0:
+        raise Damaged("no end of headers")
+    lines = data[start:head_end].decode("utf-8", "replace").split("\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     length = head.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no length")
     at, end = head_end + 4, head_end + 4 + int(length)
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    if not data.startswith(b"\r\n\r\n", end):
         raise Damaged("length doesn't fit")
-    block = bytes(data[at:end])
+    block = data[at:end]
+    told = head.get("warc-block-digest", "")
+    whole = digest_fits(told, block) if told else None
+    if whole is False:
+        raise Damaged("block digest doesn't match")
     kind, payload, size = head.get("warc-type", ""), block, None
     if head.get("content-type", "").startswith("application/http"):
         http, sep, payload = block.partition(b"\r\n\r\n")
@@ -107,11 +113,11 @@ def parse_record(data: memoryview) -> tuple[dict, int]:
     digest = head.get("warc-payload-digest", "")
     fits = digest_fits(digest, payload) if kind != "revisit" and digest else None
     if fits is False:
-        raise Damaged("digest doesn't match")
+        raise Damaged("payload digest doesn't match")
     digest = digest.removeprefix("sha1:")
     bare = lambda k: head[k].removeprefix("<urn:page:").strip("<>") if k in head else None
-    found = {"record_type": kind, "record_id": bare("warc-record-id"), "refers_to": bare("warc-refers-to"), "url": head.get("warc-target-uri"), "checked": bool(fits)}
-    return found | {"payload_bytes": size if kind == "revisit" else len(payload), "payload_digest": digest or digest_of(payload), "payload": None if kind == "revisit" else payload}, end + 4
+    found = {"record_type": kind, "record_id": bare("warc-record-id"), "refers_to": bare("warc-refers-to"), "url": head.get("warc-target-uri"), "checked": bool(fits or whole)}
+    return found | {"payload_bytes": size if kind == "revisit" else len(payload), "payload_digest": digest or digest_of(payload), "payload": None if kind == "revisit" else payload}, end + 4 - start
 
 
 def inflate(data: memoryview) -> tuple[bytes, int, str | None]:
@@ -136,10 +142,10 @@ def inflate(data: memoryview) -> tuple[bytes, int, str | None]:
 
 def contents(plain: bytes) -> list[tuple[int, int, dict | str]]:
     """Start, end and record of all that can be read in the bytes of a member, or the reason instead for what lies between."""
-    view, at, gap, why, found = memoryview(plain), 0, None, "", []
+    at, gap, why, found = 0, None, "", []
     while at < len(plain):
         try:
-            record, size = parse_record(view[at:])
+            record, size = parse_record(plain, at)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -156,20 +162,20 @@ def contents(plain: bytes) -> list[tuple[int, int, dict | str]]:
     return found
 
 
-def rows_at(data: memoryview) -> tuple[list[dict], int, str | None]:
-    """The records (and gaps between them) of the member at the start of data, or the plain record there.
+def rows_at(data: bytes, start: int) -> tuple[list[dict], int, str | None]:
+    """The records (and gaps between them) of the member at a place of data, or the plain record there.
 
     With them the bytes they take, and the failed check after which only a search can go on, if one failed. A record
     alone in a member that fails is not given: the member's checksum is its own. Of several, those are given that
     pass the checks of a plain record; one without a digest to vouch for it says so as its reason.
     """
-    if bytes(data[:3]) != MEMBER:
+    if not data.startswith(MEMBER, start):
         try:
-            record, size = parse_record(data)
+            record, size = parse_record(data, start)
         except Damaged as e:
             return [], 0, str(e)
         return [{"kind": "record"} | record], size, None
-    plain, size, fault = inflate(data)
+    plain, size, fault = inflate(memoryview(data)[start:])
     parts = contents(plain)
     records = [x for x in parts if isinstance(x[2], dict)]
     if not records:
@@ -192,12 +198,12 @@ def salvage(data: bytes) -> Iterator[dict]:
 
     Offset and length are those of the member (as far as it was read) for what is found in one.
     """
-    view, at = memoryview(data), 0
-    gap, why = None, None
+    at, gap, why = 0, None, None
+    nexts = {MEMBER: 0, VERSION: 0}  # where each mark comes next, so that no bytes are searched twice for it
     known, until = set(), 0  # records given of a failed member: its bytes are searched again, and may hold them as they are
     key = lambda r: (r["record_type"], r["record_id"], r["url"], r["payload_digest"], r["payload_bytes"])
     while at < len(data):
-        rows, size, fault = rows_at(view[at:])
+        rows, size, fault = rows_at(data, at)
         if at < until:
             rows = [r for r in rows if r["kind"] == "gap" or key(r) not in known]
         if gap is not None and rows:
@@ -212,8 +218,11 @@ def salvage(data: bytes) -> Iterator[dict]:
             gap, why = at, fault
         if rows:
             known, until = {key(r) for r in rows if r["kind"] == "record"}, at + size
-        nexts = [i for i in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-        at = min(nexts, default=len(data))
+        for mark, place in nexts.items():
+            if place <= at:
+                place = data.find(mark, at + 1)
+                nexts[mark] = len(data) if place < 0 else place
+        at = min(nexts.values())
     if gap is not None:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
 
@@ -223,13 +232,17 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
 
     Of rows whose payload (UTF-8 of the html; null: empty) is equal and has min_bytes or more, the one with the
     smallest id is the response (each, if an id is repeated), the others revisit it; a null id never is the smallest
-    unless all are null, and then all are responses.
+    unless all are null, and then all are responses. Addresses and ids may be of any length; white space in an address
+    is left out, as a header can't hold it.
     """
     spark = pages.sparkSession
     short_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha1("html"))))
-    firsts = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("page_id").alias("first"))
+    # only payloads that several rows have, as a table of its own: the join then shuffles both sides for itself (or
+    # broadcasts a small table), and Spark can split the rows of a payload that a third of them share
+    firsts = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
+    firsts = saved(firsts.where("times > 1").select("key", "first"), "warc-firsts")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.join(firsts, "key", "left").select(
         F.col("page_id").cast("string"), "url", "html", F.when(revisit, F.col("first")).cast("string").alias("refers_to")
