@@ -14,13 +14,18 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import saved
 from .vectors import RESULT, best, matrix, met, parted, smallest, usable
 
-SHARD_ROWS = 4096
+#: Rows of a shard, about: its graph is built in one task. A search looks at a tenth of such a shard, at less of a larger one.
+SHARD_ROWS = 32_768
 #: Neighbours in the upper layers and in the ground layer, and the beams of building and searching.
 LINKS = 16
 GROUND_LINKS = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
 BATCH = 512
+#: Points of a beam whose neighbours are looked at in one step.
+STEPS = 6
+#: Distances between candidates that are held at a time.
+GAPS = 1 << 22
 INDEX = "shard int, dim int, points binary, ids binary, ends binary, links array<binary>, entry int"
 
 
@@ -30,8 +35,8 @@ def _distances(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.einsum("ijk,ijk->ij", diff, diff)
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest points of one layer for each query, in step: ids (-1: none) and squared distances, nearest first."""
+def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Nearest points of one layer for each query, in step: ids (-1: none), squared distances, nearest first, and distances computed."""
     n = len(q)
     ids = np.full((n, beam), -1, np.int64)
     dist = np.full((n, beam), np.inf, x.dtype)
@@ -40,50 +45,68 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
     ids[:, 0], done[:, 0] = entry, False
     dist[:, 0] = _distances(q, x[entry][:, None, :])[:, 0]
     seen[np.arange(n), entry] = True
-    live = np.arange(n)
-    while len(live):
+    live, evaluated, steps = np.arange(n), n, min(STEPS, beam)
+    while True:
         pending = np.where(done[live], np.inf, dist[live])
-        pick = np.argmin(pending, axis=1)
-        go = np.isfinite(pending[np.arange(len(live)), pick])
-        live, pick = live[go], pick[go]
+        pick = np.argpartition(pending, steps - 1, axis=1)[:, :steps]
+        open_ = np.isfinite(np.take_along_axis(pending, pick, axis=1))
+        go = open_.any(axis=1)
+        live, pick, open_ = live[go], pick[go], open_[go]
         if not len(live):
             break
-        done[live, pick] = True
-        near = links[ids[live, pick]].astype(np.int64)
-        safe = np.where(near < 0, 0, near)
-        new = (near >= 0) & ~seen[live[:, None], safe]
-        d = np.where(new, _distances(q[live], x[safe]), np.inf)
+        done[live[:, None], pick] = True
+        at = np.where(open_, ids[live[:, None], pick], -1)
+        near = np.where(at[:, :, None] >= 0, links[at], -1).reshape(len(live), -1).astype(np.int64)
+        new = (near >= 0) & ~seen[live[:, None], np.where(near < 0, 0, near)]
         i, j = np.nonzero(new)
-        seen[live[i], near[i, j]] = True
+        _, first = np.unique(i * len(x) + near[i, j], return_index=True)  # two points of a step may share a neighbour
+        i, j = i[first], j[first]
+        p = near[i, j]
+        seen[live[i], p] = True
+        diff = x[p] - q[live[i]]
+        width = np.bincount(i, minlength=len(live))
+        place = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
+        shape = (len(live), int(width.max()))
+        d, found = np.full(shape, np.inf, x.dtype), np.full(shape, -1, np.int64)
+        d[i, place], found[i, place] = np.einsum("ij,ij->i", diff, diff), p
+        evaluated += len(p)
         all_d = np.concatenate((dist[live], d), axis=1)
-        all_i = np.concatenate((ids[live], np.where(new, near, -1)), axis=1)
-        all_f = np.concatenate((done[live], ~new), axis=1)
-        order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-        dist[live], ids[live], done[live] = (np.take_along_axis(a, order, axis=1) for a in (all_d, all_i, all_f))
-    return ids, dist
+        all_i = np.concatenate((ids[live], found), axis=1)
+        all_f = np.concatenate((done[live], found < 0), axis=1)
+        kept = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+        dist[live], ids[live], done[live] = (np.take_along_axis(a, kept, axis=1) for a in (all_d, all_i, all_f))
+    order = np.lexsort((ids, dist), axis=1)
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1), evaluated
 
 
 def choose(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, links: int) -> np.ndarray:
     """Neighbours out of candidates sorted by distance: nearer to the point than to any neighbour already chosen.
 
-    Places left over go to the nearest of the others.
+    Places left over go to the nearest of the others. The distances between a point's candidates are one matrix product.
     """
+    out = np.full((len(cand), links), -1, np.int32)
+    rows = max(1, GAPS // cand.shape[1] ** 2)
+    for at in range(0, len(cand), rows):
+        out[at : at + rows] = _chosen(x, cand[at : at + rows], dist[at : at + rows], links)
+    return out
+
+
+def _chosen(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, links: int) -> np.ndarray:
     n, width = cand.shape
+    own = x[np.where(cand < 0, 0, cand)]
+    norm = np.einsum("ijk,ijk->ij", own, own)
+    gaps = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(own, own.transpose(0, 2, 1))
     out = np.full((n, links), -1, np.int32)
     count = np.zeros(n, np.int64)
     took = np.zeros((n, width), bool)
     ok = (cand >= 0) & np.isfinite(dist)
+    nearest_chosen = np.full((n, width), np.inf, x.dtype)
     for c in range(width):
-        rows = np.flatnonzero(ok[:, c] & (count < links))
-        if not len(rows):
-            continue
-        chosen = out[rows]
-        gap = _distances(x[cand[rows, c]], x[np.where(chosen < 0, 0, chosen)])
-        far = np.where(chosen < 0, np.inf, gap).min(axis=1) > dist[rows, c]
-        rows = rows[far]
+        rows = np.flatnonzero(ok[:, c] & (count < links) & (nearest_chosen[:, c] > dist[:, c]))
         out[rows, count[rows]] = cand[rows, c]
         took[rows, c] = True
         count[rows] += 1
+        nearest_chosen[rows] = np.minimum(nearest_chosen[rows], gaps[rows, c])
     for c in range(width):
         rows = np.flatnonzero(ok[:, c] & ~took[:, c] & (count < links))
         out[rows, count[rows]] = cand[rows, c]
@@ -114,7 +137,7 @@ class Graph:
         for layer in range(self.top, -1, -1):
             here = np.flatnonzero(self.levels[new] >= layer)
             beam = BUILD_BEAM if len(here) else 1
-            ids, dist = beam_search(self.x, self.links[layer], self.x[new], entry, beam)
+            ids, dist, _ = beam_search(self.x, self.links[layer], self.x[new], entry, beam)
             entry = ids[:, 0]
             if len(here):
                 self._connect(layer, new[here], ids[here], dist[here])
@@ -158,11 +181,14 @@ class Graph:
                 kept[~fits] = choose(x, cand[~fits], dist[~fits], room)
             links[w] = kept
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        entry = np.full(len(q), self.entry)
+    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Points nearest to each query, their squared distances, and how many distances were computed in all."""
+        entry, total = np.full(len(q), self.entry), 0
         for layer in range(self.top, 0, -1):
-            entry = beam_search(self.x, self.links[layer], q, entry, 1)[0][:, 0]
-        return beam_search(self.x, self.links[0], q, entry, beam)
+            ids, _, n = beam_search(self.x, self.links[layer], q, entry, 1)
+            entry, total = ids[:, 0], total + n
+        ids, dist, n = beam_search(self.x, self.links[0], q, entry, beam)
+        return ids, dist, total + n
 
 
 def levels_of(ids: np.ndarray) -> np.ndarray:
@@ -195,7 +221,7 @@ def _search(r, asked: pd.DataFrame, k: int, beam: int) -> list[pd.DataFrame]:
     for at in range(0, len(asked), BATCH):
         part = asked.iloc[at : at + BATCH]
         q, own = matrix(part["vector"], r.dim), part["vec_id"].to_numpy(np.int64)
-        found, _ = graph.search(q.astype(np.float32), max(beam, k + 1))
+        found, _, _ = graph.search(q.astype(np.float32), max(beam, k + 1))
         i, j = np.nonzero(found >= 0)
         p = found[i, j]
         score = np.sqrt(((points[p] - q[i]) ** 2).sum(axis=1))
@@ -208,7 +234,7 @@ def _search(r, asked: pd.DataFrame, k: int, beam: int) -> list[pd.DataFrame]:
     return out
 
 
-def nearest(rows: DataFrame, k: int = 10, every: int = 100, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, every: int = 100, beam: int = SEARCH_BEAM, shard_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows by Euclidean distance for every query row, by graph search; every row is indexed.
 
     Queries are the rows whose id is divisible by every; candidates all rows with another id and as many components.
@@ -219,7 +245,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, beam: int = SEARCH_B
     clean = rows.where(F.col(id_col).isNotNull() & usable(vector_col, zero=False)).select(
         F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
-    parts, queries, shards, waves = parted(clean, SHARD_ROWS, every)
+    parts, queries, shards, waves = parted(clean, shard_rows or SHARD_ROWS, every)
     index = saved(parts.groupBy("shard").applyInPandas(_index, INDEX), "hnsw-index")
 
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

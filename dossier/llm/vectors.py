@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Queries of a wave: what one task holds beside its shard.
-WAVE_QUERIES = 4096
+#: Queries of a wave: what one task holds beside its shard. The index is sent out once for each wave.
+WAVE_QUERIES = 16_384
 RESULT = "query_id bigint, vec_id bigint, score {}"
 
 

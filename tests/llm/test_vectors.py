@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from dossier.llm import block_topk, hnsw
+from dossier.llm import block_topk, hnsw, queries
+
+FOLDER = "/root/testdata/sf0.1"
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
 
@@ -28,11 +33,13 @@ def test_products_equal_brute_force(spark, points, monkeypatch):
     monkeypatch.setattr(block_topk, "SHARD_ROWS", 300)
     out = block_topk.top_products(table(spark, points, ODD), every=50).toPandas()
     v = np.floor(1024 * points.astype(np.float64)).astype(np.int64)
-    assert sorted(out["query_id"].unique()) == list(range(0, len(points), 50))
-    for q, own in out.groupby("query_id"):
+    assert sorted(out["query_id"].unique()) == [*range(0, len(points), 50), 100_100]
+    empty = out[out["query_id"] == 100_100].sort_values("rank")  # an empty vector counts as all 0
+    assert empty["vec_id"].tolist() == list(range(10)) and (empty["score"] == 0).all()
+    for q, own in out[out["query_id"] < 100_000].groupby("query_id"):
         s = v @ v[q]
-        best = [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:10]
-        own = own.sort_values("rank")
+        s, own = np.r_[s, np.zeros(100_101 - len(s), int)], own.sort_values("rank")
+        best = [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q and (i < len(v) or i == 100_100)][:10]
         assert own["vec_id"].tolist() == best and own["score"].tolist() == s[best].tolist() and own["rank"].tolist() == list(range(1, 11))
 
 
@@ -42,7 +49,11 @@ def test_pruning_is_exact_where_blocks_are_skipped():
     cut = np.arange(0, 640, block_topk.BLOCK_ROWS)
     top, low = np.maximum.reduceat(x, cut), np.minimum.reduceat(x, cut)
     q = rng.integers(-100, 100, (20, 4))
-    out = block_topk.block_search(q, np.full(20, -1) - np.arange(20), x, np.arange(640), top, low, 5)
+    out, scored = block_topk.block_search(q, np.full(20, -1) - np.arange(20), x, np.arange(640), top, low, 5)
+    assert scored < 0.8 * 20 * len(cut)
+    floor = np.sort(q @ x.T, axis=1)[:, -5]
+    known, fewer = block_topk.block_search(q, np.full(20, -1) - np.arange(20), x, np.arange(640), top, low, 5, floor)
+    assert fewer <= scored and known.equals(out)
     for i in range(20):
         s = x @ q[i]
         assert out[out["query_id"] == -1 - i].sort_values(["score", "vec_id"], ascending=[False, True])["vec_id"].tolist() == np.lexsort((np.arange(640), -s))[:5].tolist()
@@ -66,6 +77,38 @@ def test_graph_recall_and_ties(spark, points, monkeypatch):
     assert hot["vec_id"].tolist() == list(range(901, 911)) and (hot["score"] == 0).all()
 
 
+def test_products_beyond_a_long(spark):
+    rows = [(0, [3e15, 1.0], "", 0), (1, [3e15, 0.0], "", 0), (2, [-3e15, 0.0], "", 0), (3, [1e200, 0.0], "", 0), (4, [0.0, 5.0], "", 0), (4, [0.0, 5.0], "", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int")
+    out = block_topk.top_products(df, scale=1, every=100).toPandas()
+    most = 2**63 - 1
+    assert out[["rank", "vec_id", "score"]].values.tolist() == [[1, 1, most], [2, 3, most], [3, 4, 5], [4, 4, 5], [5, 2, -most]]
+
+
+def test_evaluations_of_a_large_shard():
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(400, 16))[rng.integers(0, 400, 50_000)] + 0.3 * rng.normal(size=(50_000, 16))).astype(np.float32)
+    graph = hnsw.Graph(x, hnsw.levels_of(np.arange(len(x)))).build()
+    q = x[::500]
+    found, _, evaluated = graph.search(q, hnsw.SEARCH_BEAM)
+    assert evaluated / len(q) < 0.2 * len(x)
+    gap = (x.astype(np.float64) ** 2).sum(1)[None] - 2 * q.astype(np.float64) @ x.T.astype(np.float64)
+    best = np.argsort(gap, axis=1)[:, :11]
+    assert np.mean([len(set(a) & set(b[:20])) / 11 for a, b in zip(best, found, strict=True)]) >= 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_recall_on_the_embeddings(spark):
+    found = queries.op9_nearest(spark, FOLDER).toPandas()
+    t = pq.read_table(f"{FOLDER}/embeddings.parquet").to_pandas()
+    x, ids = np.array(t["embedding"].tolist(), np.float64), t["vec_id"].to_numpy()
+    hits = total = 0
+    for q, own in found.groupby("query_id"):
+        d = np.where(ids == q, np.inf, ((x - x[ids == q][0]) ** 2).sum(1))
+        hits, total = hits + len(set(ids[np.lexsort((ids, d))[:10]]) & set(own["vec_id"])), total + 10
+    assert total == 10 * (ids % 100 == 0).sum() and hits / total >= 0.95
+
+
 def test_empty(spark):
     assert hnsw.nearest(table(spark, [])).count() == 0
     assert block_topk.top_products(table(spark, [])).count() == 0
