@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # Accented letters of the languages covered and their plain forms. The letter ñ stays.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÇ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyycAAAAAAEEEEIIIIOOOOOUUUUYC"
-#: Ligatures and hard spaces, and what they become in a canonical line.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", " ": " ", " ": " ", " ": " ", "­": ""}
+#: Ligatures, hard spaces and the soft hyphen, and what they become in a canonical line.
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u00ad": ""}
+#: Letters and the marks that Unicode puts on them as characters of their own, for the languages covered.
+COMPOSED = {x + mark: unicodedata.normalize("NFC", x + mark) for mark, letters in (("\u0301", "aeiouyAEIOUY"), ("\u0300", "aeiouAEIOU"), ("\u0302", "aeiouAEIOU"), ("\u0308", "aeiouyAEIOU"), ("\u0303", "anoANO"), ("\u0327", "cC")) for x in letters}
 #: Shingle size, least words of a text that is compared, share that makes a copy.
 SHINGLE = 3
 LEAST_WORDS = 20
@@ -41,10 +45,20 @@ def compared(text: Column) -> Column:
 
 
 def canonical_line(text: Column) -> Column:
-    """A line with ligatures spelt out and hard spaces as spaces."""
-    for old, new in LIGATURES.items():
+    """A line with marks put on their letters, ligatures spelt out, hard spaces as spaces, runs of spaces as one."""
+    for old, new in (COMPOSED | LIGATURES).items():
         text = F.replace(text, F.lit(old), F.lit(new))
-    return collapsed(text)
+    return F.regexp_replace(text, " {2,}", " ")
+
+
+def folded(text: Column) -> Column:
+    """The form in which answers are compared: no accents, no capitals, white space as one space."""
+    return collapsed(F.replace(plain(text), F.lit("ß"), F.lit("ss")))
+
+
+def digitless(text: Column) -> Column:
+    """Runs of digits as #, so that lines that differ in a number only are one form."""
+    return F.regexp_replace(text, r"\d+", "#")
 
 
 def split_words(text: Column) -> Column:
@@ -52,11 +66,16 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value) with value computed once: inside a lambda, an expression from outside runs again for every element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def shingles(text: Column, k: int = SHINGLE, least: int = LEAST_WORDS) -> Column:
     """Distinct runs of k words; empty for a text of fewer than least words."""
-    w = split_words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) >= max(least, k), F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+    enough = lambda w: F.when(F.size(w) >= max(least, k), F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>"))
+    return bound(split_words(text), enough)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -48,6 +48,18 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int, share:
     return out.select(key, "l_id", "r_id", "common").distinct()
 
 
+def guarded(df: DataFrame, by: str, first: str, last: str, firm: Column, loose: Column) -> DataFrame:
+    """df with guarded: a loose row whose sentences (first to last) meet those of a firm row of its group.
+
+    Rows meet through single sentences, so a group's rows are not paired with each other.
+    """
+    spread = lambda c: F.explode(F.sequence(c(first), c(last)))
+    sure = df.where(firm).select(by, spread(F.col).alias("__at")).distinct()
+    own = df.where(loose).select(by, first, last).distinct()
+    hit = own.withColumn("__at", spread(F.col)).join(sure, [by, "__at"], "left_semi").select(by, first, last).distinct().withColumn("__hit", F.lit(True))
+    return df.join(hit, [by, first, last], "left").withColumn("guarded", loose & F.col("__hit").isNotNull()).drop("__hit")
+
+
 def greedy_pairs(pairs: DataFrame, key: str) -> DataFrame:
     """One-to-one pairs of l_id and r_id in each document: largest common part first, ties by l_id, then r_id."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import lines as N
+from ..operators import matching as M
 from ..operators import spans as P
 from .registry import Tables, query
 
@@ -32,9 +34,18 @@ def x14(t: Tables):
     return t.documents.select("doc_id", F.md5(X.compared(F.col("text"))).alias("digest"))
 
 
-@query("X17_unified", f"SELECT min(doc_id) AS kept, count(*) AS n FROM (SELECT doc_id, md5({COMPARED}) AS d FROM documents) GROUP BY d")
+@query(
+    "X17_unified",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+c AS (SELECT doc_id, line, length(text) > 400 AS wide, {COMPARED} AS c FROM l WHERE trim(text) <> ''),
+k AS (SELECT doc_id, line, wide, CASE WHEN wide OR c = '' THEN line ELSE min(line) FILTER (NOT wide) OVER (PARTITION BY doc_id, c) END AS kept FROM c)
+SELECT doc_id, CAST(kept AS INTEGER) AS kept, count(*) AS n FROM k GROUP BY 1, 2""",
+)
 def x17(t: Tables):
-    return t.documents.groupBy(F.md5(X.compared(F.col("text"))).alias("d")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).select("kept", "n")
+    """Lines of a document that say the same go to the first of them; wide ones stay by themselves."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.trim("text") != "").withColumn("line", F.col("line") + 1)
+    out = N.unified(lines, "doc_id", "line", X.compared(F.col("text")), F.length("text") > 400)
+    return out.groupBy("doc_id", "kept").agg(F.count("*").alias("n"))
 
 
 @query("X34_stems", rf"SELECT doc_id, array_to_string(list_sort(list_distinct([left(w, 5) FOR w IN regexp_extract_all({PLAIN}, '([a-z]+)', 1) IF length(w) >= 6])), ' ') AS stems FROM documents")
@@ -61,14 +72,21 @@ def x20(t: Tables):
     return lines.groupBy(X.heading(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+PIECES = r"""pieces AS (SELECT split_part(url, '/', 3) AS host, page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '>([^<>]+)<', 1)), '\s+', ' ', 'g')) AS line FROM pages)"""
+
+
 @query(
     "A21_boilerplate",
-    f"""WITH {LINES}, k AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1)
-SELECT md5(trim(line)) AS form, count(DISTINCT doc_id) AS docs FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""",
+    rf"""WITH {PIECES}, k AS (SELECT split_part(url, '/', 3) AS host, count(DISTINCT page_id) AS pages FROM pages GROUP BY 1),
+f AS (SELECT host, regexp_replace(line, '\d+', '#', 'g') AS form, count(DISTINCT page_id) AS n FROM pieces WHERE line <> '' GROUP BY 1, 2)
+SELECT host, form, n, pages FROM f JOIN k USING (host) WHERE n >= 2 AND 2 * n > pages""",
 )
 def a21(t: Tables):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    return lines.groupBy(F.md5(F.trim("line")).alias("form")).agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 5")
+    """Lines, digits apart, that stand on more than half of a host's pages, and on two at least."""
+    host = F.split_part("url", F.lit("/"), F.lit(3)).alias("host")
+    pieces = t.pages.select(host, "page_id", F.explode(F.regexp_extract_all("html", F.lit(">([^<>]+)<"), 1)).alias("piece"))
+    lines = pieces.select("host", "page_id", X.collapsed(F.col("piece")).alias("line")).where("line <> ''")
+    return N.boilerplate(lines, "host", "page_id", X.digitless(F.col("line")), t.pages.select(host, "page_id"))
 
 
 SHINGLES = rf"""
@@ -84,23 +102,25 @@ def r1(t: Tables):
 
 @query(
     "U2_jaccard",
-    f"""WITH {SHINGLES} SELECT a.doc_id, round(CASE WHEN len(a.s) + len(b.s) > 0 THEN len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) ELSE 0 END, 6) AS jaccard
-FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""",
+    f"""WITH {SHINGLES}, b AS (SELECT min(doc_id) AS doc_id, v FROM (SELECT doc_id, list_sort(s) AS v FROM s WHERE len(s) > 0) GROUP BY v), e AS (SELECT doc_id, len(v) AS n, unnest(v) AS g FROM b), r AS (SELECT doc_id, n, dense_rank() OVER (ORDER BY g) AS g FROM e),
+x AS (SELECT a.doc_id AS doc_id, b.doc_id AS other, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_id, other, round(common / (na + nb - common), 6) AS jaccard FROM x WHERE 10 * common >= 9 * (na + nb - common)""",
 )
 def u2(t: Tables):
-    s = t.documents.select("doc_id", X.shingles(F.col("text")).alias("s"))
-    after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("other"))
-    return s.join(after, "doc_id").select("doc_id", F.round(X.jaccard(F.col("s"), F.col("other")), 6).alias("jaccard"))
+    """Pairs of documents with nine tenths of their shingles in common; of documents with equal sets, the first stands for all."""
+    return M.similar_sets(t.documents.select("doc_id", X.shingles(F.col("text")).alias("s")), "doc_id", "s", X.COPY_SHARE)
 
 
-def _eight(column: str) -> str:
-    w = r"[x FOR x IN string_split_regex(lower(%s), '\s+') IF x <> '']" % column
-    return f"CASE WHEN len({w}) >= 8 THEN [array_to_string(({w})[i:i + 7], ' ') FOR i IN range(1, len({w}) - 6)] ELSE [] END"
+def _eight(table: str, *ids: str) -> str:
+    """SQL of the distinct windows of eight words; the word list is bound once a row."""
+    keys = "".join(f"{i}, " for i in ids)
+    words = f"(SELECT {keys}[x FOR x IN string_split_regex(lower(text), '\\s+') IF x <> ''] AS w FROM {table})"
+    return f"SELECT DISTINCT {keys}array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {keys}w, unnest(range(1, len(w) - 6)) AS i FROM {words} WHERE len(w) >= 8)"
 
 
 @query(
     "U4_leaks",
-    f"""WITH p AS (SELECT DISTINCT unnest({_eight('text')}) AS g FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_eight('text')}) AS g FROM documents)
+    f"""WITH p AS MATERIALIZED ({_eight('benchmark')}), d AS ({_eight('documents', 'doc_id')})
 SELECT doc_id, count(*) AS windows FROM d WHERE g IN (SELECT g FROM p) GROUP BY 1""",
 )
 def u4(t: Tables):
