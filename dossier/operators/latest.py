@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -33,3 +34,20 @@ def changed(current: DataFrame, earlier: DataFrame, keys: list[str], order: list
     last = latest(earlier.select(*keys, digest, *order), keys, order).select(*keys, F.col(digest).alias("__old"))
     out = current.join(last, keys, "left")
     return out.where(~F.col(digest).eqNullSafe(F.col("__old")) | F.col("__old").isNull()).drop("__old")
+
+
+def discard_units(failed: DataFrame, by: str, item: str) -> DataFrame:
+    """by, line, whole, grounds: what is proposed to be discarded of each bid.
+
+    A bid with a ground that isn't one line's (null item) is one unit, the whole bid, with those grounds; any other bid is a unit a line.
+    """
+    lines = failed.groupBy(by, F.col(item).alias("line")).agg(F.count("*").alias("grounds"))
+    whole = lines.groupBy(by).agg(F.bool_or(F.col("line").isNull()).alias("whole"))
+    return lines.join(whole, by).where(~F.col("whole") | F.col("line").isNull()).select(by, "line", "whole", "grounds")
+
+
+def best_in_time(df: DataFrame, by: list[str], score: list[Column | str], time: list[str], k: int) -> DataFrame:
+    """The k best rows of each key by score, with their place in time among those kept."""
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(*score))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*time))
+    return df.withColumn("__k", best).where(F.col("__k") <= k).withColumn("place", place).drop("__k")

@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
-def _ordered(df: DataFrame, by: list[str], order: list[str], *columns: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
+def _walked(df: DataFrame, by: list[str], order: list[str], columns: str, step: Callable[[list, int], object], cost: str) -> DataFrame:
+    """df with a column that step(state, cost) gives for each row, the rows of a key taken in order.
+
+    Rows are sorted within partitions and pass through in batches, so a task holds a batch and one key's state, however
+    many rows a key has. A null cost counts as 0.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    name = columns.split()[0]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, []
+        for batch in batches:
+            out = []
+            for own, price in zip(batch[by].itertuples(index=False, name=None), batch[cost].fillna(0), strict=True):
+                if own != key:
+                    key, state = own, []
+                out.append(step(state, int(price)))
+            batch[name] = out
+            yield batch
+
+    parts = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return parts.mapInPandas(fn, f"{fields}, {columns}")
 
 
-def budget_fill(df: DataFrame, by: list[str], order: list[str], item: str, cost: str, budget: int) -> DataFrame:
-    """Items of each group, in order, that fit in what is left of the budget; those that don't are passed over."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("n"))
-    fits = lambda a, x: a["used"] + x[cost] <= budget
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x[cost]).alias("used"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return _ordered(df, by, order, item, cost).select(*by, F.aggregate("rows", zero, step).alias("a")).select(*by, "a.used", "a.n")
+def budget_fill(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """taken: the row fits in what is left of its group's budget, in order; those that don't are passed over."""
+
+    def step(state: list, price: int) -> bool:
+        used = state[0] if state else 0
+        fits = used + price <= budget
+        state[:] = [used + price if fits else used]
+        return fits
+
+    return _walked(df, by, order, "taken boolean", step, cost)
 
 
 def packed_groups(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """How many consecutive groups within the budget each key's rows make; a row over the budget is one by itself."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("groups"), F.lit(budget).cast("bigint").alias("used"))
-    step = lambda a, x: F.when(a["used"] + x[cost] <= budget, F.struct(a["groups"].alias("groups"), (a["used"] + x[cost]).alias("used"))).otherwise(F.struct((a["groups"] + 1).alias("groups"), x[cost].alias("used")))
-    return _ordered(df, by, order, cost).select(*by, F.aggregate("rows", zero, step)["groups"].alias("groups"))
+    """part: consecutive groups of each key's rows (from 1) within the budget; a row over the budget is one by itself."""
+
+    def step(state: list, price: int) -> int:
+        part, used = state or (1, 0)
+        if state and used + price > budget:
+            part, used = part + 1, 0
+        state[:] = [part, used + price]
+        return part
+
+    return _walked(df, by, order, "part bigint", step, cost)
 
 
 def systematic(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:

@@ -55,13 +55,11 @@ def w3(t: Tables):
 @query(
     "W4_gap",
     f"""WITH {BIDS}, g AS (SELECT *, min(total) OVER (PARTITION BY procedure_id) AS low, max(total) OVER (PARTITION BY procedure_id) AS high FROM bids)
-SELECT procedure_id, bid_id, round(CAST((total - low) * 100 AS DOUBLE) / CAST(low AS DOUBLE), 6) AS gap, total = low AS is_lowest, total = high AND high > low AS is_highest FROM g""",
+SELECT procedure_id, bid_id, CAST(floor(CAST(2000 * (total - low) AS HUGEINT) / CAST(2 * low AS HUGEINT) + 0.5) / 10 AS DOUBLE) AS gap_pct, total = low AS is_lowest, total = high AND high > low AS is_highest FROM g""",
 )
 def w4(t: Tables):
-    group = Window.partitionBy("procedure_id")
-    out = R.gap_to_lowest(_bids(t), ["procedure_id"], "total").withColumn("low", F.min("total").over(group))
-    gap = F.round(((F.col("total") - F.col("low")) * 100).cast("double") / F.col("low").cast("double"), 6)
-    return out.select("procedure_id", "bid_id", gap.alias("gap"), "is_lowest", "is_highest")
+    out = R.gap_to_lowest(_bids(t), ["procedure_id"], "total")
+    return out.select("procedure_id", "bid_id", F.col("gap_pct").cast("double").alias("gap_pct"), "is_lowest", "is_highest")
 
 
 @query(
@@ -205,25 +203,6 @@ def p12(t: Tables):
     return t.lineitem.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "P13_first_rule",
-    "SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'amount' WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'none' END AS rule FROM orders",
-)
-def p13(t: Tables):
-    rule = S.first_rule(
-        F.when(F.col("o_totalprice") > 400000, "amount"), F.when(F.col("o_orderpriority").startswith("1"), "urgent"), F.when(F.col("o_orderstatus") == "P", "pending"), F.lit("none")
-    )
-    return t.orders.select("o_orderkey", rule.alias("rule"))
-
-
-@query(
-    "G4_discard_scope",
-    """SELECT l_orderkey, count(*) AS failed, bool_or(l_tax = 0) AS whole FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""",
-)
-def g4(t: Tables):
-    return t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("failed"), F.bool_or(F.col("l_tax") == 0).alias("whole"))
-
-
 @query(
     "G6_ranking_after_discards",
     f"""WITH {BIDS} SELECT procedure_id, bid_id, CAST(rank() OVER (PARTITION BY procedure_id ORDER BY total) AS INTEGER) AS position FROM bids
@@ -244,16 +223,6 @@ def g10(t: Tables):
     return t.lineitem.groupBy("l_orderkey").agg(S.fold_conditions(flag == "R", flag == "A", flag == "N").alias("outcome"))
 
 
-@query(
-    "G11_two_votes",
-    """SELECT o_orderkey, CASE WHEN a AND b THEN 'keep' WHEN (a OR b) AND o_orderstatus = 'F' THEN 'suggest' ELSE 'discard' END AS destination
-FROM (SELECT *, o_totalprice > 200000 AS a, o_orderpriority < '3' AS b FROM orders)""",
-)
-def g11(t: Tables):
-    a, b = F.col("o_totalprice") > 200000, F.col("o_orderpriority") < "3"
-    return t.orders.select("o_orderkey", F.when(a & b, "keep").when((a | b) & (F.col("o_orderstatus") == "F"), "suggest").otherwise("discard").alias("destination"))
-
-
 @query(
     "W11_budget_fill",
     """WITH o AS (SELECT o_custkey, list(CAST(round(o_totalprice * 100) AS BIGINT) ORDER BY o_orderdate, o_orderkey) AS c FROM orders GROUP BY 1)
@@ -261,7 +230,8 @@ SELECT o_custkey, list_reduce(list_concat([CAST(0 AS BIGINT)], c), lambda a, x:
 )
 def w11(t: Tables):
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    return S.budget_fill(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "cents", 50_000_000).select("o_custkey", "used")
+    taken = S.budget_fill(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", 50_000_000)
+    return taken.groupBy("o_custkey").agg(F.sum(F.when(F.col("taken"), F.col("cents")).otherwise(0)).alias("used"))
 
 
 @query(
@@ -271,7 +241,21 @@ SELECT o_custkey, CAST(list_reduce(list_concat([CAST(50000000 AS BIGINT)], c), l
 )
 def w12(t: Tables):
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    return S.packed_groups(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", 50_000_000)
+    packed = S.packed_groups(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", 50_000_000)
+    return packed.groupBy("o_custkey").agg(F.max("part").alias("groups"))
+
+
+@query(
+    "G15_batches",
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+b AS (SELECT conv_id, i, turn, n, 1 AS part, n AS used FROM c WHERE i = 1 UNION ALL
+SELECT c.conv_id, c.i, c.turn, c.n, CASE WHEN used + c.n > 1500 THEN part + 1 ELSE part END, CASE WHEN used + c.n > 1500 THEN c.n ELSE used + c.n END FROM b JOIN c ON c.conv_id = b.conv_id AND c.i = b.i + 1)
+SELECT conv_id, turn, CAST(part AS BIGINT) AS part FROM b""",
+)
+def g15(t: Tables):
+    """Consecutive turns in batches within a budget of characters."""
+    rows = t.conversations.select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
+    return S.packed_groups(rows, ["conv_id"], ["turn"], "n", 1500).select("conv_id", "turn", "part")
 
 
 @query(
