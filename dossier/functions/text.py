@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Accented letters of the languages covered and their plain forms. The letter ñ stays.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÇ"
@@ -109,6 +109,27 @@ def heading(line: Column) -> Column:
     )
 
 
+def item_rows(df: DataFrame, by: str, text: str) -> DataFrame:
+    """The rows of tables of items in texts: by, number, what, amount (quantity and unit, or empty).
+
+    Such a table has a first line that names the item, and two rows at least that begin with their number; the first row of a
+    number counts. A tab between cells parts them, else the last figure with a unit is the amount.
+    """
+    lines = F.split(F.col(text), "\n")
+    tables = df.select(by, lines.alias("lines")).where((F.size("lines") >= 3) & F.col("lines")[0].rlike(r"(?i)r[eé]ngl|[ií]tem"))
+    rows = tables.select(by, F.posexplode("lines").alias("at", "line")).where("at > 0").withColumn("number", F.regexp_extract("line", r"^\s*(\d+)\s+\S", 1).try_cast("int"))
+    rows = rows.where("number IS NOT NULL").groupBy(by, "number").agg(F.min_by("line", "at").alias("line"))
+    many = rows.groupBy(by).agg(F.count("*").alias("n")).where("n >= 2").select(by)
+    rest = F.regexp_extract("line", r"^\s*\d+\s+(\S.*?)\s*$", 1)
+    amount = r"^(.*?)[\s.]+(\d[\d.,]*\s+\p{L}[\p{L}\d.]*)\.?$"
+    cells = F.filter(F.transform(F.split("line", "\t"), F.trim), lambda c: c != "")
+    tabbed, split = F.col("line").contains("\t"), rest.rlike(amount)
+    what = F.when(tabbed, F.coalesce(F.try_element_at(cells, F.lit(2)), F.lit(""))).when(split, F.regexp_extract(rest, amount, 1)).otherwise(rest)
+    many_cells = F.when(F.size(cells) > 2, F.array_join(F.slice(cells, 3, 1000), " ")).otherwise("")
+    how_much = F.when(tabbed, many_cells).when(split, F.regexp_extract(rest, amount, 2)).otherwise("")
+    return rows.join(many, by, "left_semi").select(by, "number", what.alias("what"), how_much.alias("amount"))
+
+
 def marks(text: Column, *patterns: str) -> Column:
     """How many of the patterns occur."""
     total = F.lit(0)

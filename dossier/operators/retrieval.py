@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -14,18 +16,53 @@ UNITS_OF_CATEGORY = 3
 RECITALS = 2
 
 
-def cosine_distance(vector: str, query: list[float]) -> Column:
-    """1 - cosine, in double precision."""
-    v = F.col(vector).cast("array<double>")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    return 1 - dot / (norm(v) * norm(q))
+#: Rows of a block and queries of a wave: what one task of a vector search holds.
+BLOCK_ROWS = 65_536
+WAVE_QUERIES = 4096
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vector: str, query: list[float], k: int = CANDIDATES) -> DataFrame:
-    """The k nearest rows by cosine distance, ties by id: a partial top-k in each task, then one merge."""
-    return df.select(id_col, F.round(cosine_distance(vector, query), 6).alias("distance")).orderBy("distance", id_col).limit(k)
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine of two vectors, in double precision."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def cosine_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int | None = CANDIDATES) -> DataFrame:
+    """query_id, id and distance (six decimals) of each query's k nearest rows, or of all rows if k is None.
+
+    A stated set of queries meets all rows in blocks: rows are dealt to blocks by a hash of their id and queries to waves; a task
+    makes one matrix product of a block and a wave and keeps the k nearest of each query; those are merged by query, ties to the smaller id.
+    Vectors that are null, of another length than the query or without direction have no distance.
+    """
+    n, q = rows.count(), queries.count()
+    blocks, waves = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // WAVE_QUERIES))
+    part = lambda df, name, many: df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+    left = part(rows, "block", blocks).withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
+    right = part(queries, "wave", waves).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def fn(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
+        sizes, wanted = own["v"].map(len), asked["v"].map(len)
+        for size in set(sizes) & set(wanted):
+            x, y = np.stack(own.loc[sizes == size, "v"]), np.stack(asked.loc[wanted == size, "v"])
+            ids, asks = own.loc[sizes == size, "id"].to_numpy(), asked.loc[wanted == size, "id"].to_numpy()
+            for at in range(0, len(y), 256):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.round(1 - y[at : at + 256] @ x.T / (np.linalg.norm(y[at : at + 256], axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), 6) + 0.0
+                d[~np.isfinite(d)] = np.inf
+                # all rows at the k-th distance stay, as ties go by id
+                bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k is not None and k < d.shape[1] else np.full((len(d), 1), np.inf)
+                i, j = np.nonzero((d <= bound) & np.isfinite(d))
+                found.append(pd.DataFrame({"query_id": asks[at + i], "id": ids[j], "distance": d[i, j]}))
+        return pd.concat(found, ignore_index=True)
+
+    out = left.groupBy("block", "wave").cogroup(right.groupBy("block", "wave")).applyInPandas(fn, "query_id bigint, id bigint, distance double")
+    return out if k is None else best_of_each(out, "query_id", [F.col("distance"), F.col("id")], k)
+
+
+def best_of_each(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each query with their place."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("place") <= k)
 
 
 def words(text: str | Column) -> Column:
@@ -33,28 +70,55 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9ß-öø-ÿ]+)"), 1)
 
 
-def word_hits(df: DataFrame, id_col: str, text: str, query: list[str], k: int = CANDIDATES) -> DataFrame:
-    """The k rows with the most distinct query words, ties by id; rows without any have no place."""
-    hits = F.size(F.array_intersect(words(text), F.array(*[F.lit(w) for w in query])))
-    return df.select(id_col, hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), id_col).limit(k)
+#: Fixed values of the BM25 formula.
+K1, B = 1.2, 0.75
+
+
+def word_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str, query_id: str, query_text: str, k: int = CANDIDATES) -> DataFrame:
+    """query_id, id, score (BM25, six decimals) and place of each query's k best documents; a query word counts once.
 
+    Queries meet documents through an inverted index: words with their count in each document, joined to the queries' words.
+    """
+    spread = docs.select(F.col(id_col).alias("id"), F.explode(words(text)).alias("w"))
+    index = spread.groupBy("w", "id").agg(F.count("*").alias("tf"))
+    sizes = spread.groupBy("id").agg(F.count("*").alias("size"))
+    totals = sizes.agg(F.avg("size").alias("mean")).crossJoin(docs.agg(F.count("*").alias("docs")))  # one row
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(query_text))).alias("w"))
+    wanted = asked.select("w").distinct()
+    often = index.join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    hits = index.join(asked, "w").join(often, "w").join(sizes, "id").crossJoin(F.broadcast(totals))
+    idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return best_of_each(scores, "query_id", [F.desc("score"), F.col("id")], k)
 
-def first_arrival(paths: list[DataFrame], id_col: str, rank: str) -> DataFrame:
-    """Union of the paths: each id once, at its first path and place there, with the paths that found it."""
-    tagged = [p.select(id_col, rank, F.lit(i).alias("path")) for i, p in enumerate(paths)]
+
+def first_arrival(paths: list[DataFrame], query: str, id_col: str, rank: str) -> DataFrame:
+    """Union of a query's paths: each id once, at its first path and place there, with the paths that found it."""
+    tagged = [p.select(query, id_col, rank, F.lit(i).alias("path")) for i, p in enumerate(paths)]
     both = reduce(DataFrame.unionByName, tagged)
-    out = both.groupBy(id_col).agg(F.min(F.struct("path", rank)).alias("first"), F.sort_array(F.collect_set("path")).alias("paths"))
-    return out.select(id_col, F.col("first.path").alias("path"), F.col(f"first.{rank}").alias("place"), F.array_join("paths", ",").alias("paths"))
+    out = both.groupBy(query, id_col).agg(F.min(F.struct("path", rank)).alias("first"), F.sort_array(F.collect_set("path")).alias("paths"))
+    return out.select(query, id_col, F.col("first.path").alias("path"), F.col(f"first.{rank}").alias("place"), F.array_join("paths", ",").alias("paths"))
+
+
+def pooled(df: DataFrame, by: list[str], item: str, score: str) -> DataFrame:
+    """Each unit's best score, the item that has it (ties to the smaller) and how many items it has; the items stay rows of df."""
+    top = F.max_by(item, F.struct(F.col(score), -F.col(item)))
+    return df.groupBy(*by).agg(F.max(score).alias("best"), top.alias("item"), F.count("*").alias("items"))
 
 
-def pooled(df: DataFrame, unit: str, item: str, score: str) -> DataFrame:
-    """Each unit's best score and its items in order."""
-    return df.groupBy(unit).agg(F.max(score).alias("best"), F.array_join(F.sort_array(F.collect_list(item)), ",").alias("items"))
+def barrier(df: DataFrame, queries: DataFrame, query: str, score: str, least: float = LEAST_SCORE) -> DataFrame:
+    """kept and best of each query, and reason: below_threshold if nothing reaches it, no_candidates if nothing was found, else null."""
+    sums = df.groupBy(query).agg(F.count_if(F.col(score) >= least).alias("kept"), F.max(score).alias("best"))
+    out = queries.join(sums, query, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("bigint")))
+    return out.withColumn("reason", F.when(F.col("best").isNull(), "no_candidates").when(F.col("kept") == 0, "below_threshold"))
 
 
-def above(df: DataFrame, score: str, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows at or over the threshold; none left is an answer of its own."""
-    return df.where(F.col(score) >= least)
+def merged_results(results: DataFrame, by: str, unit: str, item: str, score: str, least: float = LEAST_SCORE) -> DataFrame:
+    """Several results as one: each unit with the best score of its items over all, the items it has, and whether any result selected it."""
+    items = results.groupBy(by, unit, item).agg(F.max(score).alias("__s"))
+    units = items.groupBy(by, unit).agg(F.max("__s").alias("best"), F.count("*").alias("items"))
+    return units.withColumn("selected", F.col("best") >= least)
 
 
 def quota(df: DataFrame, category: str, order: list[Column], k: int = UNITS_OF_CATEGORY) -> DataFrame:

@@ -39,12 +39,6 @@ def s8(t: Tables):
 AMOUNT_SQL = "translate(format('{:,.2f}', o_totalprice), ',.', '.,')"
 
 
-@query("M1_amounts", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM orders")
-def m1(t: Tables):
-    text = F.concat(F.lit("$ "), V.amount_text(money("o_totalprice")))
-    return t.orders.select("o_orderkey", V.amount(text).cast("double").alias("amount"))
-
-
 @query("M8_amount_text", "SELECT o_orderkey, translate(format('{:,.2f}', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,') AS amount FROM orders")
 def m8(t: Tables):
     return t.orders.select("o_orderkey", V.amount_text(money("o_totalprice")).alias("amount"))

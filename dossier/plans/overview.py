@@ -12,20 +12,6 @@ WINDOW = 4
 STEP = WINDOW - 1
 
 
-@query(
-    "A2_applicable_on",
-    "SELECT DISTINCT c_mktsegment AS segment FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus = 'F'",
-)
-def a2(t: Tables):
-    valid = t.orders.where("o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus = 'F'").select("o_custkey")
-    return t.customer.join(valid, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_mktsegment").alias("segment")).distinct()
-
-
-@query("A7_pooled_score", "SELECT user_id, max(value) AS score FROM events GROUP BY user_id")
-def a7(t: Tables):
-    return t.events.groupBy("user_id").agg(F.max("value").alias("score"))
-
-
 @query(
     "A22_confidence",
     "SELECT l_orderkey, min(CAST(l_quantity AS BIGINT)) AS least, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(l_quantity) AS average FROM lineitem GROUP BY l_orderkey",

@@ -8,66 +8,112 @@ from pyspark.sql.window import Window
 from ..operators import retrieval as Q
 from .registry import Tables, query
 
-WORDS = ["the", "of", "ther", "und", "que"]
+def _asked(t: Tables):
+    """The stated queries of a vector search: every row whose id is divisible by 20."""
+    return t.embeddings.where("vec_id % 20 = 0")
 
 
-def _query_vector(t: Tables) -> list[float]:
-    return list(t.embeddings.where("vec_id = 0").select("embedding").first()[0])
+def _near(t: Tables, k: int | None = Q.CANDIDATES):
+    return Q.cosine_distances(t.embeddings, _asked(t), "vec_id", "embedding", k)
 
 
-COSINE = """
-q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-d AS (SELECT vec_id, label, round(1 - list_inner_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q, q))), 6) AS distance FROM embeddings, q)
+V = "CAST(embedding AS DOUBLE[])"
+COSINE = f"""
+e AS (SELECT vec_id, label, {V} AS v, sqrt(list_inner_product({V}, {V})) AS n FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(1 - list_inner_product(e.v, q.v) / (e.n * q.n), 6) + 0.0 AS distance FROM e JOIN e q ON q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS place FROM d)
 """
 
 
-@query("T1_cosine_topk", f"WITH {COSINE} SELECT vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 30")
+@query("T1_cosine_topk", f"WITH {COSINE} SELECT query_id, id, distance, place FROM r WHERE place <= 30")
 def t1(t: Tables):
-    return Q.nearest_vectors(t.embeddings, "vec_id", "embedding", _query_vector(t))
+    return _near(t)
 
 
-HITS = f"""
-h AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1)), {WORDS})) AS hits FROM documents)
+HITS = r"""
+w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1)) AS w FROM documents), i AS (SELECT w, id, count(*) AS tf FROM w GROUP BY 1, 2),
+z AS (SELECT id, count(*) AS size FROM w GROUP BY 1), m AS (SELECT avg(size) AS mean, (SELECT count(*) FROM documents) AS docs FROM z), f AS (SELECT w, count(*) AS df FROM i GROUP BY 1),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1))) AS w FROM benchmark),
+s AS (SELECT query_id, id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN i USING (w) JOIN f USING (w) JOIN z USING (id), m GROUP BY 1, 2)
 """
 
 
-@query("T2_words_topk", f"WITH {HITS} SELECT doc_id, CAST(hits AS INTEGER) AS hits FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 30")
+@query("T2_words_topk", f"WITH {HITS} SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM s) WHERE place <= 30")
 def t2(t: Tables):
-    return Q.word_hits(t.documents, "doc_id", "text", WORDS)
+    """The best documents for each benchmark passage by its words (BM25, a documented stand-in for another ranking formula)."""
+    return Q.word_scores(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
 
 
-@query("T5_threshold", f"WITH {COSINE} SELECT vec_id, 1 - distance AS score FROM d WHERE 1 - distance >= 0.219".replace("1 - distance AS score", "round(1 - distance, 6) AS score"))
+@query(
+    "T5_threshold",
+    f"WITH {COSINE} SELECT query_id, count(*) FILTER (1 - distance >= 0.219) AS kept, round(max(1 - distance), 6) AS best, CASE WHEN count(*) FILTER (1 - distance >= 0.219) = 0 THEN 'below_threshold' END AS reason FROM d WHERE id <> query_id GROUP BY 1",
+)
 def t5(t: Tables):
-    rows = t.embeddings.select("vec_id", F.round(1 - F.round(Q.cosine_distance("embedding", _query_vector(t)), 6), 6).alias("score"))
-    return Q.above(rows, "score")
+    """How many rows pass the barrier for each query; none is an abstention with its reason."""
+    scores = _near(t, None).where("id <> query_id").withColumn("score", F.round(1 - F.col("distance"), 6))
+    return Q.barrier(scores, _asked(t).select(F.col("vec_id").alias("query_id")), "query_id", "score")
+
 
+def _labelled(t: Tables, found):
+    return found.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
 
-@query("A6_pooled", f"WITH {COSINE} SELECT label, min(distance) AS best, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS items FROM d GROUP BY 1")
+
+@query("A6_pooled", f"WITH {COSINE} SELECT query_id, label, -min(distance) AS best, arg_min(id, (distance, id)) AS item, count(*) AS items FROM r WHERE place <= 30 GROUP BY 1, 2")
 def a6(t: Tables):
-    rows = t.embeddings.select("label", "vec_id", (-F.round(Q.cosine_distance("embedding", _query_vector(t)), 6)).alias("score"))
-    return Q.pooled(rows, "label", "vec_id", "score").select("label", (-F.col("best")).alias("best"), "items")
+    """Candidates pooled to their units for each query: the best score, the passage that has it, how many there are."""
+    rows = _labelled(t, _near(t)).withColumn("score", -F.col("distance"))
+    return Q.pooled(rows, ["query_id", "label"], "id", "score")
+
+
+@query(
+    "A7_pooled_score",
+    f"""WITH {COSINE}, u AS (SELECT query_id, label, id % 10 AS unit, max(1 - distance) AS score FROM d GROUP BY 1, 2, 3)
+SELECT query_id, label, round(max(score), 6) AS score, arg_max(unit, (score, -unit)) AS unit, count(*) AS units FROM u GROUP BY 1, 2""",
+)
+def a7(t: Tables):
+    """Passages to units to documents: each level keeps the best score of the one below, and the unit that has it."""
+    rows = _labelled(t, _near(t, None)).withColumn("unit", F.col("id") % 10).withColumn("score", F.round(1 - F.col("distance"), 6))
+    units = Q.pooled(rows, ["query_id", "label", "unit"], "id", "score").select("query_id", "label", "unit", F.col("best").alias("score"))
+    out = Q.pooled(units, ["query_id", "label"], "unit", "score")
+    return out.select("query_id", "label", F.col("best").alias("score"), F.col("item").alias("unit"), F.col("items").alias("units"))
+
+
+PATHS = f"""{COSINE}, l AS (SELECT q.query_id, e.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY e.vec_id) AS INTEGER) AS place FROM (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0) q JOIN embeddings e ON e.label = q.label QUALIFY place <= 30),
+u AS (SELECT query_id, id, 0 AS path, place FROM r WHERE place <= 30 UNION ALL SELECT query_id, id, 1, place FROM l)"""
+
 
+def _paths(t: Tables):
+    """Two ways to candidates: the nearest, and those of the query's label in order of id (a report of thirty a label)."""
+    first = Q.best_of_each(t.embeddings.select("label", F.col("vec_id").alias("id")), "label", [F.col("id")], Q.CANDIDATES)
+    same = _asked(t).select(F.col("vec_id").alias("query_id"), "label").join(first, "label").select("query_id", "id", "place")
+    return [_near(t).select("query_id", "id", "place"), same]
 
-@query("A8_path_counts", f"WITH {COSINE} SELECT label, count(*) AS passages, count(DISTINCT vec_id % 10) AS units FROM d GROUP BY 1")
+
+@query("A8_path_counts", f"WITH {PATHS} SELECT query_id, path, count(*) AS passages, count(DISTINCT id % 10) AS units FROM u GROUP BY 1, 2")
 def a8(t: Tables):
-    return t.embeddings.groupBy("label").agg(F.count("*").alias("passages"), F.countDistinct(F.col("vec_id") % 10).alias("units"))
+    near, same = _paths(t)
+    both = near.withColumn("path", F.lit(0)).unionByName(same.withColumn("path", F.lit(1)))
+    return both.groupBy("query_id", "path").agg(F.count("*").alias("passages"), F.countDistinct(F.col("id") % 10).alias("units"))
 
 
 @query(
     "W17_first_arrival",
-    f"""WITH {COSINE}, v AS (SELECT vec_id AS id, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS place FROM d QUALIFY place <= 30),
-{HITS}, w AS (SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY hits DESC, doc_id) AS INTEGER) AS place FROM h WHERE hits > 0 QUALIFY place <= 30),
-u AS (SELECT id, 0 AS path, place FROM v UNION ALL SELECT id, 1, place FROM w)
-SELECT id, CAST(min(path) AS INTEGER) AS path, CAST(min(place) FILTER (path = p) AS INTEGER) AS place, string_agg(CAST(path AS VARCHAR), ',' ORDER BY path) AS paths
-FROM (SELECT *, min(path) OVER (PARTITION BY id) AS p FROM u) GROUP BY id""",
+    f"""WITH {PATHS} SELECT query_id, id, CAST(min(path) AS INTEGER) AS path, CAST(min(place) FILTER (path = p) AS INTEGER) AS place, string_agg(CAST(path AS VARCHAR), ',' ORDER BY path) AS paths
+FROM (SELECT *, min(path) OVER (PARTITION BY query_id, id) AS p FROM u) GROUP BY 1, 2""",
 )
 def w17(t: Tables):
-    vectors = Q.nearest_vectors(t.embeddings, "vec_id", "embedding", _query_vector(t))
-    hits = Q.word_hits(t.documents, "doc_id", "text", WORDS)
-    # thirty rows each: the places in a list that is already cut
-    a = vectors.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("place"))
-    b = hits.select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")).alias("place"))
-    return Q.first_arrival([a, b], "id", "place")
+    return Q.first_arrival(_paths(t), "query_id", "id", "place")
+
+
+@query(
+    "G17_merged_results",
+    f"""WITH {COSINE}, i AS (SELECT query_id // 100 AS question, label, id, max(1 - distance) AS s FROM r WHERE place <= 30 GROUP BY 1, 2, 3)
+SELECT question, label, round(max(s), 6) AS best, count(*) AS items, max(s) >= 0.219 AS selected FROM i GROUP BY 1, 2""",
+)
+def g17(t: Tables):
+    """The results of several fixed questions as one: best scores of passages and units, and which units any of them selected."""
+    rows = _labelled(t, _near(t)).selectExpr("query_id div 100 AS question", "label", "id", "round(1 - distance, 6) AS s")
+    return Q.merged_results(rows, "question", "label", "id", "s")
 
 
 @query("W9_quota", "SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS turn FROM part QUALIFY turn <= 3")
@@ -93,16 +139,3 @@ WHERE role <> 'system' AND ((r1 = 'system' AND t1 = turn - 1) OR (r2 = 'system'
 )
 def j10(t: Tables):
     return Q.neighbours(t.conversations, ["conv_id"], "turn", F.col("role") == "system").select("conv_id", "turn")
-
-
-@query("G17_merged_results", f"WITH {COSINE}, a AS (SELECT vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 30), b AS (SELECT vec_id, distance FROM d WHERE label = 1) SELECT vec_id, min(distance) AS distance FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1")
-def g17(t: Tables):
-    v = _query_vector(t)
-    a = Q.nearest_vectors(t.embeddings, "vec_id", "embedding", v)
-    b = t.embeddings.where("label = 1").select("vec_id", F.round(Q.cosine_distance("embedding", v), 6).alias("distance"))
-    return a.unionByName(b).groupBy("vec_id").agg(F.min("distance").alias("distance"))
-
-
-@query("U7_any_variant", "SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1), ['thinar', 'ingtion', 'erst', 'auque'])")
-def u7(t: Tables):
-    return t.documents.where(F.arrays_overlap(Q.words("text"), F.array(*[F.lit(w) for w in ("thinar", "ingtion", "erst", "auque")]))).select("doc_id")
