@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import forget, saved
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs u, v with m, the least of u and all v of that u."""
+def _with_least(pairs: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """pairs u, v with m, the least of u and all v of that u.
+
+    The least of each u is a table of its own (added to made): the join then shuffles both sides for itself, and Spark can split
+    the pairs of a node that very many others link to.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    made.append(saved(least, "least"))
+    return pairs.join(made[-1], "u")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -23,12 +28,14 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     )
     state = None
     while True:
+        made: list[DataFrame] = []
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large)
+        large = _with_least(both, made).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, made)
         small = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m"))
         old, edges = edges, saved(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
-        forget(old)
+        for table in (old, *made):
+            forget(table)
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, mark) == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

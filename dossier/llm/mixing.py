@@ -83,7 +83,7 @@ def pivot(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tuple[np.n
 
 def _rounding(level: int, last: bool, seed: int):
     def fn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "size", "part"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["doc_id", "digest", "size", "part"], kind="stable").reset_index(drop=True)
         own = crc32(repr((seed, level, *(None if pd.isna(k) else k for k in key))).encode())
         draws = np.random.Generator(np.random.PCG64(own)).random(len(group))
         part, held = pivot(group["size"].to_numpy(), group["part"].to_numpy(), draws)
@@ -112,6 +112,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
         ),
         "mix-rows",
     )
@@ -137,7 +138,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
             "target",
             whole.alias("whole"),
             F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("part"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"),
+            "digest",
+            F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)).alias("bucket"),
         )
     )
     done, depth = [], 0

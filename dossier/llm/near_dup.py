@@ -4,14 +4,15 @@
    node from here on, found by a digest of the whole set.
 2. Inverted lists of retained values: a node is listed under the values of its sketch that are rarest over all sketches,
    as many as needed for two documents of the asked similarity to meet in a list (prefix filtering; sketches that hold
-   a whole set make this exact, cut ones keep 5.5 standard deviations of slack). Passages that many documents share come
-   last in that order and bring together only documents that they dominate.
+   a whole set make this exact; of sets larger than a sketch, SLACK standard deviations are allowed for, so a link of exactly
+   the threshold is missed with a chance of some 2e-8). Passages that many documents share come last in that order and bring
+   together only documents that they dominate.
 3. In each list every member meets the list's pivot. The union sketch of a pair (the smallest values of both sketches
    together) estimates its similarity; pairs far below the threshold go. The rest are confirmed on the full sets.
 4. Links make components. Lists whose members are in one component are done. In the others, members of different
    components still have to meet: short lists give those pairs to step 3; nodes of long lists, clustered by the lists
-   they share, are compared whole in blocks of bounded size, and only links leave the task. So no link is lost, and a
-   large group of near copies costs one pair a member and not all its pairs.
+   they share, are compared whole in blocks of bounded size, and only links leave the task. So no pair that meets is
+   left out, and a large group of near copies costs one pair a member and not all its pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ from .shingles import shingle_sets
 from .storage import forget, saved, short_batches
 
 SKETCH = 160
-#: Cells of the table of how often sketch values occur: a bound of what is broadcast, whatever the corpus.
-CELLS = 1 << 16
+#: Cells of the table of how often sketch values occur, at least and at most; they grow with the number of values.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
+#: A cell counts as frequent from so many times the average on; frequent cells that are kept, at most. The rest rank alike.
+FREQUENT = 2.0
+MOST_FREQUENT = 1 << 18
 #: Lists up to this length give pairs; longer ones are compared in blocks of BLOCK nodes.
 SHORT_LIST = 24
 BLOCK = 512
@@ -82,18 +86,36 @@ def _sketches(words: int):
     return fn
 
 
-def _listed(cells: np.ndarray, percent: int):
+def _listed(mask: int, frequent: np.ndarray, counts: np.ndarray, percent: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = []
             for n, sketch in zip(batch["n"], batch["sketch"], strict=True):
-                order = np.lexsort((sketch, cells[sketch & (CELLS - 1)]))
+                cell = sketch & mask
+                place = np.minimum(np.searchsorted(frequent, cell), max(len(frequent) - 1, 0))
+                often = np.where(frequent[place] == cell, counts[place], 0) if len(frequent) else np.zeros(len(cell))
+                order = np.lexsort((sketch, often))
                 keys.append(sketch[order[: list_values(n, len(sketch), percent)]])
             yield pd.DataFrame({"id": batch["id"], "keys": keys})
 
     return fn
 
 
+def frequent_cells(values: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """A mask for the cells of values (a column v), the frequent cells in order, and their counts.
+
+    Only cells far above the average come to the driver, MOST_FREQUENT of them at most (the most frequent ones): a bounded table,
+    whatever the corpus. Which values rank last decides how long lists get, never which links are found.
+    """
+    total = values.count()
+    cells = LEAST_CELLS
+    while cells < MOST_CELLS and cells * 4 < total:
+        cells *= 2
+    counted = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count()
+    top = counted.where(F.col("count") > max(2.0, FREQUENT * total / cells)).orderBy(F.desc("count"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
+    return cells - 1, top["cell"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+
+
 def _passing(percent: int):
     bound = least_overlap(SKETCH, percent) / SKETCH
 
@@ -188,15 +210,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ids = members.where(F.col("id") == F.col("rep")).select("id", "sig").distinct()
     nodes = full.join(ids, ["id", "sig"]).dropDuplicates(["sig"]).select("id", "n", "sketch")
 
-    counted = full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND(CELLS - 1).alias("cell"))
-    cells = np.zeros(CELLS, np.int64)
-    for r in counted.count().collect():  # CELLS rows at most
-        cells[r["cell"]] = r["count"]
-    listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
+    mask, frequent, counts = frequent_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
+    listed = nodes.mapInPandas(_listed(mask, frequent, counts, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
     listed = saved(listed, "listed")
-    lists = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1)
+    # a table of its own, as with reps: a value that very many nodes are listed under can be split
+    lists = saved(listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1), "lists")
     shared = saved(listed.join(lists, "v"), "shared")
     forget(listed)
+    forget(lists)
 
     stars = shared.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = saved(_verified(stars, full, texts, words, percent), "star-links")

@@ -4,7 +4,8 @@ A text's blended spectrum is the set of its byte n-grams of several lengths (ASC
 than letters a space), hashed into a fixed number of places. The kernel of two texts is the number of places both
 have, over the root of the product of their numbers. Nyström landmarks (a bounded sample of training texts) turn it
 into features, and one ridge regression for each language (that language or not) weighs them. Scoring multiplies a
-batch's presence matrix with the landmarks' and the weights.
+batch's presence matrix with the landmarks' and the weights. A long text is scored in windows that together cover all of it, and
+its margins are the windows' means by length: the set of a whole long text would fill most places, whatever its language.
 """
 
 from __future__ import annotations
@@ -23,29 +24,34 @@ WIDTH = sum(PLACES.values())
 LANDMARKS = 192
 RIDGE = 1e-3
 SHARPNESS = 6.0
-#: Texts of a presence matrix, and bytes whose n-grams are made at a time.
+#: Texts of a presence matrix, and bytes of a window.
 BATCH = 256
-PIECE = 1 << 20
+WINDOW = 4096
 UNDETERMINED = "und"
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def windows(text: bytes) -> list[bytes]:
+    """The text in runs of equal length up to WINDOW; each goes on a little, so that no n-gram is cut."""
+    count = max(1, -(-len(text) // WINDOW))
+    size = -(-len(text) // count)
+    return [text[i * size : (i + 1) * size + max(PLACES) - 1] for i in range(count)]
+
+
 def presence(texts: list[bytes]) -> np.ndarray:
     """A row for each text, 1 in the places its n-grams have; the whole text counts."""
     out = np.zeros((len(texts), WIDTH), np.float32)
     for row, text in zip(out, texts, strict=True):
-        folded = b" " + text.translate(_FOLD) + b" "
-        for at in range(0, len(folded), PIECE):
-            b = np.frombuffer(folded[at : at + PIECE + max(PLACES) - 1], np.uint8).astype(np.uint32)
-            code, base = np.zeros(len(b), np.uint32), 0
-            for n, places in PLACES.items():
-                if len(b) < n:
-                    break
-                code = code[: len(b) - n + 1] << np.uint32(8) | b[n - 1 :]
-                place = code if n == 1 else code * np.uint32(2654435761) >> np.uint32(32 - places.bit_length() + 1)
-                row[base + place.astype(np.int64)] = 1
-                base += places
+        b = np.frombuffer(b" " + text.translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
+        code, base = np.zeros(len(b), np.uint32), 0
+        for n, places in PLACES.items():
+            if len(b) < n:
+                break
+            code = code[: len(b) - n + 1] << np.uint32(8) | b[n - 1 :]
+            place = code if n == 1 else code * np.uint32(2654435761) >> np.uint32(32 - places.bit_length() + 1)
+            row[base + place.astype(np.int64)] = 1
+            base += places
     return out
 
 
@@ -68,7 +74,8 @@ class StringKernel:
             return cls([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
         runs, y = [], []
         for text, lang in zip(texts, languages, strict=True):
-            runs.append(text)
+            own = windows(text)
+            runs.append(own[int(rng.integers(0, len(own)))])
             size = int(np.exp(rng.uniform(np.log(12), np.log(400))))
             at = int(rng.integers(0, max(1, len(text) - size)))
             runs.append(text[at : at + size])
@@ -96,10 +103,15 @@ class StringKernel:
         """The likeliest language of each text and its share of the softmax over all."""
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        parts = [windows(t) for t in texts]
+        flat = [w for own in parts for w in own]
         margin = np.concatenate(
             [np.zeros((0, len(self.languages)), np.float32)]
-            + [self._kernel(presence(texts[i : i + BATCH]), self.landmarks) @ self.weights + self.bias for i in range(0, len(texts), BATCH)]
+            + [self._kernel(presence(flat[i : i + BATCH]), self.landmarks) @ self.weights + self.bias for i in range(0, len(flat), BATCH)]
         ).astype(np.float64)
+        if len(texts):  # windows of a text are of one length, so their mean is by length
+            count = np.array([len(own) for own in parts])
+            margin = np.add.reduceat(margin, np.cumsum(count) - count, axis=0) / count[:, None]
         share = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         best = margin.argmax(axis=1)

@@ -16,7 +16,7 @@ def test_gradients_match_differences():
     y = np.array([0, 1, 1, 0], np.float32)
     model = byte_cnn.ByteCNN(1)
     # shifts off 0: there, the pools of padding lie on a corner of the activation, where differences are no gradient
-    model.p = {k: v.astype(np.float64) + (rng.normal(0, 0.3, v.shape) if k == "shift" else 0) for k, v in model.p.items()}
+    model.p = {k: v.astype(np.float64) + (0.5 if k == "shift" else 0) for k, v in model.p.items()}
     loss = lambda: float(-np.mean(np.log(np.where(y == 1, model.score(texts), 1 - model.score(texts)))))
     g = model.gradients(texts, y)
     for name, own in model.p.items():
@@ -61,6 +61,56 @@ def test_kernel_finds_languages_and_undetermined(spark):
     assert {r["p"]["lang_pred"] for r in docs.select(string_kernel.language(none, F.col("text")).alias("p")).collect()} == {"und"}
 
 
+def naive_score(model, text):
+    """The network, one window at a time."""
+    n = -(-(len(text) + byte_cnn.WINDOW) // byte_cnn.HALF)
+    filled = text + bytes(n * byte_cnn.HALF - len(text))
+    pools = np.full((n, byte_cnn.FILTERS), -np.inf)
+    for at in range(0, len(filled) - byte_cnn.WINDOW + 1, byte_cnn.STRIDE):
+        own = model.p["bytes"][list(filled[at : at + byte_cnn.WINDOW])].reshape(-1) @ model.p["filters"]
+        pools[at // byte_cnn.HALF] = np.maximum(pools[at // byte_cnn.HALF], own)
+    chunks = [np.maximum(pools[i], pools[i + 1]) for i in range(n - 1)] or [pools[0]]
+    chunks.append(chunks[-1]) if n > 1 else None  # the last half chunk stands in its chunk with the one before
+    active = np.maximum(np.array(chunks) + model.p["shift"], 0)
+    z = np.concatenate((active.mean(0), active.max(0), active.min(0), [np.log1p(len(text)) / 8]))
+    return float(model.head(z[None, :])[0][0])
+
+
+def test_pools_equal_a_naive_convolution():
+    model = byte_cnn.ByteCNN(3)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(32, 127, n).tolist()) for n in (1, 7, 255, 257, 1500)]
+    assert np.allclose(model.score(texts), [naive_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_kernel_equals_sets_of_grams():
+    texts = [b"the old house", b"das alte Haus!", b"the older houses", b"x"]
+    rows = string_kernel.presence(texts)
+    scaled = rows / np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None]
+    found = string_kernel.StringKernel._kernel(rows, scaled)
+
+    def grams(text):
+        low = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text) + b" "
+        return {low[i : i + n] for n in string_kernel.PLACES for i in range(len(low) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    want = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.abs(found - want).max() < 0.03  # places that two n-grams share
+
+
+def test_long_texts_are_told_apart():
+    rng = np.random.default_rng(0)
+    letters = {"a": list("abcdefgh"), "b": list("efghijkl")}
+    words = {k: ["".join(rng.choice(v, 6)) for _ in range(3000)] for k, v in letters.items()}
+    train = [(" ".join(rng.choice(words[k], 60)), k) for k in ["a", "b"] * 40]
+    model = string_kernel.StringKernel.fit([t.encode() for t, _ in train], [k for _, k in train])
+    long = {k: " ".join(rng.choice(v, 30_000)).encode() for k, v in words.items()}
+    assert model.predict([long["a"], long["b"], b"", long["b"][:90]])[0][:2] == ["a", "b"]
+    for t in (b"", b"x", long["a"][:9000]):
+        own = string_kernel.windows(t)
+        assert len({len(w) for w in own[:-1]}) <= 1 and all(g in b"".join(own) for g in (t[:4], t[-4:]))
+
+
 def test_sample_is_bounded_and_even(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), 50).alias("text"))
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 200, 0).otherwise(1).alias("label"))
