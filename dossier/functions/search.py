@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -170,14 +171,14 @@ class SearchQuery:
     none_of: list[tuple[str, ...]] = field(default_factory=list)
 
 
-def parse_search(text: str) -> SearchQuery:
+def parse_search(text: str, stemmer: Callable[[str], str] = stem, stop: Collection[str] = STOP_WORDS) -> SearchQuery:
     """Words are all asked for; or gives alternatives, quotes a phrase, a minus sign excludes."""
     out = SearchQuery([[]])
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
         if word.lower() == "or" and not minus:
             out.any_of.append([])
             continue
-        terms = tuple(stem(w) for w in re.findall(r"[^\W_]+(?:/\d+)*", (phrase or word).lower()) if w not in STOP_WORDS)
+        terms = tuple(stemmer(w) for w in re.findall(r"[^\W_]+(?:/\d+)*", (phrase or word).lower()) if w not in stop)
         if terms:
             (out.none_of if minus else out.any_of[-1]).append(terms)
     out.any_of = [x for x in out.any_of if x]

@@ -17,12 +17,10 @@ def ancestors(key: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def consultable_units(units: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
-    """Units of documents in force, with the earliest repeal that reaches them.
+def earliest_repeals(units: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
+    """Units in force that a repeal reaches, with the earliest one: repealed_on, relation_id, repealed_by.
 
-    units: norm_id, unit_id, key, effective_from, effective_to; relations: relation_id, relation_type, target_norm_id,
-    target_unit_key (null: the whole norm), source_norm_id, effective_date. A repeal of a unit reaches what is inside
-    it. Containment is an equality join on the unit's ancestors, so no pair of unit and relation is made in vain.
+    Containment is an equality join on the unit's ancestors, so no pair of unit and relation is made in vain.
     """
     valid = units.where(in_force("effective_from", "effective_to", at))
     repeals = relations.where((F.col("relation_type") == "deroga") & (F.col("effective_date") <= at)).select(
@@ -32,13 +30,20 @@ def consultable_units(units: DataFrame, relations: DataFrame, at: Column) -> Dat
     )
     reached = valid.select("norm_id", "unit_id", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("key")))).alias("reach"))
     first = reached.join(repeals, ["norm_id", "reach"]).groupBy("unit_id").agg(F.min("repeal").alias("repeal"))
-    out = valid.join(first, "unit_id", "left")
-    return out.select(
-        *valid.columns,
-        F.col("repeal").isNotNull().alias("repealed"),
-        F.col("repeal.effective_date").alias("repealed_on"),
-        F.col("repeal.source_norm_id").alias("repealed_by"),
-    )
+    found = {"repealed_on": "effective_date", "relation_id": "relation_id", "repealed_by": "source_norm_id"}
+    return valid.join(first, "unit_id").select(*valid.columns, *[F.col(f"repeal.{x}").alias(k) for k, x in found.items()])
+
+
+def consultable_units(units: DataFrame, relations: DataFrame, at: Column) -> DataFrame:
+    """Units of documents in force, with the earliest repeal that reaches them.
+
+    units: norm_id, unit_id, key, effective_from, effective_to; relations: relation_id, relation_type, target_norm_id,
+    target_unit_key (null: the whole norm), source_norm_id, effective_date. A repeal of a unit reaches what is inside it.
+    """
+    valid = units.where(in_force("effective_from", "effective_to", at))
+    first = earliest_repeals(units, relations, at).select("unit_id", "repealed_on", "repealed_by")
+    out = valid.join(first.dropDuplicates(["unit_id"]), "unit_id", "left")
+    return out.select(*valid.columns, F.col("repealed_on").isNotNull().alias("repealed"), "repealed_on", "repealed_by")
 
 
 def unit_changes(units: DataFrame, relations: DataFrame, at: Column) -> DataFrame:

@@ -92,6 +92,3 @@ def j15(t: Tables):
     return L.changed(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), ["user_id", "event_type"], ["event_id"], "d").select("event_id")
 
 
-@query("Z7_latest_progress", "SELECT user_id, CAST(json_extract(arg_max(props, event_id), '$.k') AS INTEGER) AS k FROM events GROUP BY 1")
-def z7(t: Tables):
-    return t.events.groupBy("user_id").agg(F.get_json_object(F.max_by("props", "event_id"), "$.k").cast("int").alias("k"))

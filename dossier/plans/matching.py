@@ -33,17 +33,6 @@ def j14(t: Tables):
     return L.unanswered(t.conversations.where("role = 'user'").select("conv_id", "turn"), answers, ["conv_id", "turn"])
 
 
-@query(
-    "J16_unique_match",
-    """WITH m AS (SELECT c_custkey, s_suppkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 2000) = floor(s_acctbal / 2000)),
-k AS (SELECT c_custkey, s_suppkey FROM m WHERE n = 1) SELECT c_custkey, s_suppkey FROM customer LEFT JOIN k USING (c_custkey)""",
-)
-def j16(t: Tables):
-    a = t.customer.select("c_custkey", F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 2000).alias("b"))
-    b = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 2000).alias("b"))
-    return X.unique_match(a, b, ["n", "b"], "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey")
-
-
 @query(
     "J20_carry_over",
     """WITH a AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0),
@@ -62,11 +51,6 @@ def j21(t: Tables):
     return t.orders.join(total, "o_orderkey", "left").select("o_orderkey", state.alias("state"))
 
 
-@query("J23_regime_pairs", "SELECT a.item_id AS first_id, b.item_id AS second_id FROM benchmark a JOIN benchmark b ON left(a.text, 1) = left(b.text, 1) AND a.item_id < b.item_id")
-def j23(t: Tables):
-    return X.pairs_within(t.benchmark.select(F.substring("text", 1, 1).alias("q"), "item_id"), "q", "item_id")
-
-
 @query("U1_open_closed", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS is_open FROM customer")
 def u1(t: Tables):
     ids = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("c_custkey"))
@@ -80,24 +64,6 @@ def u5(t: Tables):
     return L.unanswered(kinds("event_id >= 5000"), kinds("event_id < 5000"), ["user_id", "event_type"])
 
 
-@query("G3_same_document", "SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id <> b.doc_id WHERE b.doc_id = (SELECT min(doc_id) FROM documents c WHERE md5(c.text) = md5(a.text))")
-def g3(t: Tables):
-    rows = t.documents.select("doc_id", F.md5("text").alias("d"))
-    first = rows.groupBy("d").agg(F.min("doc_id").alias("other"))
-    return rows.join(first, "d").where("doc_id <> other").select("doc_id", "other")
-
-
-@query("G18_first_source", "SELECT p_name, arg_min(p_brand, p_partkey) AS brand, coalesce(arg_min(p_size, p_partkey) FILTER (p_size > 25), -1) AS size FROM part GROUP BY 1")
-def g18(t: Tables):
-    size = F.min_by(F.when(F.col("p_size") > 25, F.col("p_size")), F.when(F.col("p_size") > 25, F.col("p_partkey")))
-    return t.part.groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("brand"), F.coalesce(size, F.lit(-1)).alias("size"))
-
-
-@query("G30_current_text", "SELECT l_partkey, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) AS current FROM lineitem GROUP BY 1")
-def g30(t: Tables):
-    return t.lineitem.groupBy("l_partkey").agg(F.max_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("current"))
-
-
 @query(
     "W16_chain_closure",
     """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderpriority LIKE '1%'), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

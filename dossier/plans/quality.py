@@ -35,10 +35,11 @@ def a15(t: Tables):
 @query(
     "A17_confusion",
     """SELECT CASE WHEN p IS NULL THEN 'abstained' WHEN p = quality THEN 'exact' ELSE 'wrong' END AS outcome, count(*) AS n FROM labels
-LEFT JOIN (SELECT doc_id, CASE WHEN n_chars > 200 THEN 1 ELSE 0 END AS p FROM documents WHERE doc_id % 5 > 0) d USING (doc_id) GROUP BY 1""",
+LEFT JOIN (SELECT doc_id, CASE WHEN n_chars > 200 THEN 1 WHEN n_chars > 60 THEN 0 END AS p FROM documents) d USING (doc_id) GROUP BY 1""",
 )
 def a17(t: Tables):
-    guess = t.documents.where("doc_id % 5 > 0").select("doc_id", F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("p"))
+    # a very short text gives no guess
+    guess = t.documents.select("doc_id", F.when(F.col("n_chars") > 200, 1).when(F.col("n_chars") > 60, 0).alias("p"))
     return M.confusion(guess, t.labels, "doc_id", "p", "quality")
 
 
@@ -55,14 +56,17 @@ def a18(t: Tables):
 
 
 RUNS = """
-a AS (SELECT event_id % 4000 AS k, bool_and(value > 5) AS p FROM events WHERE event_id % 3 <> 0 GROUP BY 1), b AS (SELECT event_id % 4000 AS k, bool_and(value < 90) AS p FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+a AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) || '-' || hour(ts) AS k, bool_and(value > 5) AS p FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1),
+b AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) || '-' || hour(ts) AS k, bool_and(value < 90) AS p FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY 1)
 """
 CHANGE = "CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' WHEN a.p AND NOT b.p THEN 'regression' WHEN NOT a.p AND b.p THEN 'improvement' ELSE 'same' END"
 
 
 def _runs(t: Tables):
-    run = lambda keep, ok: t.events.where(keep).groupBy((F.col("event_id") % 4000).alias("k")).agg(F.bool_and(F.expr(ok)).alias("p"))
-    return run("event_id % 3 <> 0", "value > 5"), run("event_id % 2 = 0", "value < 90")
+    """Two runs over the same cases (a user's hour): what was seen, and what was done; errors are in both."""
+    case = F.concat_ws("-", "user_id", F.to_date("ts"), F.hour("ts")).alias("k")
+    run = lambda kinds, ok: t.events.where(F.col("event_type").isin(*kinds)).groupBy(case).agg(F.bool_and(F.expr(ok)).alias("p"))
+    return run(["view", "click", "error"], "value > 5"), run(["signup", "purchase", "error"], "value < 90")
 
 
 @query("J24_compare_runs", f"WITH {RUNS} SELECT k, {CHANGE} AS change FROM a FULL JOIN b USING (k)")
@@ -77,11 +81,12 @@ def u6(t: Tables):
 
 @query(
     "M6_gap_threshold",
-    """WITH x AS (SELECT min(n_chars) FILTER (quality = 1 AND n_chars > 900) AS p, max(n_chars) FILTER (quality = 0 AND n_chars < 600) AS n FROM labels JOIN documents USING (doc_id))
-SELECT round(p / 1000, 6) AS worst_positive, round(n / 1000, 6) AS best_negative, floor((round(p / 1000, 6) + round(n / 1000, 6)) / 2 * 1000) / 1000 AS threshold FROM x""",
+    """WITH x AS (SELECT min(n_chars) FILTER (quality = 1) AS p, max(n_chars) FILTER (quality = 0) AS n FROM labels JOIN documents USING (doc_id))
+SELECT round(p / 1000, 6) AS worst_positive, round(n / 1000, 6) AS best_negative, CASE WHEN p > n THEN floor((round(p / 1000, 6) + round(n / 1000, 6)) / 2 * 1000) / 1000 END AS threshold FROM x""",
 )
 def m6(t: Tables):
-    both = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").where("(quality = 1 AND n_chars > 900) OR (quality = 0 AND n_chars < 600)")
+    """The threshold between all good and all poor documents; null where they overlap."""
+    both = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
     return M.gap_threshold(both.withColumn("s", F.round(F.col("n_chars") / 1000, 6)), "s", F.col("quality") == 1)
 
 

@@ -28,7 +28,7 @@ def _units(t: Tables):
 
 def _relations(t: Tables):
     """Orders of some priorities repeal or change a unit or the whole of the order before them."""
-    o = t.orders.where("o_orderkey % 3 = 0")
+    o = t.orders
     kind = F.when(F.col("o_orderstatus") == "F", "deroga").otherwise("modifica")
     key = F.when(F.col("o_orderpriority").startswith("1"), F.lit(None)).otherwise(F.concat(F.lit("art-"), F.col("o_custkey") % 7 + 1))
     return o.select(
@@ -42,7 +42,7 @@ u AS (SELECT l_orderkey AS norm_id, l_linenumber, l_partkey, 'art-' || l_linenum
       CAST(l_shipdate AS DATE) AS f, CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) + 400 END AS e FROM lineitem),
 v AS (SELECT * FROM u WHERE f <= DATE '{AT}' AND (e IS NULL OR e > DATE '{AT}')),
 r AS (SELECT o_orderkey AS relation_id, CASE WHEN o_orderstatus = 'F' THEN 'deroga' ELSE 'modifica' END AS kind, o_orderkey - 1 AS target,
-      CASE WHEN o_orderpriority NOT LIKE '1%' THEN 'art-' || (o_custkey % 7 + 1) END AS tkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 = 0 AND CAST(o_orderdate AS DATE) <= DATE '{AT}')
+      CASE WHEN o_orderpriority NOT LIKE '1%' THEN 'art-' || (o_custkey % 7 + 1) END AS tkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{AT}')
 """
 
 

@@ -154,12 +154,6 @@ def a27(t: Tables):
     return once.groupBy("source").agg(F.count("*").alias("copies"), F.sum("n").alias("chars"))
 
 
-@query("G32_identical_copies", "SELECT a.doc_id, min(b.doc_id) AS copy_of FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY 1")
-def g32(t: Tables):
-    first = t.documents.groupBy(F.sha2("text", 256).alias("d")).agg(F.min("doc_id").alias("copy_of"))
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("d")).join(first, "d").where("doc_id > copy_of").select("doc_id", "copy_of")
-
-
 SPANS = "SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_partkey % 500 AS INTEGER) AS s, CAST(l_partkey % 500 + l_quantity * 2 AS INTEGER) AS e FROM lineitem"
 
 
