@@ -53,23 +53,7 @@ def x34(t: Tables):
     return t.documents.select("doc_id", F.array_join(X.stems(F.col("text")), " ").alias("stems"))
 
 
-@query("X33_marks", r"SELECT doc_id, CAST(regexp_matches(text, '[A-Z]{4}') AS INTEGER) + CAST(regexp_matches(text, '\|') AS INTEGER) + CAST(regexp_matches(text, '[$&%#*]{3}') AS INTEGER) AS marks FROM documents")
-def x33(t: Tables):
-    return t.documents.select("doc_id", X.marks(F.col("text"), "[A-Z]{4}", r"\|", "[$&%#*]{3}").alias("marks"))
-
-
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
-HEAD = "translate(" + FOLD.format("lower(trim(line))") + ", 'ñ', 'n')"
-
-
-@query(
-    "X20_headings",
-    rf"""WITH {LINES} SELECT CASE WHEN regexp_matches({HEAD}, '^art(iculo|\.)?\s*\d+') THEN 'article' WHEN regexp_matches({HEAD}, '^(titulo|capitulo|seccion)\b') THEN 'title' WHEN regexp_matches({HEAD}, '^anexo\b') THEN 'annex'
-WHEN regexp_matches({HEAD}, '^([a-z]|\d{{1,2}})[.)]\s') THEN 'item' ELSE 'text' END AS kind, count(*) AS n FROM lines GROUP BY 1""",
-)
-def x20(t: Tables):
-    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy(X.heading(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 PIECES = r"""pieces AS (SELECT split_part(url, '/', 3) AS host, page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '>([^<>]+)<', 1)), '\s+', ' ', 'g')) AS line FROM pages)"""
