@@ -13,6 +13,8 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuyycAAAAAAEEEEIIIIOOOOOUUUUYC"
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u00ad": ""}
 #: Letters and the marks that Unicode puts on them as characters of their own, for the languages covered.
 COMPOSED = {x + mark: unicodedata.normalize("NFC", x + mark) for mark, letters in (("\u0301", "aeiouyAEIOUY"), ("\u0300", "aeiouAEIOU"), ("\u0302", "aeiouAEIOU"), ("\u0308", "aeiouyAEIOU"), ("\u0303", "anoANO"), ("\u0327", "cC")) for x in letters}
+#: Signs before figures and the words they become.
+SIGNS = {"[-−]": "menos", "[+]": "mas", "±": "masmenos"}
 #: Shingle size, least words of a text that is compared, share that makes a copy.
 SHINGLE = 3
 LEAST_WORDS = 20
@@ -39,9 +41,12 @@ def collapsed(text: Column) -> Column:
 
 
 def compared(text: Column) -> Column:
-    """The form in which two statements are compared: plain, without a leading bullet, marks and spaces as one space."""
-    no_bullet = F.regexp_replace(plain(text), r"^\s*(?:[-*•·]|[a-z0-9]{1,3}[.)])\s+", "")
-    return collapsed(F.regexp_replace(no_bullet, r"[^a-z0-9%]+", " "))
+    """The form in which two statements are compared: plain, without a leading "a)", signs before figures as words, marks and spaces
+    as one space."""
+    out = F.regexp_replace(plain(text), r"^\s*\(?[a-z0-9]{1,3}\)\s+", "")
+    for sign, word in SIGNS.items():
+        out = F.regexp_replace(out, rf"(^|[^\p{{L}}\p{{N}}_]){sign}([0-9])", f"$1{word}_$2")
+    return collapsed(F.regexp_replace(out, r"[^\p{L}\p{N}_%]+", " "))
 
 
 def canonical_line(text: Column) -> Column:

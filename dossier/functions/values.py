@@ -116,10 +116,17 @@ def progress(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(99), F.round(done * 100 / total).cast("int"))).otherwise(0)
 
 
-def record_digest(*columns: str) -> Column:
-    """sha256 of a record's canonical text: each column as text, nulls marked, in the order of the names."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def canonical_json(*columns: str) -> Column:
+    """A record as JSON text: fields in the order of their names, a space after colons and commas, nulls written."""
+    value = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+    fields = [F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+
+
+def percent_text(value: Column) -> Column:
+    """A share with one decimal as +12,5 %."""
+    sign = F.when(value < 0, "-").otherwise("+")
+    return F.concat(sign, F.translate(F.format_number(F.abs(value), 1), ",.", ".,"), F.lit(" %"))
 
 
 @F.pandas_udf(ArrayType(DecimalType(18, 2)))

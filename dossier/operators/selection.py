@@ -58,6 +58,17 @@ def packed_groups(df: DataFrame, by: list[str], order: list[str], cost: str, bud
     return _walked(df, by, order, "part bigint", step, cost)
 
 
+def levels(df: DataFrame, by: list[str], order: list[str], place: str, separation: int) -> DataFrame:
+    """level: the first one on which the row's place is that far from the last row put there; rows go in order of place."""
+
+    def step(state: list, own: int) -> int:
+        level = next((i for i, last in enumerate(state) if own - last >= separation), len(state))
+        state[level : level + 1] = [own]
+        return level
+
+    return _walked(df, by, order, "level int", step, place)
+
+
 def systematic(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
     """size rows of each group at even places (i * total div size); all rows of smaller groups."""
     group = Window.partitionBy(*by)

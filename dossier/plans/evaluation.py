@@ -276,13 +276,21 @@ def g16(t: Tables):
     return S.even_parts(t.part.select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 30)
 
 
+
+
 @query(
     "T9_actions",
-    """SELECT c_custkey, o_orderkey, turn FROM (SELECT c_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS INTEGER) AS turn
-FROM orders JOIN customer ON c_custkey = o_custkey) WHERE turn <= 6""",
+    """WITH a AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'missing' WHEN CAST(o_orderdate AS DATE) + 60 < DATE '1998-06-01' THEN 'overdue' WHEN CAST(o_orderdate AS DATE) + 60 = DATE '1998-06-01' THEN 'today' WHEN CAST(o_orderdate AS DATE) + 60 < DATE '1998-06-08' THEN 'closing' ELSE 'pending' END AS mark,
+CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS step FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE mark WHEN 'overdue' THEN 0 WHEN 'today' THEN 1 WHEN 'pending' THEN 2 WHEN 'closing' THEN 3 ELSE 4 END, step, o_orderkey) AS turn, count(*) OVER (PARTITION BY o_custkey) AS n FROM a)
+SELECT o_custkey, o_orderkey, mark, step, CAST(turn AS INTEGER) AS turn, greatest(n - 6, 0) AS rest FROM r WHERE turn <= 6""",
 )
 def t9(t: Tables):
-    urgency = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    turn = F.row_number().over(Window.partitionBy("c_custkey").orderBy(urgency, "o_orderdate", "o_orderkey"))
-    rows = t.orders.join(t.customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.withColumn("turn", turn).where("turn <= 6").select("c_custkey", "o_orderkey", "turn")
+    """The first six things to do of each procedure: overdue, today, pending, closing, missing; then by step; and how many are left."""
+    due, today = F.date_add(F.to_date("o_orderdate"), 60), F.lit("1998-06-01").cast("date")
+    mark = F.when(F.col("o_orderstatus") == "P", "missing").when(due < today, "overdue").when(due == today, "today").when(due < F.date_add(today, 7), "closing").otherwise("pending")
+    rows = t.orders.select("o_custkey", "o_orderkey", mark.alias("mark"), F.substring("o_orderpriority", 1, 1).cast("int").alias("step"))
+    rank = F.array_position(F.array(*[F.lit(m) for m in ("overdue", "today", "pending", "closing", "missing")]), F.col("mark"))
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(rank, "step", "o_orderkey"))
+    left = F.greatest(F.count("*").over(Window.partitionBy("o_custkey")) - 6, F.lit(0))
+    return rows.withColumns({"turn": turn, "rest": left}).where("turn <= 6")

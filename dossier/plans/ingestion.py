@@ -22,11 +22,17 @@ def s7(t: Tables):
     return H.page_lines(t.pages, "page_id", "html")
 
 
-@query("S13_numbered_links", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS name, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
-n AS (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY i) AS turn FROM l) SELECT page_id, CASE WHEN turn = 1 THEN name ELSE name || '#' || turn END AS key FROM n""")
+@query("S13_numbered_links", """WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_replace(html, '(?s)<nav>.*?</nav>', '') AS rest FROM pages),
+l AS (SELECT page_id, 'menu' AS class, unnest(regexp_extract_all(nav, '<a href="([^"]*)"', 1)) AS name, generate_subscripts(regexp_extract_all(nav, '<a href="([^"]*)"', 1), 1) AS i FROM p
+UNION ALL SELECT page_id, 'document', unnest(regexp_extract_all(rest, '<a href="([^"]*)"', 1)), 10000 + generate_subscripts(regexp_extract_all(rest, '<a href="([^"]*)"', 1), 1) FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, class, name ORDER BY i) AS turn FROM l) SELECT page_id, class, class || ':' || name || CASE WHEN turn = 1 THEN '' ELSE '#' || turn END AS key FROM n""")
 def s13(t: Tables):
-    links = t.pages.select("page_id", F.posexplode(H.links(F.col("html"))).alias("i", "name"))
-    return H.numbered(links, ["page_id"], "name", ["i"]).select("page_id", "key")
+    """The links of each page with the class of their section; a key that stands again in a page gets a number."""
+    html = F.col("html")
+    part = lambda name, text: t.pages.select("page_id", F.lit(name).alias("class"), F.posexplode(H.links(text)).alias("i", "link"))
+    links = part("menu", F.regexp_extract(html, "(?s)<nav>(.*?)</nav>", 1)).unionByName(part("document", F.regexp_replace(html, "(?s)<nav>.*?</nav>", "")))
+    named = links.select("page_id", "class", "i", F.concat("class", F.lit(":"), "link").alias("name"))
+    return H.numbered(named, ["page_id"], "name", ["i"]).select("page_id", "class", "key")
 
 
 @query("S8_repaired", "SELECT doc_id, md5(text) AS digest FROM documents")
@@ -39,9 +45,10 @@ def s8(t: Tables):
 AMOUNT_SQL = "translate(format('{:,.2f}', o_totalprice), ',.', '.,')"
 
 
-@query("M8_amount_text", "SELECT o_orderkey, translate(format('{:,.2f}', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,') AS amount FROM orders")
+@query("M8_amount_text", "SELECT o_orderkey, translate(format('{:,.2f}', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,') AS amount, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END || CAST(o_custkey % 50 AS VARCHAR) || ',' || CAST(o_orderkey % 10 AS VARCHAR) || ' %' AS percent FROM orders WHERE o_custkey % 50 > 0")
 def m8(t: Tables):
-    return t.orders.select("o_orderkey", V.amount_text(money("o_totalprice")).alias("amount"))
+    share = (F.col("o_custkey") % 50 + (F.col("o_orderkey") % 10).cast("decimal(3,0)") / 10) * F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1)
+    return t.orders.where("o_custkey % 50 > 0").select("o_orderkey", V.amount_text(money("o_totalprice")).alias("amount"), V.percent_text(share.cast("decimal(9,1)")).alias("percent"))
 
 
 TAX = " + ".join(f"CAST(d[{i + 1}] AS INTEGER) * {w}" for i, w in enumerate(V.TAX_WEIGHTS))
@@ -74,12 +81,14 @@ def p9(t: Tables):
     return t.events.where(F.get_json_object("props", "$.k").cast("int") > 50).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-RECORD = "sha256('c_mktsegment=' || coalesce(c_mktsegment, 'null') || '|c_name=' || coalesce(c_name, 'null') || '|c_nationkey=' || coalesce(CAST(c_nationkey AS VARCHAR), 'null'))"
+RECORD = """concat('{"c_mktsegment": "', c_mktsegment, '", "c_name": "', replace(c_name, '#', '\\"#'), '", "c_nationkey": ', c_nationkey, ', "none": null}')"""
 
 
-@query("R3_record_digest", f"SELECT c_custkey, {RECORD} AS digest FROM customer")
+@query("R3_record_digest", f"SELECT c_custkey, sha256({RECORD}) AS digest FROM customer")
 def r3(t: Tables):
-    return t.customer.select("c_custkey", V.record_digest("c_name", "c_nationkey", "c_mktsegment").alias("digest"))
+    """A digest of each record's canonical JSON: fields by name, texts escaped, nulls written."""
+    quoted = t.customer.withColumn("c_name", F.replace("c_name", F.lit("#"), F.lit('"#'))).withColumn("none", F.lit(None).cast("string"))
+    return quoted.select("c_custkey", F.sha2(V.canonical_json("c_name", "c_nationkey", "none", "c_mktsegment"), 256).alias("digest"))
 
 
 @query(

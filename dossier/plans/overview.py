@@ -56,12 +56,6 @@ def p3(t: Tables):
     return above.groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("d")), "/").alias("prefix")).agg(F.count("*").alias("n"))
 
 
-@query("R4_record", "SELECT n_nationkey, CAST(to_json({'key': n_nationkey, 'name': n_name, 'region': n_regionkey}) AS VARCHAR) AS record FROM nation")
-def r4(t: Tables):
-    record = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return t.nation.select("n_nationkey", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
-
-
 @query(
     "T7_body_first",
     "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_orderstatus, o_orderdate, o_orderkey) AS place FROM orders",
@@ -92,3 +86,16 @@ def w13(t: Tables):
     parts = F.when(shared & (r == n - 1), F.array(part - 1)).when(shared, F.array(part - 1, part)).otherwise(F.array(part))
     rows = pages.select("conv_id", "turn", F.explode(parts).alias("part"))
     return rows.groupBy("conv_id", "part").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
+
+
+@query(
+    "R4_record",
+    """SELECT o_orderkey, CAST(to_json({'id': o_orderkey, 'reason': CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, 'units': list({'line': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey)}) AS VARCHAR) AS record
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority""",
+)
+def r4(t: Tables):
+    """A result as one record: its id, its reason (written where null) and its units in order."""
+    units = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))).alias("units"))
+    reason = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    record = F.struct(F.col("o_orderkey").alias("id"), reason.alias("reason"), "units")
+    return t.orders.join(units, "o_orderkey").select("o_orderkey", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))

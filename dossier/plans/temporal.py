@@ -143,14 +143,25 @@ def z8(t: Tables):
     return session_counts(t.events, "ts", "30 minutes", ["user_id"])
 
 
+
+
 @query(
     "W14_timeline",
-    """SELECT o_custkey, o_orderkey, round(CASE WHEN hi > lo THEN (epoch(o_orderdate) - lo) / (hi - lo) ELSE 0 END, 6) AS place FROM (
-SELECT *, min(epoch(o_orderdate)) OVER (PARTITION BY o_custkey) AS lo, max(epoch(o_orderdate)) OVER (PARTITION BY o_custkey) AS hi FROM orders)""",
+    """WITH RECURSIVE d AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders), b AS (SELECT o_custkey, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),
+p AS (SELECT d.o_custkey, o_orderkey, CASE WHEN hi = lo THEN 50.0 ELSE round(CAST(day - lo AS DOUBLE) / (hi - lo) * 100, 2) END AS pos, row_number() OVER (PARTITION BY d.o_custkey ORDER BY day, o_orderkey) AS i FROM d JOIN b USING (o_custkey)),
+w AS (SELECT o_custkey, o_orderkey, pos, i, 0 AS level, [CAST(pos AS DOUBLE)] AS lasts FROM p WHERE i = 1
+UNION ALL SELECT p.o_custkey, p.o_orderkey, p.pos, p.i, CAST(coalesce(list_position([p.pos - x >= 12 FOR x IN w.lasts], true), len(w.lasts) + 1) - 1 AS INTEGER),
+  CASE WHEN list_position([p.pos - x >= 12 FOR x IN w.lasts], true) IS NULL THEN list_append(w.lasts, p.pos) ELSE list_concat(w.lasts[1:list_position([p.pos - x >= 12 FOR x IN w.lasts], true) - 1], list_concat([p.pos], w.lasts[list_position([p.pos - x >= 12 FOR x IN w.lasts], true) + 1:])) END
+FROM w JOIN p ON p.o_custkey = w.o_custkey AND p.i = w.i + 1) SELECT o_custkey, o_orderkey, CAST(pos AS DOUBLE) AS place, level FROM w""",
 )
 def w14(t: Tables):
+    """Points on an axis in proportion to their day; one closer than the separation to another of its level goes a level down."""
     from pyspark.sql.window import Window
 
-    s, g = F.unix_timestamp("o_orderdate").cast("double"), Window.partitionBy("o_custkey")
-    rows = t.orders.select("o_custkey", "o_orderkey", s.alias("s")).withColumns({"lo": F.min("s").over(g), "hi": F.max("s").over(g)})
-    return rows.select("o_custkey", "o_orderkey", F.round(F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0), 6).alias("place"))
+    from ..operators.selection import levels
+
+    day, group = F.to_date("o_orderdate"), Window.partitionBy("o_custkey")
+    rows = t.orders.select("o_custkey", "o_orderkey", day.alias("day")).withColumns({"lo": F.min("day").over(group), "hi": F.max("day").over(group)})
+    place = F.when(F.col("hi") == F.col("lo"), 50.0).otherwise(F.round(F.datediff("day", "lo") / F.datediff("hi", "lo") * 100, 2))
+    rows = rows.select("o_custkey", "o_orderkey", "day", place.alias("place"), F.round(place * 100).cast("bigint").alias("hundredths"))
+    return levels(rows, ["o_custkey"], ["day", "o_orderkey"], "hundredths", 1200).select("o_custkey", "o_orderkey", "place", "level")

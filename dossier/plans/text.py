@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import lines as N
 from ..operators import matching as M
+from ..operators import selection as L
 from ..operators import spans as P
 from .registry import Tables, query
 
@@ -26,7 +27,10 @@ def x7(t: Tables):
     return t.documents.select("doc_id", F.md5(X.plain(F.col("text"))).alias("digest"))
 
 
-COMPARED = rf"trim(regexp_replace(regexp_replace(regexp_replace({PLAIN}, '^\s*(?:[-*•·]|[a-z0-9]{{1,3}}[.)])\s+', ''), '[^a-z0-9%]+', ' ', 'g'), '\s+', ' ', 'g'))"
+COMPARED = rf"regexp_replace({PLAIN}, '^\s*\(?[a-z0-9]{{1,3}}\)\s+', '')"
+for _sign, _word in X.SIGNS.items():
+    COMPARED = rf"regexp_replace({COMPARED}, '(^|[^\p{{L}}\p{{N}}_]){_sign}([0-9])', '\1{_word}_\2', 'g')"
+COMPARED = rf"trim(regexp_replace(regexp_replace({COMPARED}, '[^\p{{L}}\p{{N}}_%]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query("X14_compared", f"SELECT doc_id, md5({COMPARED}) AS digest FROM documents")
@@ -132,10 +136,19 @@ def r6(t: Tables):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("A27_sizes", "SELECT source, count(*) AS copies, sum(n) AS chars FROM (SELECT source, text, min(n_chars) AS n FROM documents GROUP BY 1, 2) GROUP BY 1".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
+@query(
+    "A27_sizes",
+    """WITH o AS (SELECT source, text, min(doc_id) AS doc_id, min(n_chars) AS n, count(*) AS copies FROM documents GROUP BY 1, 2), w AS (SELECT *, len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) AS tokens FROM o),
+g AS (SELECT source, list_reduce(list_concat([CAST(1000 AS BIGINT)], list(CAST(tokens AS BIGINT) ORDER BY doc_id)), lambda a, x: CASE WHEN a % 1000000 + x <= 1000 THEN a + x ELSE a - a % 1000000 + 1000000 + x END) // 1000000 AS groups FROM w GROUP BY 1)
+SELECT source, CAST(sum(copies) AS BIGINT) AS documents, count(*) AS distinct, CAST(sum(ceil(n / 1800)) AS BIGINT) AS pages, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(any_value(groups) AS BIGINT) AS groups FROM w JOIN g USING (source) GROUP BY 1""",
+)
 def a27(t: Tables):
-    once = t.documents.groupBy("source", F.sha2("text", 256).alias("d")).agg(F.min("n_chars").alias("n"))
-    return once.groupBy("source").agg(F.count("*").alias("copies"), F.sum("n").alias("chars"))
+    """How large each source is: documents, distinct ones, and of these the pages, tokens and groups within a budget of tokens."""
+    once = t.documents.groupBy("source", F.sha2("text", 256).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n"), F.count("*").alias("copies"))
+    sized = once.join(t.documents.select("doc_id", F.size(X.split_words(F.col("text"))).cast("bigint").alias("tokens")), "doc_id")
+    packed = L.packed_groups(sized.select("source", "doc_id", "n", "copies", "tokens"), ["source"], ["doc_id"], "tokens", 1000)
+    pages = F.ceil(F.col("n") / 1800)
+    return packed.groupBy("source").agg(F.sum("copies").alias("documents"), F.count("*").alias("distinct"), F.sum(pages).alias("pages"), F.sum("tokens").alias("tokens"), F.max("part").alias("groups"))
 
 
 SPANS = "SELECT l_orderkey AS k, l_linenumber AS id, CAST(l_partkey % 500 AS INTEGER) AS s, CAST(l_partkey % 500 + l_quantity * 2 AS INTEGER) AS e FROM lineitem"
@@ -165,7 +178,29 @@ def j18(t: Tables):
     return P.overlapping(s.where("id % 2 = 0"), s.where("id % 2 = 1"), "k", 64)
 
 
-@query("J19_greedy_pairs")
+@query(
+    "J19_greedy_pairs",
+    f"""WITH RECURSIVE x AS ({SPANS}), a AS (SELECT * FROM x WHERE id % 2 = 0), b AS (SELECT * FROM x WHERE id % 2 = 1),
+p AS (SELECT DISTINCT a.k, a.id AS l_id, b.id AS r_id, least(a.e, b.e) - greatest(a.s, b.s) AS common FROM a JOIN b ON a.k = b.k AND least(a.e, b.e) > greatest(a.s, b.s) AND 2 * (least(a.e, b.e) - greatest(a.s, b.s)) >= a.e - a.s),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY common DESC, l_id, r_id) AS rn FROM p),
+g AS (SELECT k, 0 AS rn, CAST(NULL AS INTEGER) AS l_id, CAST(NULL AS INTEGER) AS r_id, 0 AS common, CAST([] AS INTEGER[]) AS ls, CAST([] AS INTEGER[]) AS rs, false AS kept FROM (SELECT DISTINCT k FROM p)
+  UNION ALL SELECT o.k, o.rn, o.l_id, o.r_id, o.common, CASE WHEN list_contains(ls, o.l_id) OR list_contains(rs, o.r_id) THEN ls ELSE list_append(ls, o.l_id) END, CASE WHEN list_contains(ls, o.l_id) OR list_contains(rs, o.r_id) THEN rs ELSE list_append(rs, o.r_id) END,
+  NOT (list_contains(ls, o.l_id) OR list_contains(rs, o.r_id)) FROM g JOIN o ON o.k = g.k AND o.rn = g.rn + 1)
+SELECT k, l_id, r_id, common FROM g WHERE kept""",
+)
 def j19(t: Tables):
     s = _spans(t)
     return P.greedy_pairs(P.overlapping(s.where("id % 2 = 0"), s.where("id % 2 = 1"), "k", 64), "k")
+
+
+@query(
+    "A24_covered",
+    f"""WITH x AS ({SPANS}), n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM x),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM n), m AS (SELECT k, max(e) - min(s) AS c FROM i GROUP BY k, i), t AS (SELECT k, sum(e - s) AS given FROM x GROUP BY 1)
+SELECT k, CAST(sum(c) AS BIGINT) AS covered, CAST(any_value(given) AS BIGINT) AS given FROM m JOIN t USING (k) GROUP BY 1""",
+)
+def a24_covered(t: Tables):
+    """The characters that a document's spans cover, and those that they would if none overlapped."""
+    s = _spans(t)
+    covered = P.merged(s, ["k"], "start", "end").groupBy("k").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return covered.join(s.groupBy("k").agg(F.sum(F.col("end") - F.col("start")).alias("given")), "k")
