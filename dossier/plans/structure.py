@@ -93,14 +93,17 @@ def x19(t: Tables):
     return out.select("doc_id", "paragraph", F.md5("text").alias("digest"), "lines", "joins")
 
 
-@query("X18_canonical_lines", f"WITH {LINES} SELECT doc_id, md5(string_agg(regexp_replace(line, ' {{2,}}', ' ', 'g'), chr(10) ORDER BY line)) AS digest FROM lines WHERE NOT regexp_matches(line, '[ﬀﬁﬂ ­̀-̧]') GROUP BY 1")
+ODD = "[\ufb00-\ufb06\u00a0\u2007\u202f\u00ad\u0300-\u036f]"
+
+
+@query("X18_canonical_lines", f"WITH {LINES} SELECT doc_id, md5(string_agg(regexp_replace(line, ' {{2,}}', ' ', 'g'), chr(10) ORDER BY line)) AS digest FROM lines WHERE NOT regexp_matches(line, '{ODD}') GROUP BY 1")
 def x18(t: Tables):
-    """Lines that were set with ligatures, hard spaces and marks of their own come back as they are written."""
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike("[ﬀﬁﬂ ­̀-̧]"))
-    odd = F.col("line")
-    for old, new in (("fi", "ﬁ"), (" ", " "), ("é", "é"), ("ñ", "ñ"), ("ü", "ü")):
-        odd = F.replace(odd, F.lit(old), F.lit(new))
-    rows = lines.select("doc_id", X.canonical_line(F.concat(odd, F.lit("­"))).alias("line"))
+    """Lines that were set with ligatures, hard spaces, soft hyphens and accents of their own come back as they are written."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(ODD))
+    set_ = F.col("line")
+    for old, new in (("fi", "\ufb01"), (" ", "\u00a0"), ("\u00e9", "e\u0301"), ("\u00f1", "n\u0303"), ("\u00fc", "u\u0308")):
+        set_ = F.replace(set_, F.lit(old), F.lit(new))
+    rows = lines.select("doc_id", X.canonical_line(F.concat(set_, F.lit("\u00ad"))).alias("line"))
     return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("digest"))
 
 
