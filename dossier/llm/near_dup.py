@@ -32,6 +32,8 @@ from .storage import forget, saved, short_batches
 SKETCH = 160
 #: Cells of the table of how often sketch values occur, at least and at most; they grow with the number of values.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
+#: Values that fall in a cell on average, about: so many that a task's counts stay much smaller than its values.
+VALUES_OF_CELL = 128
 #: A cell counts as frequent from so many times the average on; frequent cells that are kept, at most. The rest rank alike.
 FREQUENT = 2.0
 MOST_FREQUENT = 1 << 18
@@ -109,7 +111,7 @@ def frequent_cells(values: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """
     total = values.count()
     cells = LEAST_CELLS
-    while cells < MOST_CELLS and cells * 4 < total:
+    while cells < MOST_CELLS and cells * VALUES_OF_CELL < total:
         cells *= 2
     counted = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count()
     top = counted.where(F.col("count") > max(2.0, FREQUENT * total / cells)).orderBy(F.desc("count"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
