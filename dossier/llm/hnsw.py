@@ -20,7 +20,7 @@ SHARD_ROWS = 32_768
 LINKS = 16
 GROUND_LINKS = 32
 BUILD_BEAM = 64
-SEARCH_BEAM = 128
+SEARCH_BEAM = 160
 BATCH = 512
 #: Points of a beam whose neighbours are looked at in one step.
 STEPS = 6

@@ -184,13 +184,31 @@ def _block_links(words: int, percent: int):
     return fn
 
 
+def _named(pairs: DataFrame, name: str) -> DataFrame:
+    """The ids that pairs (a, b) name, as a table: a small one is broadcast by Spark, whose size it then knows, a large one is not."""
+    return saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by size and union sketch first, then on the full sets."""
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    """The pairs (a, b) that are links, as a table: by size and union sketch first, then on the full sets.
+
+    Only sketches and texts of documents that a pair names are shuffled.
+    """
+    pairs = saved(pairs, "pairs")
+    named = _named(pairs, "pair-ids")
+    own = sketches.join(named, "id", "left_semi")
+    side = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = saved(near.mapInPandas(_passing(percent), "a bigint, b bigint").distinct(), "near-pairs")
-    text = lambda c: texts.where(F.col("text").isNotNull()).select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_confirmed(words, percent), "a bigint, b bigint")
+    forget(pairs)
+    forget(named)
+    named = _named(near, "near-ids")
+    whole = texts.where(F.col("text").isNotNull()).join(named, "id", "left_semi")
+    text = lambda c: whole.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    links = saved(near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_confirmed(words, percent), "a bigint, b bigint"), "confirmed")
+    forget(near)
+    forget(named)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     forget(lists)
 
     stars = shared.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = saved(_verified(stars, full, texts, words, percent), "star-links")
+    links = _verified(stars, full, texts, words, percent)
     first = components(links, "star-components")
 
     # what is left: lists whose members are in several components
@@ -246,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))
     )
-    parts = parts.withColumn("meet", F.explode(meets)).select("id", "component", "cluster", "block", "meet.i", "meet.j")
+    parts = saved(parts.withColumn("meet", F.explode(meets)).select("id", "component", "cluster", "block", "meet.i", "meet.j"), "block-parts")
     blocks = parts.join(texts.where(F.col("text").isNotNull()), "id").groupBy("cluster", "i", "j").applyInPandas(_block_links(words, percent), "a bigint, b bigint")
 
     # an id with several texts: one component for all
@@ -255,9 +273,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     own = members.where(F.col("id") != F.col("node")).join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
 
     edges = links.unionByName(more).unionByName(blocks).unionByName(own)
-    final = components(edges, "components").withColumnRenamed("id", "node")
     forget(full)
-    forget(left)
+    final = components(edges, "components").withColumnRenamed("id", "node")
+    for table in (links, more, left, parts):
+        forget(table)
     found = members.join(final, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
     return found.select(
         F.col("id").alias("doc_id"),

@@ -40,5 +40,13 @@ def test_documents(spark, seed):
     assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist() or out[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
 
 
+def test_one_id_in_many_rows_and_a_long_text(spark):
+    rows = [(7, f"w{i} " * (i % 5 + 1), "hot") for i in range(3000)] + [(None, f"x{i}", "hot") for i in range(500)] + [(1, "long " * 200_000, "b")]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(out) == len(rows)
+    for _, own in out.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].max() / 2 + 1
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dossier.llm import near_dup
 from dossier.llm.components import components
@@ -97,3 +98,17 @@ def test_empty(spark):
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     assert {(r["id"], r["component"]) for r in components(links).collect()} == {(i, 0) for i in range(1, 61)} | {(100, 99)}
+
+
+def test_one_id_with_different_texts_is_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(2, a), (5, a), (5, b), (9, b), (9, None), (7, "w " * 300_000), (8, "w " * 300_000), (1, None), (1, "")]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(2, 2, True), (5, 2, False), (9, 2, False), (7, 7, True), (8, 7, False), (1, 1, True)}
+
+
+def test_frequent_values_rank_last(spark):
+    values = spark.range(2000).select((F.col("id") * 7919).alias("v")).unionByName(spark.range(5000).select(F.lit(11).cast("long").alias("v")))
+    mask, cells, counts = near_dup.frequent_cells(values)
+    assert mask == near_dup.LEAST_CELLS - 1 and cells[counts.argmax()] == 11 and counts.max() == 5000
+    assert near_dup.frequent_cells(values.limit(0))[1].size == 0

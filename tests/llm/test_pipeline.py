@@ -41,6 +41,27 @@ def test_mixing_stage_repeats_rows(spark):
     assert out.columns == docs.columns and abs(words(out) / words(docs) - 1.5) < 0.15
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows_and_clashing_columns(spark, k):
+    text = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 300 AND 900").orderBy("doc_id").first()["text"]
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, text + " tail"), (4, (text[::-1] + " ") * 1500), (5, "12 34"), (6, text)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long, kept boolean, size int, copies int, taken int, bucket int, n int"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, 1, True, 1, 1, 1, 1, 1) for i, t in rows], extra)
+    out = P.STAGES[k][1](spark, docs, FOLDER)
+    found = out.collect()
+    ids = sorted(str(r["doc_id"]) for r in found)
+    if k < 4:
+        assert out.columns == docs.columns
+    if k == 1:  # no letters: no language; repeated rows stay, as does a null id
+        assert set(ids) <= {"1", "4", "6", "None"} and ids.count("1") == 2 and "6" in ids
+    if k == 2:  # copies go, texts without words stay
+        assert ids == ["1", "2", "3", "4", "5", "None"]
+    if k == 3:
+        assert {"1", "4", "6"} & set(ids)
+    if k == 4:
+        assert set(ids) == {"1", "2", "3", "4", "5", "6", "None"} and all(r["round_trip"] for r in found)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_empty_documents(spark, k, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)

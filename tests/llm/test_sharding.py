@@ -49,6 +49,34 @@ def test_documents(spark):
     assert out.groupby("shard")["size"].sum().to_dict() == again.groupby("shard")["size"].sum().to_dict()
 
 
+def test_capacity_is_the_least_for_the_order(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("ab"), int(n))) for n in rng.integers(20, 400, 150)] + ["long " * 200_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+    out = shard_documents(docs, 6).toPandas()
+    key = F.unhex(F.sha2("text", 256))
+    order = docs.groupBy(key.alias("k")).agg(F.sum(F.octet_length("text") + 1).alias("n"), F.min("doc_id").alias("i"))
+    order = order.orderBy(F.pmod(F.xxhash64("k"), F.lit(256)), "k").toPandas()
+    sizes = order[order["n"] < 10_000]["n"].tolist()
+    loads = out.groupby("shard")["size"].sum()
+    assert loads.max() == 1_000_001 and sorted(loads)[-2] == brute(sizes, 5) and len(loads) == 6
+    place = out.drop_duplicates("doc_id").set_index("doc_id")["shard"]
+    assert place.loc[order[order["n"] < 10_000]["i"]].is_monotonic_increasing  # shards are runs of the order
+
+
+def test_repeats_of_one_row_and_one_id(spark):
+    rows = [(1, "hot")] * 25_000 + [(1, f"t{i}") for i in range(50)] + [(None, "hot")] * 30
+    out = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3).toPandas()
+    assert len(out) == len(rows) and out[out["text_crc32"] == zlib.crc32(b"hot")]["shard"].nunique() == 1
+    for _, own in out.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
+def test_many_shards_end(spark):
+    prefix = spark.createDataFrame([(int(x),) for x in np.cumsum([3] * 500)], "high long")
+    assert minimax_cuts(prefix, 1500, 200, 3, 16)[0] == 9
+
+
 def test_few_and_none(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA), 8).count() == 0
     one = shard_documents(spark.createDataFrame([(1, "a", "", 0)], SCHEMA), 8).first()
