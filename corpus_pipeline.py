@@ -24,7 +24,10 @@ LEAST_LANGUAGE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good; a null text is scored as an empty one."""
+    """Documents that the quality classifier takes for good; a null text is scored as an empty one.
+
+    Each row is judged by itself: repeated rows stay or go together, null ids are judged like others and never held out.
+    """
     short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, ~held_out("doc_id", 3, 1))
@@ -32,7 +35,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is recognised."""
+    """Documents with letters whose language is recognised; null, empty and letterless texts go.
+
+    Each row is judged by itself: repeated rows stay or go together, null ids are judged like others. Of languages of equal share
+    the first by name counts.
+    """
     short_batches(spark)
     model = fit_languages(docs, ~held_out("doc_id", 4, 2))
     found = language(model, F.col("text"))
@@ -40,13 +47,21 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id, with all its texts; rows with a null id stay."""
+    """One document of each group of near duplicates, that with the least id, with all its texts.
+
+    Rows that repeat an id and a text are one. Rows with a null id, and texts without words, are like nothing and stay.
+    """
     kept = saved(near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct(), "kept-ids")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it; one taken twice is two rows.
+
+    Repeated rows are documents of their own; of rows with equal id, source and size those that are taken more often are the first by
+    text. Null is a source and an id like others. Texts without words have no size and weigh nothing; they are taken as often as the
+    whole part of their source's rate.
+    """
     keys = ["doc_id", "source", "__size"]
     turn = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     taken = mix_sources(docs).withColumnRenamed("size", "__size").withColumn("__turn", turn("copies")).where("copies > 0")
@@ -59,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document as token ids."""
+    """Two sampled segmentations of each document as token ids; rows with equal id and text get equal ones, null texts one without ids."""
     return sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
