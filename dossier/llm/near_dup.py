@@ -30,13 +30,10 @@ from .shingles import shingle_sets
 from .storage import forget, saved, short_batches
 
 SKETCH = 160
-#: Cells of the table of how often sketch values occur, at least and at most; they grow with the number of values.
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
-#: Values that fall in a cell on average, about: so many that a task's counts stay much smaller than its values.
+#: Cells of the table of how often sketch values occur, at least and at most, and the values that fall in one on average, about.
+#: The table is what is broadcast: a few megabytes at most, whatever the corpus.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 20
 VALUES_OF_CELL = 128
-#: A cell counts as frequent from so many times the average on; frequent cells that are kept, at most. The rest rank alike.
-FREQUENT = 2.0
-MOST_FREQUENT = 1 << 18
 #: Lists up to this length give pairs; longer ones are compared in blocks of BLOCK nodes.
 SHORT_LIST = 24
 BLOCK = 512
@@ -88,34 +85,30 @@ def _sketches(words: int):
     return fn
 
 
-def _listed(mask: int, frequent: np.ndarray, counts: np.ndarray, percent: int):
+def _listed(cells: np.ndarray, percent: int):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = []
             for n, sketch in zip(batch["n"], batch["sketch"], strict=True):
-                cell = sketch & mask
-                place = np.minimum(np.searchsorted(frequent, cell), max(len(frequent) - 1, 0))
-                often = np.where(frequent[place] == cell, counts[place], 0) if len(frequent) else np.zeros(len(cell))
-                order = np.lexsort((sketch, often))
+                order = np.lexsort((sketch, cells[sketch & (len(cells) - 1)]))
                 keys.append(sketch[order[: list_values(n, len(sketch), percent)]])
             yield pd.DataFrame({"id": batch["id"], "keys": keys})
 
     return fn
 
 
-def frequent_cells(values: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """A mask for the cells of values (a column v), the frequent cells in order, and their counts.
+def counted_cells(values: DataFrame) -> np.ndarray:
+    """How many values (a column v) fall in each cell. Cells get more as the corpus grows, so that frequent values stand out from the rest.
 
-    Only cells far above the average come to the driver, MOST_FREQUENT of them at most (the most frequent ones): a bounded table,
-    whatever the corpus. Which values rank last decides how long lists get, never which links are found.
+    Which values rank last decides how long lists get, never which links are found.
     """
-    total = values.count()
-    cells = LEAST_CELLS
+    total, cells = values.count(), LEAST_CELLS
     while cells < MOST_CELLS and cells * VALUES_OF_CELL < total:
         cells *= 2
-    counted = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count()
-    top = counted.where(F.col("count") > max(2.0, FREQUENT * total / cells)).orderBy(F.desc("count"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
-    return cells - 1, top["cell"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+    found = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count().toPandas()  # a row for each cell at most
+    out = np.zeros(cells, np.int32)
+    out[found["cell"].to_numpy(np.int64)] = np.minimum(found["count"], np.iinfo(np.int32).max)
+    return out
 
 
 def _passing(percent: int):
@@ -230,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ids = members.where(F.col("id") == F.col("rep")).select("id", "sig").distinct()
     nodes = full.join(ids, ["id", "sig"]).dropDuplicates(["sig"]).select("id", "n", "sketch")
 
-    mask, frequent, counts = frequent_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
-    listed = nodes.mapInPandas(_listed(mask, frequent, counts, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
+    cells = counted_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
+    listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
     listed = saved(listed, "listed")
     # a table of its own, as with reps: a value that very many nodes are listed under can be split
     lists = saved(listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1), "lists")

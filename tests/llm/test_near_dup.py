@@ -107,8 +107,8 @@ def test_one_id_with_different_texts_is_one_document(spark):
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(2, 2, True), (5, 2, False), (9, 2, False), (7, 7, True), (8, 7, False), (1, 1, True)}
 
 
-def test_frequent_values_rank_last(spark):
+def test_frequent_values_stand_out(spark):
     values = spark.range(2000).select((F.col("id") * 7919).alias("v")).unionByName(spark.range(5000).select(F.lit(11).cast("long").alias("v")))
-    mask, cells, counts = near_dup.frequent_cells(values)
-    assert mask == near_dup.LEAST_CELLS - 1 and cells[counts.argmax()] == 11 and counts.max() == 5000
-    assert near_dup.frequent_cells(values.limit(0))[1].size == 0
+    cells = near_dup.counted_cells(values)
+    assert len(cells) == near_dup.LEAST_CELLS and cells.argmax() == 11 and cells.sum() == 7000
+    assert near_dup.counted_cells(values.limit(0)).sum() == 0
