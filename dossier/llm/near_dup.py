@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .storage import forget, saved, short_batches
+from .storage import drop_shuffles, forget, saved, short_batches
 
 SKETCH = 160
 #: Cells of the table of how often sketch values occur, at least and at most, and the values that fall in one on average, about.
@@ -226,9 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     cells = counted_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
     listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
     listed = saved(listed, "listed")
-    # a table of its own, as with reps: a value that very many nodes are listed under can be split
+    drop_shuffles(spark)
+    # a table of its own, as with reps: a value that very many nodes are listed under can be split; it grows with the corpus, so it
+    # is never broadcast
     lists = saved(listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1), "lists")
-    shared = saved(listed.join(lists, "v"), "shared")
+    drop_shuffles(spark)
+    shared = saved(listed.join(lists.hint("merge"), "v"), "shared")
     forget(listed)
     forget(lists)
 

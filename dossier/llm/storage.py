@@ -39,10 +39,7 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`saved` that no later plan reads.
-
-    The driver's garbage collector is asked to run, as Spark drops the shuffle files of finished jobs only once it has.
-    """
+    """Deletes the files of a table made by :func:`saved` that no later plan reads, and the shuffle files of finished jobs."""
     spark = df.sparkSession
     root = shared_dir(spark).rstrip("/")
     jvm = spark.sparkContext._jvm
@@ -51,7 +48,12 @@ def forget(df: DataFrame) -> None:
         if root.split(":", 1)[-1].strip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
+    drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs: it does so once the driver's garbage collector has run."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def short_batches(spark: SparkSession) -> None:
