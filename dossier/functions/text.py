@@ -102,18 +102,6 @@ def nth_occurrence(text: Column, anchor: str, k: int) -> Column:
     return F.when(F.size(parts) > k, F.length(before)).otherwise(-1)
 
 
-def heading(line: Column) -> Column:
-    """What a line opens: article, title, annex, item, or text."""
-    p = plain(F.trim(line))
-    return (
-        F.when(p.rlike(r"^art(iculo|\.)?\s*\d+"), "article")
-        .when(p.rlike(r"^(titulo|capitulo|seccion)\b"), "title")
-        .when(p.rlike(r"^anexo\b"), "annex")
-        .when(p.rlike(r"^([a-z]|\d{1,2})[.)]\s"), "item")
-        .otherwise("text")
-    )
-
-
 def item_rows(df: DataFrame, by: str, text: str) -> DataFrame:
     """The rows of tables of items in texts: by, number, what, amount (quantity and unit, or empty).
 

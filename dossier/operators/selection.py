@@ -86,11 +86,6 @@ def even_parts(df: DataFrame, by: list[str], order: list[str], most: int) -> Dat
     return df.withColumn("part", F.floor(turn / size).cast("int"))
 
 
-def first_rule(*rules: Column) -> Column:
-    """The first rule that fires: rules are null where they don't."""
-    return F.coalesce(*rules)
-
-
 def fold_conditions(failed: Column, passed: Column, silent: Column) -> Column:
     """One outcome for a group of conditions: any failed; all passed; all silent; otherwise undetermined."""
     return F.when(F.bool_or(failed), "fail").when(F.bool_and(passed), "pass").when(F.bool_and(silent), "silent").otherwise("undetermined")
