@@ -218,14 +218,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = saved(texts.mapInPandas(_sketches(words), "id bigint, n bigint, sig binary, sketch array<bigint>"), "sketches")
     # a table of its own: then the join's sides are both shuffled for it, and Spark can split a hot set of copies
     reps = saved(full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep")), "reps")
-    members = saved(full.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", "rep", "sig"), "members")
-    forget(reps)
-    ids = members.where(F.col("id") == F.col("rep")).select("id", "sig").distinct()
-    nodes = full.join(ids, ["id", "sig"]).dropDuplicates(["sig"]).select("id", "n", "sketch")
+    members = saved(full.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", "rep"), "members")
+    nodes = full.join(reps, "sig").where("id = rep").dropDuplicates(["sig"]).select("id", "n", "sketch")
 
     cells = counted_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
     listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
     listed = saved(listed, "listed")
+    forget(reps)
     drop_shuffles(spark)
     # a table of its own, as with reps: a value that very many nodes are listed under can be split; it grows with the corpus, so it
     # is never broadcast
