@@ -33,7 +33,7 @@ SKETCH = 160
 #: Cells of the table of how often sketch values occur, at least and at most, and the values that fall in one on average, about.
 #: The table is what is broadcast: a few megabytes at most, whatever the corpus.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 20
-VALUES_OF_CELL = 128
+VALUES_OF_CELL = 256
 #: Lists up to this length give pairs; longer ones are compared in blocks of BLOCK nodes.
 SHORT_LIST = 24
 BLOCK = 512
@@ -216,10 +216,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     full = saved(texts.mapInPandas(_sketches(words), "id bigint, n bigint, sig binary, sketch array<bigint>"), "sketches")
-    # a table of its own: then the join's sides are both shuffled for it, and Spark can split a hot set of copies
+    # a table of its own, and never broadcast, as it grows with the corpus: the join's sides are both shuffled for it, and Spark can
+    # split a hot set of copies
     reps = saved(full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep")), "reps")
-    members = saved(full.select("id", "n", "sig").join(reps, "sig", "left").select("id", "n", "rep"), "members")
-    nodes = full.join(reps, "sig").where("id = rep").dropDuplicates(["sig"]).select("id", "n", "sketch")
+    members = saved(full.select("id", "n", "sig").join(reps.hint("merge"), "sig", "left").select("id", "n", "rep"), "members")
+    nodes = full.join(reps.hint("merge"), "sig").where("id = rep").dropDuplicates(["sig"]).select("id", "n", "sketch")
 
     cells = counted_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
     listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
