@@ -191,7 +191,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: in
     named = _named(pairs, "pair-ids")
     own = sketches.join(named, "id", "left_semi")
     side = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    # pairs grow with the corpus: they are not broadcast, so small tables run the plan of large ones
+    near = pairs.hint("merge").join(side("a"), "a").join(side("b").hint("merge"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = saved(near.mapInPandas(_passing(percent), "a bigint, b bigint").distinct(), "near-pairs")
     forget(pairs)
     forget(named)
