@@ -106,7 +106,7 @@ def test_measures(spark):
         (lambda: X.search_normalized(F.lit("LICITACIÓN año evaluacion")), "LICITAción año evaluación"),
         (lambda: X.plain(F.lit("Ñandú Ç")), "nandu c"),
         (lambda: X.compared(F.lit("a)  El Ítem, -5 %.")), "el item menos_5 %"),
-        (lambda: X.canonical_line(F.lit("ﬁrma digital ")), "firma digital"),
+        (lambda: X.canonical_line(F.lit("ﬁrma digital ")), "firma digital "),
         (lambda: X.repaired(F.lit("licitaciÃ³n")), "licitación"),
         (lambda: X.repaired(F.lit("Ã sola")), "Ã sola"),
         (lambda: X.nth_occurrence(F.lit("x. y. z"), ". ", 2), 4),
