@@ -15,6 +15,8 @@ from .labelled import held_out
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .piece_sampling import sample_pieces
+from .ranked_search import ranked_search
+from .repeats import remove_repeats
 from .sharding import shard_documents
 from .storage import short_batches
 from .string_kernel import fit_languages, language
@@ -100,6 +102,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of twenty words and more that are found earlier."""
+    return remove_repeats(_table(spark, sf_dir, "documents"), words=20).drop("removed")
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
@@ -137,6 +149,50 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {TERMS_SQL} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), c AS (
+  SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0
+), g AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM c
+), i AS (
+  SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), x AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i : i + 19], ' ') END AS win FROM t
+), r AS (
+  SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS later FROM x
+), c AS (
+  SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -150,8 +206,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": op9_nearest,
         "op10_top_products": op10_top_products,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_repeats": op13_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_products": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op10_top_products": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_repeats": OP13_SQL}
