@@ -42,6 +42,11 @@ def heading(text: Column) -> Column:
     return out.when(upper & text.rlike(r"^\p{L}"), "upper").otherwise("text")
 
 
+def heading_only(text: Column) -> Column:
+    """An article without a text of its own behind its heading, but for a title in capitals."""
+    return F.coalesce(text.rlike(ARTICLE) & ~F.regexp_replace(text, ARTICLE, "").rlike(LOWER), F.lit(False))
+
+
 def heading_parts(text: Column) -> Column:
     """number, suffix, style (letter, paren or dot), word (an item that begins with the word for it) and level (of a title) of a heading."""
     get = lambda p, i: F.regexp_extract(text, p, i)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -27,70 +28,83 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int | None = CANDIDATES) -> DataFrame:
-    """query_id, id and distance (six decimals) of each query's k nearest rows, or of all rows if k is None.
+def met_in_blocks(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, reduce_: Callable[[np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """reduce_(scores, rows, query ids) of the cosines of some queries (down) with the rows of a block (across); what leaves a task is what it returns.
 
-    A stated set of queries meets all rows in blocks: rows are dealt to blocks by a hash of their id and queries to waves; a task
-    makes one matrix product of a block and a wave and keeps the k nearest of each query; those are merged by query, ties to the smaller id.
-    Vectors that are null, of another length than the query or without direction have no distance.
+    A stated set of queries meets all rows in blocks: rows are dealt to blocks by a hash of their id and queries to waves; a task makes
+    the matrix products of a block and a wave. Vectors that are null, of another length than the query or without direction have no
+    cosine (nan). keep: columns of rows that reduce_ sees beside id.
     """
     n, q = rows.count(), queries.count()
     blocks, waves = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // WAVE_QUERIES))
-    part = lambda df, name, many: df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
-    left = part(rows, "block", blocks).withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
-    right = part(queries, "wave", waves).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    part = lambda df, name, many, more: df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+    left = part(rows, "block", blocks, keep or []).withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
+    right = part(queries, "wave", waves, []).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def fn(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": [], "id": [], "distance": []})]
+        found = []
         sizes, wanted = own["v"].map(len), asked["v"].map(len)
         for size in set(sizes) & set(wanted):
             x, y = np.stack(own.loc[sizes == size, "v"]), np.stack(asked.loc[wanted == size, "v"])
-            ids, asks = own.loc[sizes == size, "id"].to_numpy(), asked.loc[wanted == size, "id"].to_numpy()
+            rest, asks = own.loc[sizes == size].drop(columns="v").reset_index(drop=True), asked.loc[wanted == size, "id"].to_numpy()
             for at in range(0, len(y), 256):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.round(1 - y[at : at + 256] @ x.T / (np.linalg.norm(y[at : at + 256], axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]), 6) + 0.0
-                d[~np.isfinite(d)] = np.inf
-                # all rows at the k-th distance stay, as ties go by id
-                bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k is not None and k < d.shape[1] else np.full((len(d), 1), np.inf)
-                i, j = np.nonzero((d <= bound) & np.isfinite(d))
-                found.append(pd.DataFrame({"query_id": asks[at + i], "id": ids[j], "distance": d[i, j]}))
-        return pd.concat(found, ignore_index=True)
+                    scores = y[at : at + 256] @ x.T / (np.linalg.norm(y[at : at + 256], axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+                scores[~np.isfinite(scores)] = np.nan
+                found.append(reduce_(scores, rest, asks[at : at + 256]))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    out = left.groupBy("block", "wave").cogroup(right.groupBy("block", "wave")).applyInPandas(fn, "query_id bigint, id bigint, distance double")
-    return out if k is None else best_of_each(out, "query_id", [F.col("distance"), F.col("id")], k)
+    return left.groupBy("block", "wave").cogroup(right.groupBy("block", "wave")).applyInPandas(fn, schema)
 
 
-def best_of_each(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each query with their place."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("place") <= k)
+def cosine_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = CANDIDATES) -> DataFrame:
+    """query_id, id, distance (six decimals), score (the cosine itself) and place of each query's k nearest rows, ties to the smaller id."""
 
+    def nearest(scores: np.ndarray, own: pd.DataFrame, asks: np.ndarray) -> pd.DataFrame:
+        d = np.where(np.isnan(scores), np.inf, np.round(1 - scores, 6) + 0.0)
+        # all rows at the k-th distance stay, as ties go by id
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(d), 1), np.inf)
+        i, j = np.nonzero((d <= bound) & np.isfinite(d))
+        found = pd.DataFrame({"query_id": asks[i], "id": own["id"].to_numpy()[j], "distance": d[i, j], "score": scores[i, j]})
+        return found.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
 
-def words(text: str | Column) -> Column:
-    """Lower-case words of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9ß-öø-ÿ]+)"), 1)
+    out = met_in_blocks(rows, queries, id_col, vector, nearest, "query_id bigint, id bigint, distance double, score double")
+    return best_of_each(out, "query_id", [F.col("distance"), F.col("id")], k)
 
 
-#: Fixed values of the BM25 formula.
-K1, B = 1.2, 0.75
+def passing(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, least: float = LEAST_SCORE) -> DataFrame:
+    """query_id, kept and best: how many other rows have a cosine of at least that with each query, and the largest. One row leaves a block for a query."""
 
+    def sums(scores: np.ndarray, own: pd.DataFrame, asks: np.ndarray) -> pd.DataFrame:
+        s = np.where(np.isnan(scores) | (own["id"].to_numpy()[None, :] == asks[:, None]), -np.inf, scores)
+        best = s.max(axis=1)
+        return pd.DataFrame({"query_id": asks, "kept": (s >= least).sum(axis=1), "best": best})[np.isfinite(best)]
 
-def word_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str, query_id: str, query_text: str, k: int = CANDIDATES) -> DataFrame:
-    """query_id, id, score (BM25, six decimals) and place of each query's k best documents; a query word counts once.
+    out = met_in_blocks(rows, queries, id_col, vector, sums, "query_id bigint, kept bigint, best double")
+    return out.groupBy("query_id").agg(F.sum("kept").alias("kept"), F.max("best").alias("best"))
 
-    Queries meet documents through an inverted index: words with their count in each document, joined to the queries' words.
-    """
-    spread = docs.select(F.col(id_col).alias("id"), F.explode(words(text)).alias("w"))
-    index = spread.groupBy("w", "id").agg(F.count("*").alias("tf"))
-    sizes = spread.groupBy("id").agg(F.count("*").alias("size"))
-    totals = sizes.agg(F.avg("size").alias("mean")).crossJoin(docs.agg(F.count("*").alias("docs")))  # one row
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(query_text))).alias("w"))
-    wanted = asked.select("w").distinct()
-    often = index.join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    hits = index.join(asked, "w").join(often, "w").join(sizes, "id").crossJoin(F.broadcast(totals))
-    idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return best_of_each(scores, "query_id", [F.desc("score"), F.col("id")], k)
+
+def best_of_groups(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, by: list[str]) -> DataFrame:
+    """query_id, the columns by (longs) and score: the largest cosine (six decimals) of each query with the rows of a group; one row leaves a block for each."""
+
+    def tops(scores: np.ndarray, own: pd.DataFrame, asks: np.ndarray) -> pd.DataFrame:
+        group = own.groupby(by, sort=False).ngroup().to_numpy()
+        firsts = own[by].iloc[np.unique(group, return_index=True)[1]]
+        out = []
+        for g, key in enumerate(firsts.itertuples(index=False)):
+            s = scores[:, group == g]
+            top = np.where(np.isnan(s), -np.inf, s).max(axis=1)
+            out.append(pd.DataFrame({"query_id": asks, **dict(zip(by, key, strict=True)), "score": top})[np.isfinite(top)])
+        return pd.concat(out, ignore_index=True)
+
+    schema = ", ".join(["query_id bigint", *[f"{c} bigint" for c in by], "score double"])
+    out = met_in_blocks(rows.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in by))), queries, id_col, vector, tops, schema, by)
+    return out.groupBy("query_id", *by).agg(F.round(F.max("score"), 6).alias("score"))
+
+
+def best_of_each(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each query with their place."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("place") <= k)
 
 
 def first_arrival(paths: list[DataFrame], query: str, id_col: str, rank: str) -> DataFrame:
@@ -107,10 +121,9 @@ def pooled(df: DataFrame, by: list[str], item: str, score: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max(score).alias("best"), top.alias("item"), F.count("*").alias("items"))
 
 
-def barrier(df: DataFrame, queries: DataFrame, query: str, score: str, least: float = LEAST_SCORE) -> DataFrame:
-    """kept and best of each query, and reason: below_threshold if nothing reaches it, no_candidates if nothing was found, else null."""
-    sums = df.groupBy(query).agg(F.count_if(F.col(score) >= least).alias("kept"), F.max(score).alias("best"))
-    out = queries.join(sums, query, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("bigint")))
+def barrier(sums: DataFrame, queries: DataFrame, query: str) -> DataFrame:
+    """kept and best (six decimals) of each query, and reason: below_threshold if nothing reaches it, no_candidates if nothing was found, else null."""
+    out = queries.join(sums, query, "left").withColumns({"kept": F.coalesce("kept", F.lit(0).cast("bigint")), "best": F.round("best", 6)})
     return out.withColumn("reason", F.when(F.col("best").isNull(), "no_candidates").when(F.col("kept") == 0, "below_threshold"))
 
 
@@ -118,7 +131,7 @@ def merged_results(results: DataFrame, by: str, unit: str, item: str, score: str
     """Several results as one: each unit with the best score of its items over all, the items it has, and whether any result selected it."""
     items = results.groupBy(by, unit, item).agg(F.max(score).alias("__s"))
     units = items.groupBy(by, unit).agg(F.max("__s").alias("best"), F.count("*").alias("items"))
-    return units.withColumn("selected", F.col("best") >= least)
+    return units.withColumns({"selected": F.col("best") >= least, "best": F.round("best", 6)})  # the threshold is for the score itself
 
 
 def quota(df: DataFrame, category: str, order: list[Column], k: int = UNITS_OF_CATEGORY) -> DataFrame:

@@ -6,56 +6,129 @@ from pyspark.sql import functions as F
 
 from ..functions import search as S
 from ..functions import text as X
-from ..operators.retrieval import words
+from ..operators import postings as I
 from .registry import Tables, query
 from .text import PLAIN, UNACC
 
-WORDS = "regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1)"
+# -- stems in SQL: the same published algorithm as S.stem, written with regular expressions -----------------------------------
 
+NORMAL = rf"lower(regexp_replace({UNACC}, '([au])cion([^\p{{L}}\p{{N}}_]|$)', '\1ción\2', 'gi'))"
+STOP = "(" + ", ".join(f"'{w}'" for w in sorted(S.STOP_WORDS)) + ")"
+VOWEL, OTHER = f"[{S.VOWELS}]", f"[^{S.VOWELS}]"
 
-@query("X2_lexemes")
+
+def _ending(text: str, endings: list[str]) -> str:
+    return f"regexp_extract({text}, '({'|'.join(endings)})$')"
+
+
+def _drop(text: str, *endings: str) -> str:
+    """The text without the first of the endings that it has in R2."""
+    return "CASE " + " ".join(f"WHEN {text} LIKE '%{e}' AND length({text}) - {len(e)} >= r2 THEN left({text}, length({text}) - {len(e)})" for e in endings) + f" ELSE {text} END"
+
+
+def _one_of(endings: list[str]) -> str:
+    return "s1 IN (" + ", ".join(f"'{e}'" for e in endings) + ")"
+
+
+def stems_sql(words: str) -> str:
+    """Common table expressions that end in stems (word, stem) of the distinct words of a table with a column word."""
+    match = lambda text, pattern, otherwise: f"coalesce(nullif(length(regexp_extract({text}, '{pattern}')), 0), {otherwise})"
+    kinds = S.STANDARD
+    every = [e for own in kinds.values() for e in own]
+    return f"""
+z0 AS (SELECT DISTINCT word, length(word) AS n FROM {words} WHERE word NOT IN {STOP}),
+z1 AS (SELECT *, {match('word', f'^.*?{VOWEL}{OTHER}', 'n')} AS r1, CASE WHEN n <= 2 THEN n WHEN NOT regexp_matches(substr(word, 2, 1), '{VOWEL}') THEN {match('word', f'^..{OTHER}*{VOWEL}', 'n')}
+  WHEN regexp_matches(left(word, 1), '{VOWEL}') THEN {match('word', f'^..{VOWEL}*{OTHER}', 'n')} ELSE 3 END AS rv FROM z0),
+z2 AS (SELECT *, r1 + {match('substr(word, r1 + 1)', f'^.*?{VOWEL}{OTHER}', 'n - r1')} AS r2, {_ending('word', S.PRONOUNS)} AS p FROM z1),
+z3 AS (SELECT *, left(word, n - length(p)) AS body FROM z2),
+z4 AS (SELECT *, {_ending('body', S.BEFORE_PRONOUN)} AS b FROM z3),
+z5 AS (SELECT word, rv, r1, r2, CASE WHEN p = '' OR length(body) < rv THEN word WHEN b <> '' AND length(body) - length(b) >= rv
+  THEN left(body, length(body) - length(b)) || CASE WHEN regexp_matches(b, '^[aeiou]') THEN b ELSE translate(b, 'áéíóú', 'aeiou') END WHEN body LIKE '%uyendo' AND length(body) - 5 >= rv THEN body ELSE word END AS w FROM z4),
+z6 AS (SELECT *, {_ending('w', every)} AS s1 FROM z5),
+z7 AS (SELECT *, left(w, length(w) - length(s1)) AS c, s1 <> '' AND length(w) - length(s1) >= CASE WHEN s1 = 'amente' THEN r1 ELSE r2 END AS cut FROM z6),
+z8 AS (SELECT word, rv, cut, CASE WHEN NOT cut THEN w WHEN {_one_of(kinds['delete'])} THEN c WHEN {_one_of(kinds['ic'])} THEN {_drop('c', 'ic')} WHEN {_one_of(kinds['log'])} THEN c || 'log' WHEN {_one_of(kinds['u'])} THEN c || 'u'
+  WHEN {_one_of(kinds['ente'])} THEN c || 'ente' WHEN s1 = 'amente' THEN CASE WHEN c LIKE '%iv' AND length(c) - 2 >= r2 THEN {_drop('left(c, length(c) - 2)', 'at')} ELSE {_drop('c', 'os', 'ic', 'ad')} END
+  WHEN s1 = 'mente' THEN {_drop('c', 'ante', 'able', 'ible')} WHEN {_one_of(kinds['abil'])} THEN {_drop('c', 'abil', 'ic', 'iv')} ELSE {_drop('c', 'at')} END AS w FROM z7),
+z9 AS (SELECT *, {_ending('substr(w, rv + 1)', S.Y_VERBS)} AS y, {_ending('substr(w, rv + 1)', [*S.VERBS, *S.VERBS_GU])} AS v FROM z8),
+z10 AS (SELECT word, rv, CASE WHEN cut THEN w WHEN y <> '' AND left(w, length(w) - length(y)) LIKE '%u' THEN left(w, length(w) - length(y))
+  WHEN v IN ({', '.join(f"'{x}'" for x in S.VERBS_GU)}) AND left(w, length(w) - length(v)) LIKE '%gu' THEN left(w, length(w) - length(v) - 1) ELSE left(w, length(w) - length(v)) END AS w FROM z9),
+z11 AS (SELECT *, {_ending('substr(w, rv + 1)', S.RESIDUAL)} AS s3, left(w, length(w) - 1) AS e FROM z10),
+stems AS (SELECT word, translate(CASE WHEN s3 <> '' THEN left(w, length(w) - length(s3)) WHEN NOT regexp_matches(substr(w, rv + 1), '[eé]$') THEN w WHEN e LIKE '%gu' AND length(e) - 1 >= rv THEN left(e, length(e) - 1) ELSE e END, 'áéíóú', 'aeiou') AS stem FROM z11)"""
+
+
+WORDS_AT = f"SELECT {{id}}, unnest(regexp_extract_all({NORMAL}, '{S.WORD}', 1)) AS word, generate_subscripts(regexp_extract_all({NORMAL}, '{S.WORD}', 1), 1) AS pos FROM {{table}}"
+LEXEMES = f"words AS ({WORDS_AT.replace('{id}', 'doc_id').replace('{table}', 'documents')})"
+
+
+@query(
+    "X2_lexemes",
+    f"""WITH {LEXEMES}, {stems_sql('words')}, l AS (SELECT doc_id, stem, pos FROM words JOIN stems USING (word))
+SELECT doc_id, count(stem) AS n, count(DISTINCT stem) AS "distinct", md5(coalesce(string_agg(stem, ' ' ORDER BY pos), '')) AS digest FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1""",
+)
 def x2(t: Tables):
     """The stems of each document: how many, how many distinct, and a digest of them in order."""
     rows = t.documents.select("doc_id", S.lexemes(F.col("text")).alias("l"))
     return rows.select("doc_id", F.size("l").alias("n"), F.size(F.array_distinct("l")).alias("distinct"), F.md5(F.array_join("l", " ")).alias("digest"))
 
 
-@query("K1_search_functions", rf"SELECT doc_id, md5(lower(regexp_replace({UNACC}, '([au])cion([^\p{{L}}\p{{N}}_]|$)', '\1ción\2', 'gi'))) AS digest FROM documents")
+@query(
+    "K1_search_functions",
+    f"""WITH {LEXEMES}, {stems_sql('words')}, l AS (SELECT doc_id, count(DISTINCT stem) AS stems, CAST(sum(pos) AS BIGINT) AS places FROM words JOIN stems USING (word) GROUP BY 1)
+SELECT doc_id, md5({NORMAL}) AS digest, coalesce(stems, 0) AS stems, coalesce(places, 0) AS places FROM documents LEFT JOIN l USING (doc_id)""",
+)
 def k1(t: Tables):
-    """The normalising function as a scalar SQL function of the session, called from SQL."""
-    spark = t.spark
-    body = rf"regexp_replace(translate(input, '{X.ACCENTED}', '{X.PLAIN}'), r'(?i)([au])cion(?![\p{{L}}\p{{N}}_])', r'$1ción')"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION search_normalize(input STRING) RETURNS STRING DETERMINISTIC RETURN {body}")
-    return spark.sql("SELECT doc_id, md5(lower(search_normalize(text))) AS digest FROM {documents}", documents=t.documents)
+    """The three search functions as SQL functions of the session: the normal form, and a document's stems with their places."""
+    S.register_functions(t.spark)
+    sql = "WITH d AS (SELECT doc_id, search_normalize(text) AS form, search_document(text) AS stems FROM {documents})"
+    sql += " SELECT doc_id, md5(lower(form)) AS digest, size(stems) AS stems, aggregate(flatten(map_values(stems)), 0L, (a, x) -> a + x) AS places FROM d"
+    return t.spark.sql(sql, documents=t.documents)
+
+
+ITEM_WORDS = f"[w FOR w IN regexp_extract_all({NORMAL}, '{S.WORD}', 1) IF w <> 'or']"
+POSTED = f"words AS (SELECT *, 0 AS item FROM ({WORDS_AT.replace('{id}', 'doc_id').replace('{table}', 'documents')})), own AS (SELECT item_id, {ITEM_WORDS} AS w FROM benchmark), every AS (SELECT word FROM words UNION ALL SELECT unnest(w) FROM own), {stems_sql('every')}, posts AS (SELECT doc_id, stem, pos FROM words JOIN stems USING (word))"
+
+
+def _asked(clauses: list[tuple[int, int, bool, list[int]]]) -> str:
+    """SQL of the queries of the benchmark items: alternative, clause, is it excluded, and which of an item's words it has in order."""
+    rows = ", ".join(f"({a}, {c}, {str(no).lower()}, {i}, {n})" for a, c, no, own in clauses for i, n in enumerate(own))
+    return f"""t AS (SELECT item_id, a, c, x, i, stem FROM own, (VALUES {rows}) AS v(a, c, x, i, n) JOIN stems ON stems.word = own.w[n]),
+need AS (SELECT item_id, a, c, x, count(*) AS n FROM t GROUP BY ALL),
+hit AS (SELECT DISTINCT item_id, doc_id, a, c, x FROM (SELECT item_id, doc_id, a, c, x, pos - i AS s, count(DISTINCT i) AS n FROM t JOIN posts USING (stem) GROUP BY ALL) JOIN need USING (item_id, a, c, x, n)),
+found AS (SELECT DISTINCT h.item_id, h.doc_id FROM (SELECT item_id, doc_id, a, count(*) FILTER (NOT x) AS n, count(*) FILTER (x) AS bad FROM hit GROUP BY ALL) h JOIN (SELECT item_id, a, count(*) FILTER (NOT x) AS n FROM need GROUP BY ALL) USING (item_id, a, n) WHERE bad = 0)"""
 
 
-SEARCH = 'the "of the" -ther or und nicht or "que la"'
+def _item_queries(t: Tables, *parts):
+    """A web-style query of each benchmark item from its words; a number stands for that word, or stays out."""
+    words = F.filter(I.words_of(F.col("text")), lambda w: w != "or")
+    pick = lambda n: F.coalesce(F.try_element_at("w", F.lit(n)), F.lit(""))
+    return t.benchmark.select("item_id", words.alias("w")).select("item_id", F.concat(*[pick(p) if isinstance(p, int) else F.lit(p) for p in parts]).alias("text"))
 
 
 @query(
     "X3_web_search",
-    f"""WITH w AS (SELECT doc_id, {WORDS} AS w, ' ' || array_to_string({WORDS}, ' ') || ' ' AS j FROM documents)
-SELECT doc_id FROM w WHERE ((list_contains(w, 'the') AND contains(j, ' of the ')) OR (list_contains(w, 'und') AND list_contains(w, 'nicht')) OR contains(j, ' que la ')) AND NOT list_contains(w, 'ther')""",
+    f"WITH {POSTED}, {_asked([(0, 0, False, [1]), (0, 1, False, [2, 3]), (1, 0, False, [4]), (1, 1, False, [5]), (1, 2, True, [6])])} SELECT item_id, doc_id FROM found",
 )
 def x3(t: Tables):
-    """Documents that answer a web-style query: alternatives, phrases and an exclusion."""
-    asked = S.parse_search(SEARCH, stemmer=str, stop=())
-    rows = t.documents.select("doc_id", words("text").alias("w"))
-    return rows.where(S.matches("w", asked)).select("doc_id")
+    """Documents that answer each item's web-style query, by their stems: alternatives, a phrase and an exclusion."""
+    asked = I.asked_terms(_item_queries(t, 1, ' "', 2, " ", 3, '" or ', 4, " ", 5, " -", 6), "item_id", "text")
+    return I.answers(I.text_index(t.documents, "doc_id", "text"), asked).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
-@query("U7_any_variant", f"SELECT doc_id FROM documents WHERE list_has_any({WORDS}, ['thinar', 'ingtion', 'erst', 'auque'])")
+@query("U7_any_variant", f"WITH {POSTED}, {_asked([(0, 0, False, [1]), (0, 1, False, [2]), (1, 0, False, [3, 4, 5]), (2, 0, False, [6])])} SELECT item_id, doc_id FROM found")
 def u7(t: Tables):
-    """Documents that any of several queries finds: the queries' alternatives as one."""
-    asked = S.SearchQuery([x for text in ("thinar", "ingtion or erst", "auque") for x in S.parse_search(text, stemmer=str).any_of])
-    return t.documents.select("doc_id", words("text").alias("w")).where(S.matches("w", asked)).select("doc_id")
+    """Documents that any of several queries of an item finds: the queries' alternatives as one."""
+    variants = [_item_queries(t, *parts) for parts in ((1, " ", 2), ('"', 3, " ", 4, " ", 5, '"'), (6,))]
+    asked = [I.asked_terms(q, "item_id", "text").withColumn("alternative", F.col("alternative") * 3 + i) for i, q in enumerate(variants)]
+    found = I.answers(I.text_index(t.documents, "doc_id", "text"), asked[0].unionByName(asked[1]).unionByName(asked[2]))
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
-@query("A1_matching_units", f"SELECT DISTINCT source, lang FROM documents WHERE list_has_any({WORDS}, ['thinar', 'erst'])")
+@query("A1_matching_units", f"WITH {POSTED}, {_asked([(0, 0, False, [7]), (1, 0, False, [8, 9])])} SELECT DISTINCT item_id, source, lang FROM found JOIN documents USING (doc_id)")
 def a1(t: Tables):
-    """The distinct units of the passages that a query finds."""
-    asked = S.parse_search("thinar or erst", stemmer=str)
-    return t.documents.select("source", "lang", words("text").alias("w")).where(S.matches("w", asked)).select("source", "lang").distinct()
+    """The distinct units of the passages that each item's query finds."""
+    asked = I.asked_terms(_item_queries(t, 7, ' or "', 8, " ", 9, '"'), "item_id", "text")
+    found = I.answers(I.text_index(t.documents, "doc_id", "text"), asked)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id")).join(t.documents.select("doc_id", "source", "lang"), "doc_id").select("item_id", "source", "lang").distinct()
 
 
 QUESTION = "concat(c_name, ' or ', c_mktsegment, ' y ', c_name, CASE WHEN c_custkey % 2 = 0 THEN ' según la afip' ELSE '' END)"

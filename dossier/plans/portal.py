@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import names as N
+from ..sources import json_values as J
+from ..sources import page_tables as R
 from ..sources import portal as P
 from .registry import Tables, money, query
 
@@ -21,20 +23,20 @@ def _html(t: Tables):
     """An opening record and a comparative table for each nation: page_id, html."""
     row = """concat('<tr><td> ', s_name, ' &amp; C&iacute;a</td><td>', substr(tax, 1, 2), '-', substr(tax, 3, 8), '-', substr(tax, 11, 1), '</td><td>Confirmada 5/3/2024 10:00</td><td>Pesos</td><td>$ ', amount,
         '</td><td></td><td>', kind, '</td><td>poliza</td><td>', s_suppkey, ',50</td></tr>')"""
-    s = t.supplier.where("s_acctbal >= 0").selectExpr("s_nationkey AS page_id", "s_suppkey", "s_name", TAX.format("STRING") + " AS tax", AMOUNT + " AS amount", "explode(array('mantenimiento', 'cumplimiento', 'cumplimiento')) AS kind")
+    s = t.supplier.selectExpr("s_nationkey AS page_id", "s_suppkey", "s_name", TAX.format("STRING") + " AS tax", AMOUNT + " AS amount", "explode(array('mantenimiento', 'cumplimiento', 'cumplimiento')) AS kind")
     rows = s.selectExpr("page_id", "s_suppkey", "kind", row + " AS html")
     body = F.array_join(F.sort_array(F.collect_list(F.struct("s_suppkey", F.col("kind") == "cumplimiento", "html")))["html"], "\n")
     short = F.lit("<table id='x_gvOtras'><tr><td>1</td></tr></table><table id='ctl_gvOfertas'><tr><th>Oferente</th></tr><tr><td>sin datos</td></tr>")
     return rows.groupBy("page_id").agg(F.concat(short, body, F.lit("<tr><td>Nadie</td><td>123</td><td></td><td></td><td></td><td></td><td></td><td></td><td></td></tr></table>")).alias("html"))
 
 
-BIDDERS = f"b AS (SELECT s_nationkey AS page_id, s_suppkey, {TAX.format('VARCHAR')} AS tax_id, s_name || ' & Cía' AS bidder, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS total FROM supplier WHERE s_acctbal >= 0)"
+BIDDERS = f"b AS (SELECT s_nationkey AS page_id, s_suppkey, {TAX.format('VARCHAR')} AS tax_id, s_name || ' & Cía' AS bidder, abs(CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE)) AS total FROM supplier)"
 
 
 @query("S10_opening_offers", f"WITH {BIDDERS} SELECT page_id, tax_id, bidder, DATE '2024-03-05' AS confirmed_on, 'Pesos' AS currency, total, 2 AS guarantees, s_suppkey + 0.5 AS amount FROM b")
 def s10(t: Tables):
-    """Offers and guarantees of opening records; repeated guarantee rows count once."""
-    offers, _ = P.opening_record(_html(t), "page_id", "html")
+    """Offers and guarantees of opening records; repeated guarantee rows count once, a sign is no part of an amount."""
+    offers = R.read_pages(_html(t), "page_id", "html", "opening").where("issue IS NULL")
     kept = ["page_id", "tax_id", "bidder", "confirmed_on", "currency", F.col("total").cast("double").alias("total")]
     return offers.select(*kept, F.size("guarantees").alias("guarantees"), F.col("guarantees")[0]["amount"].cast("double").alias("amount"))
 
@@ -42,7 +44,7 @@ def s10(t: Tables):
 @query("S10_opening_issues", f"WITH {BIDDERS} SELECT page_id, 'no tax id' AS issue, 1 AS n FROM b GROUP BY 1")
 def s10_issues(t: Tables):
     """What is wrong with opening records: here, one row a page without a tax id."""
-    _, issues = P.opening_record(_html(t), "page_id", "html")
+    issues = R.read_pages(_html(t), "page_id", "html", "opening").where("issue IS NOT NULL")
     return issues.groupBy("page_id", "issue").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -67,24 +69,66 @@ CAST(min(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price, CAST(floor
 )
 def s11(t: Tables):
     """Quotes of comparative tables; those without a readable quantity are left out."""
-    out = P.comparative_table(_comparison(t), "page_id", "html")
+    out = R.read_pages(_comparison(t), "page_id", "html", "comparative").where("part = 'quote'")
     return out.select("page_id", "line", "alternative", "tax_id", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
 
 
-FIELDS = {"lblNumero": "number", "lblNombre": "name", "lblMoneda": "currency"}
+@query("S11_comparative_issues", "SELECT l_partkey AS page_id, 'no price or quantity' AS issue, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey % 5 = 0) GROUP BY 1")
+def s11_issues(t: Tables):
+    """What can't be read in comparative tables."""
+    return R.read_pages(_comparison(t), "page_id", "html", "comparative").where("part = 'issue'").groupBy("page_id", "issue").agg(F.count("*").alias("n"))
+
+
+def _process(t: Tables):
+    """A process page for each customer: its orders are the lines, its first order dates the schedule and the acts."""
+    frame = "ctl00_CPH1_UCVistaPreviaPliego_"
+    span = lambda key, value: f"'<span id=\"{frame}{key}\">', {value}, '</span>'"
+    line = """concat('<tr><td> ', o_orderkey, '</td><td>2.1</td><td>', o_custkey, '-', o_orderkey, '</td><td>', o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN ' a¿os' ELSE '' END, '</td><td>', CASE WHEN o_orderstatus = 'F' THEN 'sin dato'
+        ELSE concat(translate(format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2), ',.', '.,'), ' kg') END, '<td><table><tr><td>9<td>no line</table></tr>')"""
+    lines = t.orders.selectExpr("o_custkey AS c_custkey", "o_orderkey", "o_orderdate", line + " AS html").groupBy("c_custkey")
+    lines = lines.agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", "html")))["html"], "\n").alias("lines"), F.date_format(F.min("o_orderdate"), "d/M/yyyy").alias("day"))
+    head = ["'<html><body><div>'", span("usrCabeceraPliego_lblNumExpediente", "'EX-', c_custkey"), span("usrCabeceraPliego_lblNomPliego", "'otro nombre'"), span("UC_InformacionBasica_lblNumeroProceso", "' ', c_custkey, ' '")]
+    head += [span("UC_InformacionBasica_lblNombreProceso", "CASE WHEN c_custkey % 3 > 0 THEN concat(c_name, ' y C&iacute;a') ELSE '' END"), span("UC_InformacionBasica_lblProcedimientoSeleccion", "c_mktsegment")]
+    head += ["CASE WHEN c_custkey % 4 > 0 THEN concat(" + span("UC_InformacionBasica_lblMoneda", "'Peso', CASE WHEN c_custkey % 5 = 0 THEN '¿a' ELSE 's' END") + ") ELSE '' END"]
+    head += [span("UC_InformacionBasica_lblTipoCotizacionCantidad", "'parcial'"), span("UC_InformacionBasica_lblTipoCotizacionLinea", "'por renglón'"), "'</div>'"]
+    timed = ["'<div><label>Acto de <b>apertura</b></label>'", span("UC_Cronograma_lblTitulo", "'no'"), span("UC_Cronograma_lblApertura", "day, ' 10:00'"), "'</div><div>'", span("UC_Garantias_lblA", "'cinco por ciento'"), span("UC_Garantias_lblB", "' '"), span("UC_OfertasProceso_lblOfertasPresentadas", "'5'"), "'</div>'"]
+    table = ["'<table id=\"x_' || 'UC_DetalleProductos_gvLineaPliego\"><thead><tr><th>N</th></tr></thead><tbody>'", "lines", "'</tbody></table>'"]
+    acts = ["'<table id=\"x_UC_ActosAdministrativos_gvActosAdministrativos\"><tr><td>'", span("d_lblDocumento", "'Autorización de llamado'"), span("d_lblFechaVinculacion", "day"), span("d_lblNumeroSade", "'N-', c_custkey")]
+    acts += ["'<a id=\"d_btnVer\" href=\"javascript:__doPostBack(&#39;t$', c_custkey, '&#39;,&#39;v&#39;)\">ver</a></td></tr><tr><td>'", span("e_lblDocumento", "'Dictamen'"), "'</td></tr></table>'"]
+    circulars = ["'<table id=\"x_UC_Circulares_gvCirculares\"><tr><td>'", span("f_lblNumero", "'7'"), span("f_lblFechaCreacion", "day"), "'<a id=\"f_btnVerCircular\" onclick=\"VerCircularCiudadano(&#39;q', c_custkey, '&#39;)\">ver</a></table></body></html>'"]
+    page = f"concat({', '.join(head)}, CASE WHEN lines IS NULL THEN '' ELSE concat({', '.join(timed + table + acts + circulars)}) END)"
+    return t.customer.join(lines, "c_custkey", "left").selectExpr("c_custkey", page + " AS html")
 
 
 @query(
     "S12_process_page",
-    """SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS number, CASE WHEN c_custkey % 3 > 0 THEN c_name || ' y Cía' END AS name, concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'name' END, CASE WHEN c_custkey % 4 = 0 THEN 'currency' END) AS missing,
-CASE WHEN c_custkey % 4 > 0 AND c_custkey % 5 = 0 THEN 'currency' ELSE '' END AS damaged FROM customer""",
+    """WITH o AS (SELECT o_custkey AS c_custkey, min(CAST(o_orderdate AS DATE)) AS day FROM orders GROUP BY 1), c AS (SELECT customer.*, day, c_custkey % 4 > 0 AS paid FROM customer LEFT JOIN o USING (c_custkey)),
+r AS (
+SELECT c_custkey, 'field' AS section, 1 AS i, 'file' AS name, 'EX-' || c_custkey AS value, NULL::DATE AS day, NULL::VARCHAR AS quantity, '' AS details, false AS damaged FROM c
+UNION ALL SELECT c_custkey, 'field', 2, 'name', c_name || ' y Cía', NULL, NULL, '', false FROM c WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'field', 3, 'number', CAST(c_custkey AS VARCHAR), NULL, NULL, '', false FROM c
+UNION ALL SELECT c_custkey, 'field', 4, 'kind', c_mktsegment, NULL, NULL, '', false FROM c UNION ALL SELECT c_custkey, 'field', 5, 'currency', CASE WHEN c_custkey % 5 = 0 THEN 'Peso¿a' ELSE 'Pesos' END, NULL, NULL, '', c_custkey % 5 = 0 FROM c WHERE paid
+UNION ALL SELECT c_custkey, 'missing', 1, 'name', NULL, NULL, NULL, '', false FROM c WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'list', i, 'quote_kinds', v, NULL, NULL, '', false FROM c, (VALUES (1, 'parcial'), (2, 'por renglón')) x(i, v)
+UNION ALL SELECT c_custkey, 'schedule', 1, 'Acto de apertura', strftime(day, '%-d/%-m/%Y') || ' 10:00', day, NULL, '', false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT c_custkey, 'guarantee', 1, NULL, 'cinco por ciento', NULL, NULL, '', false FROM c WHERE day IS NOT NULL UNION ALL SELECT c_custkey, 'count', 1, 'bidders', '5', NULL, NULL, '', false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT o_custkey, 'line', o_orderkey, CAST(o_orderkey AS VARCHAR), o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN ' a¿os' ELSE '' END, NULL, CASE WHEN o_orderstatus <> 'F' THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END,
+  'item=' || o_custkey || '-' || o_orderkey || ',object=2.1,unit=' || CASE WHEN o_orderstatus = 'F' THEN 'sin dato' ELSE 'kg' END, o_orderkey % 7 = 0 FROM orders
+UNION ALL SELECT o_custkey, 'issue', o_orderkey, 'lines', 'line ' || o_orderkey || ' has no quantity', NULL, NULL, '', false FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT c_custkey, 'document', 1, 'acts', 'Autorización de llamado', day, NULL, 'argument=v,number=N-' || c_custkey || ',opens=form,target=t$' || c_custkey, false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT c_custkey, 'document', 2, 'acts', 'Dictamen', NULL, NULL, '', false FROM c WHERE day IS NOT NULL UNION ALL SELECT c_custkey, 'issue', 1::BIGINT << 60, 'documents', 'nothing opens Dictamen', NULL, NULL, '', false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT c_custkey, 'circular', 1, '7', '/PLIEGO/VistaPreviaCircularCiudadano.aspx?qs=q' || c_custkey, day, NULL, '', false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT c_custkey, 'candidate', 1, 'authorised_on', NULL, day, NULL, '', false FROM c WHERE day IS NOT NULL
+UNION ALL SELECT c_custkey, 'issue', i, v, 'not found', NULL, NULL, '', false FROM c, (VALUES (1, 'schedule'), (2, 'guarantees'), (3, 'lines')) x(i, v) WHERE day IS NULL)
+SELECT c_custkey, section, count(*) AS n, count(*) FILTER (damaged) AS damaged, md5(string_agg(concat_ws('|', coalesce(name, ''), coalesce(value, ''), coalesce(CAST(day AS VARCHAR), ''), coalesce(quantity, ''), details), chr(10) ORDER BY i)) AS digest FROM r GROUP BY 1, 2""",
 )
 def s12_page(t: Tables):
-    """Named values of process pages, and which are missing or damaged."""
-    html = """concat('<html><span id="u_lblNumero"> ', c_custkey, ' </span><p><span id="u_lblNombre">', CASE WHEN c_custkey % 3 > 0 THEN concat(c_name, ' y C&iacute;a') ELSE '' END, '</span>',
-        CASE WHEN c_custkey % 4 > 0 THEN concat('<span id="u_lblMoneda">Peso', CASE WHEN c_custkey % 5 = 0 THEN '¿a' ELSE 's' END, '</span>') ELSE '' END)"""
-    out = P.process_page(t.customer.selectExpr("c_custkey", html + " AS html"), "c_custkey", "html", FIELDS)
-    return out.select("c_custkey", F.col("values")["number"].alias("number"), F.col("values")["name"].alias("name"), F.array_join("missing", ",").alias("missing"), F.array_join("damaged", ",").alias("damaged"))
+    """All that process pages say, by section: fields, lists, schedule, guarantees, lines, documents, circulars, and what is missing or wrong."""
+    rows = R.read_pages(_process(t), "c_custkey", "html", "process")
+    details = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    said = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (F.col("name"), F.col("value"), F.col("day").cast("string"), F.col("quantity").cast("decimal(18,2)").cast("string"))], details)
+    return rows.groupBy("c_custkey", "section").agg(
+        F.count("*").alias("n"), F.count_if("damaged").alias("damaged"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))), lambda x: x["said"]), "\n")).alias("digest")
+    )
 
 
 @query("X31_portal_text", r"SELECT c_custkey, c_name || ' & Cía «' || c_mktsegment || '»' AS text, c_custkey % 2 = 0 AS damaged FROM customer")
@@ -134,7 +178,7 @@ def s6(t: Tables):
 
 @query(
     "M1_amounts",
-    "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 3 THEN floor(CAST(o_totalprice AS DECIMAL(18,2))) WHEN 4 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM orders WHERE o_totalprice >= 1000",
+    "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 3 THEN floor(CAST(o_totalprice AS DECIMAL(18,2))) WHEN 4 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount FROM orders",
 )
 def m1(t: Tables):
     """Amounts as pages write them: with points or without, with a currency before or after, whole, or none at all."""
@@ -145,7 +189,7 @@ def m1(t: Tables):
         F.when(F.col("o_orderkey") % 6 == 0, F.concat(F.lit("$ "), dotted)).when(F.col("o_orderkey") % 6 == 1, plain).when(F.col("o_orderkey") % 6 == 2, F.concat(F.lit("USD "), dotted))
         .when(F.col("o_orderkey") % 6 == 3, F.concat(whole, F.lit(" pesos"))).when(F.col("o_orderkey") % 6 == 4, "sin monto").otherwise(F.replace(plain, F.lit("."), F.lit(",")))
     )
-    return t.orders.where("o_totalprice >= 1000").select("o_orderkey", V.amount(text).cast("double").alias("amount"))
+    return t.orders.select("o_orderkey", V.amount(text).cast("double").alias("amount"))
 
 
 @query("M3_only_percent", "SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN NULL WHEN 3 THEN 10 ELSE NULL END AS DOUBLE) AS percent FROM part")
@@ -172,20 +216,29 @@ def d5(t: Tables):
     return t.orders.groupBy(V.reference_date(day, F.lit("1998-06-01").cast("date")).alias("state")).agg(F.count("*").alias("n"))
 
 
-NESTED = """concat('{"a": {"name": "', c_name, '", "tags": ["', c_mktsegment, '", {"deep": "x ', c_nationkey, '"}]}, "n": ', c_custkey, ', "last" : "fin"}')"""
+#: A record with strings at several depths, in quotes, with escapes of both kinds, as names, and odd spacing; from the texts of conversations.
+NESTED = r"""concat('{"a" : {"said":', {json}, ' , "tags": [["x \\"y\\"", {"deep": ', {json}, '}], "caf\\u00e9"]}, "n":', CAST(turn AS {text}), ', "ok" : true, "role\\t" :"', role, '", "none": null}')"""
 
 
-@query("R2_json_strings", f"SELECT c_custkey, array_to_string(regexp_extract_all({NESTED}, '{V.JSON_STRING}', 1), '|') AS strings FROM customer")
+@query(
+    "R2_json_strings",
+    f"""SELECT conv_id, turn, md5(array_to_string(list_sort([text, text, role, 'x "y"', 'café', 'a', 'said', 'tags', 'deep', 'n', 'ok', 'role' || chr(9), 'none']), chr(30))) AS digest, 13 AS n FROM conversations
+WHERE text IS NOT NULL""",
+)
 def r2(t: Tables):
-    return t.customer.select("c_custkey", F.array_join(V.json_strings(F.expr(NESTED)), "|").alias("strings"))
+    """Every string of a JSON record at any depth, names too, decoded; sorted, as a set has no order."""
+    body = NESTED.replace("{json}", "substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)").replace("{text}", "STRING")
+    rows = t.conversations.where("text IS NOT NULL").select(F.struct("conv_id", "turn").alias("k"), F.expr(body).alias("record"))
+    found = J.json_strings(rows, "k", "record").groupBy("k").agg(F.sort_array(F.collect_list("string")).alias("s"))
+    return found.select("k.conv_id", "k.turn", F.md5(F.array_join("s", "\u001e")).alias("digest"), F.size("s").alias("n"))
 
 
-@query("M2_amounts_in_text", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS first, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM orders WHERE o_totalprice >= 1000")
+@query("M2_amounts_in_text", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS first, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM orders")
 def m2(t: Tables):
     """Amounts of free text: numbers of clauses, percentages and amounts of taxes don't count."""
     text = F.concat(F.lit("Según los puntos 3.10, 3.11 y 11.10 la oferta cotiza $ "), V.amount_text(money("o_totalprice")), F.lit(" con IVA del 21%; impuesto de $ 99,00. "), F.when(F.col("o_orderkey") % 2 == 0, "Monto de garantía 5.000 pesos, 30 días.").otherwise("Plazo de 30 días."))
     found = V.amounts_in(text)
-    return t.orders.where("o_totalprice >= 1000").select("o_orderkey", found[0].cast("double").alias("first"), F.size(found).alias("n"))
+    return t.orders.select("o_orderkey", found[0].cast("double").alias("first"), F.size(found).alias("n"))
 
 
 WHO = "CASE WHEN l.s_suppkey % 4 = 0 THEN {tax} END"

@@ -282,13 +282,19 @@ def _answers(t: Tables):
 
 @query(
     "G28_applicable_answers",
-    f"""WITH {ANSWERS.replace("CAST(value AS INTEGER)", "CAST(round(value) AS INTEGER)")}, f AS (SELECT * FROM l WHERE scope = 'procedure' OR (scope = 'requirement' AND requirement = 2) OR (scope = 'pair' AND requirement = 2 AND offer = 1)),
-b AS (SELECT *, row_number() OVER (PARTITION BY procedure_id ORDER BY value DESC, ts, event_id) AS k FROM f) SELECT procedure_id, event_id, CAST(row_number() OVER (PARTITION BY procedure_id ORDER BY ts, event_id) AS INTEGER) AS place FROM b WHERE k <= 20""",
+    f"""WITH {ANSWERS.replace("CAST(value AS INTEGER)", "CAST(round(value) AS INTEGER)")}, r AS (SELECT DISTINCT l_suppkey AS procedure_id, l_linenumber % 3 AS offer, l_partkey % 5 AS requirement FROM lineitem),
+f AS (SELECT procedure_id, r.offer, r.requirement, event_id, ts, value FROM r JOIN l USING (procedure_id) WHERE scope = 'procedure' OR (l.requirement = r.requirement AND (scope = 'requirement' OR (scope = 'pair' AND l.offer = r.offer)))),
+b AS (SELECT *, row_number() OVER (PARTITION BY procedure_id, offer, requirement ORDER BY value DESC, ts, event_id) AS k FROM f)
+SELECT procedure_id, offer, requirement, event_id, CAST(row_number() OVER (PARTITION BY procedure_id, offer, requirement ORDER BY ts, event_id) AS INTEGER) AS place FROM b WHERE k <= 20""",
 )
 def g28(t: Tables):
-    """The committee's standing answers that apply to one pair; beyond twenty, the best scored, in order of time."""
-    applies = "scope = 'procedure' OR (scope = 'requirement' AND requirement = 2) OR (scope = 'pair' AND requirement = 2 AND offer = 1)"
-    return L.best_in_time(_answers(t).where(applies), ["procedure_id"], [F.desc("value"), "ts", "event_id"], ["ts", "event_id"], 20).select("procedure_id", "event_id", "place")
+    """The committee's standing answers that apply to each pair of an offer and a requirement; beyond twenty, the best scored, in order of time."""
+    asked = t.lineitem.selectExpr("l_suppkey AS procedure_id", "l_linenumber % 3 AS offer", "l_partkey % 5 AS requirement").distinct()
+    own = _answers(t).withColumnsRenamed({"offer": "its_offer", "requirement": "its_requirement"})
+    applies = "scope = 'procedure' OR (its_requirement = requirement AND (scope = 'requirement' OR (scope = 'pair' AND its_offer = offer)))"
+    pair = ["procedure_id", "offer", "requirement"]
+    out = L.best_in_time(asked.join(own, "procedure_id").where(applies), pair, [F.desc("value"), "ts", "event_id"], ["ts", "event_id"], 20)
+    return out.select(*pair, "event_id", "place")
 
 
 @query(

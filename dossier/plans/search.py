@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.search import WORD
+from ..operators import postings as I
 from ..operators import retrieval as Q
+from .language import NORMAL, POSTED
 from .registry import Tables, query
 
+
 def _asked(t: Tables):
     """The stated queries of a vector search: every row whose id is divisible by 20."""
     return t.embeddings.where("vec_id % 20 = 0")
 
 
-def _near(t: Tables, k: int | None = Q.CANDIDATES):
-    return Q.cosine_distances(t.embeddings, _asked(t), "vec_id", "embedding", k)
+def _near(t: Tables):
+    return Q.cosine_distances(t.embeddings, _asked(t), "vec_id", "embedding").drop("score")
 
 
 V = "CAST(embedding AS DOUBLE[])"
 COSINE = f"""
 e AS (SELECT vec_id, label, {V} AS v, sqrt(list_inner_product({V}, {V})) AS n FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(1 - list_inner_product(e.v, q.v) / (e.n * q.n), 6) + 0.0 AS distance FROM e JOIN e q ON q.vec_id % 20 = 0),
+c AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_inner_product(e.v, q.v) / (e.n * q.n) AS score FROM e JOIN e q ON q.vec_id % 20 = 0),
+d AS (SELECT *, round(1 - score, 6) + 0.0 AS distance FROM c),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS place FROM d)
 """
 
@@ -30,28 +35,27 @@ def t1(t: Tables):
     return _near(t)
 
 
-HITS = r"""
-w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1)) AS w FROM documents), i AS (SELECT w, id, count(*) AS tf FROM w GROUP BY 1, 2),
-z AS (SELECT id, count(*) AS size FROM w GROUP BY 1), m AS (SELECT avg(size) AS mean, (SELECT count(*) FROM documents) AS docs FROM z), f AS (SELECT w, count(*) AS df FROM i GROUP BY 1),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z0-9ß-öø-ÿ]+)', 1))) AS w FROM benchmark),
-s AS (SELECT query_id, id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN i USING (w) JOIN f USING (w) JOIN z USING (id), m GROUP BY 1, 2)
+HITS = f"""{POSTED}, i AS (SELECT stem, doc_id AS id, count(*) AS tf FROM posts GROUP BY 1, 2), z AS (SELECT id, sum(tf) AS size FROM i GROUP BY 1),
+m AS (SELECT avg(size) AS mean, (SELECT count(*) FROM documents) AS docs FROM z), f AS (SELECT stem, count(*) AS df FROM i GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, stem FROM (SELECT item_id, unnest(regexp_extract_all({NORMAL}, '{WORD}', 1)) AS word FROM benchmark) JOIN stems USING (word)),
+s AS (SELECT query_id, id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN i USING (stem) JOIN f USING (stem) JOIN z USING (id), m GROUP BY 1, 2)
 """
 
 
 @query("T2_words_topk", f"WITH {HITS} SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place FROM s) WHERE place <= 30")
 def t2(t: Tables):
-    """The best documents for each benchmark passage by its words (BM25, a documented stand-in for another ranking formula)."""
-    return Q.word_scores(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+    """The best documents for each benchmark passage by its stems (BM25, a documented stand-in for another ranking formula)."""
+    return I.ranked(I.text_index(t.documents, "doc_id", "text"), t.benchmark, "item_id", "text", Q.CANDIDATES).scores
 
 
 @query(
     "T5_threshold",
-    f"WITH {COSINE} SELECT query_id, count(*) FILTER (1 - distance >= 0.219) AS kept, round(max(1 - distance), 6) AS best, CASE WHEN count(*) FILTER (1 - distance >= 0.219) = 0 THEN 'below_threshold' END AS reason FROM d WHERE id <> query_id GROUP BY 1",
+    f"WITH {COSINE} SELECT query_id, count(*) FILTER (score >= 0.219) AS kept, round(max(score), 6) AS best, CASE WHEN count(*) FILTER (score >= 0.219) = 0 THEN 'below_threshold' END AS reason FROM d WHERE id <> query_id GROUP BY 1",
 )
 def t5(t: Tables):
     """How many rows pass the barrier for each query; none is an abstention with its reason."""
-    scores = _near(t, None).where("id <> query_id").withColumn("score", F.round(1 - F.col("distance"), 6))
-    return Q.barrier(scores, _asked(t).select(F.col("vec_id").alias("query_id")), "query_id", "score")
+    sums = Q.passing(t.embeddings, _asked(t), "vec_id", "embedding")
+    return Q.barrier(sums, _asked(t).select(F.col("vec_id").alias("query_id")), "query_id")
 
 
 def _labelled(t: Tables, found):
@@ -67,15 +71,15 @@ def a6(t: Tables):
 
 @query(
     "A7_pooled_score",
-    f"""WITH {COSINE}, u AS (SELECT query_id, label, id % 10 AS unit, max(1 - distance) AS score FROM d GROUP BY 1, 2, 3)
-SELECT query_id, label, round(max(score), 6) AS score, arg_max(unit, (score, -unit)) AS unit, count(*) AS units FROM u GROUP BY 1, 2""",
+    f"""WITH {COSINE}, u AS (SELECT query_id, label, id % 10 AS unit, round(max(score), 6) AS score FROM d GROUP BY 1, 2, 3)
+SELECT query_id, label, max(score) AS score, arg_max(unit, (score, -unit)) AS unit, count(*) AS units FROM u GROUP BY 1, 2""",
 )
 def a7(t: Tables):
     """Passages to units to documents: each level keeps the best score of the one below, and the unit that has it."""
-    rows = _labelled(t, _near(t, None)).withColumn("unit", F.col("id") % 10).withColumn("score", F.round(1 - F.col("distance"), 6))
-    units = Q.pooled(rows, ["query_id", "label", "unit"], "id", "score").select("query_id", "label", "unit", F.col("best").alias("score"))
+    rows = t.embeddings.select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"), (F.col("vec_id") % 10).alias("unit"))
+    units = Q.best_of_groups(rows, _asked(t), "vec_id", "embedding", ["label", "unit"])
     out = Q.pooled(units, ["query_id", "label"], "unit", "score")
-    return out.select("query_id", "label", F.col("best").alias("score"), F.col("item").alias("unit"), F.col("items").alias("units"))
+    return out.select("query_id", F.col("label").cast("int").alias("label"), F.col("best").alias("score"), F.col("item").alias("unit"), F.col("items").alias("units"))
 
 
 PATHS = f"""{COSINE}, l AS (SELECT q.query_id, e.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY e.vec_id) AS INTEGER) AS place FROM (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0) q JOIN embeddings e ON e.label = q.label QUALIFY place <= 30),
@@ -107,12 +111,13 @@ def w17(t: Tables):
 
 @query(
     "G17_merged_results",
-    f"""WITH {COSINE}, i AS (SELECT query_id // 100 AS question, label, id, max(1 - distance) AS s FROM r WHERE place <= 30 GROUP BY 1, 2, 3)
+    f"""WITH {COSINE}, i AS (SELECT query_id // 100 AS question, label, id, max(score) AS s FROM r WHERE place <= 30 GROUP BY 1, 2, 3)
 SELECT question, label, round(max(s), 6) AS best, count(*) AS items, max(s) >= 0.219 AS selected FROM i GROUP BY 1, 2""",
 )
 def g17(t: Tables):
     """The results of several fixed questions as one: best scores of passages and units, and which units any of them selected."""
-    rows = _labelled(t, _near(t)).selectExpr("query_id div 100 AS question", "label", "id", "round(1 - distance, 6) AS s")
+    near = Q.cosine_distances(t.embeddings, _asked(t), "vec_id", "embedding")
+    rows = _labelled(t, near).selectExpr("query_id div 100 AS question", "label", "id", "score AS s")
     return Q.merged_results(rows, "question", "label", "id", "s")
 
 

@@ -8,6 +8,8 @@ from ..functions import classes as C
 from ..functions import headings as H
 from ..functions import text as X
 from ..operators import lines as N
+from ..operators import passages as G
+from ..operators import points as O
 from ..operators import structure as S
 from .registry import Tables, query
 from .text import LINES, PLAIN
@@ -57,12 +59,44 @@ def x21_first(t: Tables):
     return plain.where("key IS NOT NULL AND NOT annex").select("doc", "key")
 
 
-@query("X22_items")
+#: The paragraphs of a norm with a cover and an index, by place; k is a number that decides which of them it has.
+WITH_INDEX = (
+    "CASE WHEN k % 5 = 0 THEN 'prosa antes' ELSE 'Número: DI-1-APN' END", "'Ciudad de la norma'", "CASE WHEN k % 2 = 0 THEN 'Referencia: régimen' ELSE 'más prosa' END", "'ÍNDICE'", "'TÍTULO I'", "'ARTÍCULO 1°.- OBJETO'",
+    "'DE LA MEDIDA'", "'ARTÍCULO 2°.- PLAZOS'", "'a) lista del índice'", "'TÍTULO I'", "'ARTÍCULO 1°.- OBJETO. El régimen alcanza a todos.'", "'texto del primero'",
+    "CASE WHEN k % 3 = 0 THEN 'ARTÍCULO 2°.- PLAZOS. Rigen.' ELSE 'más texto' END", "'ANEXO I'", "'ARTÍCULO 2°.- PLAZOS. Los del anexo.'",
+)
+WITH_INDEX_SQL = f"(SELECT doc, k, at, CASE at {' '.join(f'WHEN {i} THEN {p}' for i, p in enumerate(WITH_INDEX, 1))} END AS text FROM n, r)".replace(" at", " pos")
+
+
+@query(
+    "X21_index",
+    f"""WITH n AS (SELECT o_orderkey AS doc, o_custkey AS k FROM orders), r AS (SELECT unnest(range(1, {len(WITH_INDEX) + 1})) AS pos), p AS (SELECT *, k % 2 = 0 AND k % 5 > 0 AS cover, k % 3 = 0 AS listed FROM {WITH_INDEX_SQL})
+SELECT doc, pos AS at, CASE WHEN pos <= 3 AND cover THEN 'discarded' WHEN pos <= 3 THEN 'unlocated' WHEN pos IN (14) THEN 'annex' WHEN pos = 15 THEN 'article' WHEN listed AND pos <= 9 THEN 'discarded' WHEN pos = 4 THEN 'discarded' WHEN pos IN (5, 10) THEN 'title'
+  WHEN listed THEN 'article' WHEN pos = 9 THEN 'item' WHEN pos >= 11 THEN 'title' ELSE 'article' END AS unit_type,
+CASE WHEN pos <= 5 OR pos = 10 THEN NULL WHEN pos = 14 THEN 'anexo-i' WHEN pos = 15 THEN 'anexo-i/art-2' WHEN listed THEN CASE WHEN pos <= 9 THEN NULL WHEN pos = 13 THEN 'art-2' ELSE 'art-1' END
+  WHEN pos IN (6, 7) THEN 'art-1' WHEN pos = 8 THEN 'art-2' WHEN pos = 9 THEN 'art-2/inc-a' END AS key FROM p""",
+)
+def x21_index(t: Tables):
+    """Norms with a cover and an index: articles that the index names are no units, unless their headings don't come again in the same part."""
+    cases = "CASE at " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(WITH_INDEX, 1)) + " END AS text"
+    rows = t.orders.selectExpr("o_orderkey AS doc", "o_custkey AS k", f"explode(sequence(1, {len(WITH_INDEX)})) AS at").selectExpr("doc", "at", cases)
+    return S.units_of(rows, "doc", "at", "text").select("doc", "at", "unit_type", "key")
+
+
+#: The paragraphs of an article with lists, and the items that they belong to: key, first and last paragraph.
+WITH_ITEMS = (
+    "'Artículo 1°.- Requisitos:'", "'a) uno:'", "concat('1) uno uno, ', k)", "'2) uno dos:'", "CASE WHEN k % 2 = 0 THEN 'lo que el punto dos presenta' ELSE 'd) salta la letra' END", "'b) dos'", "'1) dos uno'", "'2) dos dos'",
+    "'Además se presenta:'", "'1. nueva lista'", "'2. otra:'", "concat('lo último para ', k)", "'ARTÍCULO 2°.- Sin lista.'", "'b) no empieza una lista'",
+)
+ITEMS_OF = "(2, 'inc-a', 2, 5), (3, 'inc-a/inc-1', 3, 3), (4, 'inc-a/inc-2', 4, 5), (5, 'inc-a/inc-2', 4, 5), (6, 'inc-b', 6, 8), (7, 'inc-b/inc-1', 7, 7), (8, 'inc-b/inc-2', 8, 8), (10, 'inc-1', 10, 10), (11, 'inc-2', 11, 12), (12, 'inc-2', 11, 12)"
+
+
+@query("X22_items", f"SELECT o_orderkey AS doc, pos AS at, 'art-1/' || key AS key, CASE WHEN contains(key, '/') THEN 'art-1/' || split_part(key, '/', 1) ELSE 'art-1' END AS parent, CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last FROM orders, (VALUES {ITEMS_OF}) AS v(pos, key, a, b)")
 def x22(t: Tables):
-    """The items of two levels inside the articles of norms: doc, key, parent."""
-    items = """CASE l_linenumber WHEN 1 THEN 'Artículo 1°.- Lista:' WHEN 2 THEN 'a) uno:' WHEN 3 THEN '1) uno uno' WHEN 4 THEN '2) uno dos' WHEN 5 THEN 'b) dos' WHEN 6 THEN 'd) fuera de orden' ELSE 'c) tres' END"""
-    rows = t.lineitem.selectExpr("l_orderkey AS doc", "l_linenumber AS at", items + " AS text").dropDuplicates(["doc", "at"])
-    return S.units_of(rows, "doc", "at", "text").where("unit_type = 'item'").select("doc", "key", "parent").distinct()
+    """The items of two levels of an article: what they are inside of, where they begin and end; a paragraph that presents a list begins a new one."""
+    cases = "CASE at " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(WITH_ITEMS, 1)) + " END AS text"
+    rows = t.orders.selectExpr("o_orderkey AS doc", "o_custkey AS k", f"explode(sequence(1, {len(WITH_ITEMS)})) AS at").selectExpr("doc", "at", cases)
+    return S.units_of(rows, "doc", "at", "text").where("unit_type = 'item'").select("doc", "at", "key", "parent", "first", "last")
 
 
 @query("X23_points")
@@ -70,7 +104,7 @@ def x23(t: Tables):
     """The numbered point of each paragraph of an opinion."""
     text = "CASE l_partkey % 6 WHEN 0 THEN concat(l_linenumber, '. Antecedentes') WHEN 1 THEN '1.1 Detalle' WHEN 2 THEN 'I. HECHOS' WHEN 3 THEN 'II. DERECHO' WHEN 4 THEN 'Firmado digitalmente por X' ELSE 'sigue el texto' END AS text"
     rows = t.lineitem.selectExpr("l_orderkey AS doc", "l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS at", text).dropDuplicates(["doc", "at"])
-    return S.points_of(rows, "doc", "at", "text")
+    return O.points_of(rows, "doc", "at", "text")
 
 
 @query(
@@ -93,13 +127,16 @@ def x19(t: Tables):
     return out.select("doc_id", "paragraph", F.md5("text").alias("digest"), "lines", "joins")
 
 
-ODD = "[\ufb00-\ufb06\u00a0\u2007\u202f\u00ad\u0300-\u036f]"
+#: What a canonical line has instead of each character or pair, in SQL: the fixed values, one after the other.
+CANONICAL = "line"
+for _old, _new in (X.COMPOSED | X.LIGATURES).items():
+    CANONICAL = f"replace({CANONICAL}, '{_old}', '{_new}')"
 
 
-@query("X18_canonical_lines", f"WITH {LINES} SELECT doc_id, md5(string_agg(regexp_replace(line, ' {{2,}}', ' ', 'g'), chr(10) ORDER BY line)) AS digest FROM lines WHERE NOT regexp_matches(line, '{ODD}') GROUP BY 1")
+@query("X18_canonical_lines", f"WITH {LINES} SELECT doc_id, md5(string_agg(regexp_replace({CANONICAL}, ' {{2,}}', ' ', 'g'), chr(10) ORDER BY regexp_replace({CANONICAL}, ' {{2,}}', ' ', 'g'))) AS digest FROM lines GROUP BY 1")
 def x18(t: Tables):
-    """Lines that were set with ligatures, hard spaces, soft hyphens and accents of their own come back as they are written."""
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(ODD))
+    """Lines that were set with ligatures, hard spaces, soft hyphens and accents of their own come back as they are written; any that were there before too."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     set_ = F.col("line")
     for old, new in (("fi", "\ufb01"), (" ", "\u00a0"), ("\u00e9", "e\u0301"), ("\u00f1", "n\u0303"), ("\u00fc", "u\u0308")):
         set_ = F.replace(set_, F.lit(old), F.lit(new))
@@ -107,10 +144,18 @@ def x18(t: Tables):
     return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("digest"))
 
 
+def _cut_documents(t: Tables):
+    """Passages of all documents of 120 tokens at most, the header's among them; an item begins at every line with a figure."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n"), x.rlike(r"^\s*\d").alias("item")))
+    places = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("items")), lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.when(x["item"], F.concat(s["items"], F.array(s["at"]))).otherwise(s["items"]).alias("items")))
+    rows = t.documents.select("doc_id", "text", F.concat_ws(", ", "source", "lang").alias("header"), places["items"].alias("items"))
+    return G.cut(rows, "doc_id", "text", most=120, overlap=20, header="header", items="items", tokens=G.word_pieces)
+
+
 @query("X24_passages")
 def x24(t: Tables):
-    """Passages of all documents of 120 words at most, with an overlap."""
-    return S.cut(t.documents, "doc_id", "text", S.passages, most=120, overlap=20).select("doc_id", "place", "start", "end", F.md5("text").alias("digest"))
+    """Passages of all documents with their header, by a tokeniser of one's own."""
+    return _cut_documents(t).select("doc_id", "place", "start", "end", "header", F.md5("text").alias("digest"))
 
 
 SEEN = r"length(regexp_replace(text, '\s', '', 'g'))"
@@ -129,22 +174,28 @@ def _covered(passages, t: Tables, limit):
 
 @query("X24_coverage", f"SELECT doc_id, {SEEN} AS chars, true AS kept FROM documents".replace("AS chars", "AS chars"))
 def x24_coverage(t: Tables):
-    """Every character of a document is in a passage, and no passage is longer than 120 words."""
-    rows = S.cut(t.documents, "doc_id", "text", S.passages, most=120, overlap=20)
-    return _covered(rows, t, F.size(X.split_words(F.col("text"))) <= 120)
+    """Every character of a document is in a passage, and no passage has more than 120 tokens with its header, unless it is one word."""
+    pieces = F.transform(F.regexp_extract_all(F.concat_ws(" ", "header", "text"), F.lit(r"(?U)(\w+|[^\w\s])"), 1), lambda w: F.ceil(F.length(w) / 4))
+    size = F.aggregate(pieces, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return _covered(_cut_documents(t), t, (size <= 120) | ~F.col("text").rlike(r"(?U)\s"))
+
+
+def _paged(t: Tables):
+    """The documents with a page break for every blank line."""
+    text = F.regexp_replace(F.col("text"), "\n\\s*\n", "\f\n")
+    return t.documents.select("doc_id", text.alias("text"))
 
 
 @query("X25_bid_passages")
 def x25(t: Tables):
-    """Passages of all documents of 200 to 1200 characters."""
-    return S.cut(t.documents, "doc_id", "text", S.bid_passages).select("doc_id", "place", "start", "end", F.md5("text").alias("digest"))
+    """Passages of all documents of 200 to 1200 characters, page by page."""
+    return G.cut_bids(_paged(t), "doc_id", "text").select("doc_id", "place", "key", "start", "end", F.md5("text").alias("digest"))
 
 
 @query("X25_coverage", f"SELECT doc_id, {SEEN} AS chars, true AS kept FROM documents")
 def x25_coverage(t: Tables):
     """Every character of a document is in one of its passages, and none is longer than 1200 characters."""
-    rows = S.cut(t.documents, "doc_id", "text", S.bid_passages)
-    return _covered(rows, t, (F.length("text") <= S.MOST_CHARS) | ~F.col("text").rlike(r"\s"))
+    return _covered(G.cut_bids(_paged(t), "doc_id", "text"), t, (F.length("text") <= G.MOST_CHARS) & ~F.col("text").contains("\f"))
 
 
 TOKENS = f"regexp_extract_all({PLAIN}, '([a-z0-9_%]+)', 1)"

@@ -9,6 +9,7 @@ from ..operators import lines as N
 from ..operators import matching as M
 from ..operators import selection as L
 from ..operators import spans as P
+from ..operators import statements as T
 from .registry import Tables, query
 
 FOLD = f"translate({{}}, '{X.ACCENTED}', '{X.PLAIN}')"
@@ -52,6 +53,15 @@ def x17(t: Tables):
     return out.groupBy("doc_id", "kept").agg(F.count("*").alias("n"))
 
 
+@query("X17_similar")
+def x17_similar(t: Tables):
+    """Sentences of a document that say the same in other words (four fifths of the words in matching runs, or one contained in the other) go to the first of them."""
+    pieces = F.posexplode(F.split("text", r"[.\n]")).alias("place", "text")
+    rows = t.documents.select("doc_id", pieces).where(F.trim("text") != "")
+    out = T.unified_like(rows, "doc_id", "place", X.compared(F.col("text")), F.length("text") > 400, share=0.8, containment=True)
+    return out.groupBy("doc_id", "kept").agg(F.count("*").alias("n"))
+
+
 @query("X34_stems", rf"SELECT doc_id, array_to_string(list_sort(list_distinct([left(w, 5) FOR w IN regexp_extract_all({PLAIN}, '([a-z]+)', 1) IF length(w) >= 6])), ' ') AS stems FROM documents")
 def x34(t: Tables):
     return t.documents.select("doc_id", F.array_join(X.stems(F.col("text")), " ").alias("stems"))

@@ -83,85 +83,3 @@ def numbered(df: DataFrame, by: list[str], name: str, order: list[str]) -> DataF
 
     turn = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))
     return df.withColumn("key", F.when(turn == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), turn.cast("string"))))
-
-
-class _Cells(HTMLParser):
-    """Rows of the tables with a wanted id, and texts of elements that have an id."""
-
-    def __init__(self, table: str):
-        super().__init__(convert_charrefs=True)
-        self.wanted = re.compile(table)
-        self.rows: list[tuple[int, list[str]]] = []
-        self.spans: list[tuple[str, str]] = []
-        self.depth, self.table, self.row, self.cell = 0, 0, None, None
-        self.open: list[tuple[str, str, list[str]]] = []
-
-    def handle_starttag(self, tag, attrs):
-        own = dict(attrs).get("id") or ""
-        if tag == "table":
-            self.depth += 1
-            if not self.table and self.wanted.search(own):
-                self.table = self.depth
-        elif self.table == self.depth and self.table:
-            if tag == "tr":
-                self.row, self.cell = [], None
-            elif tag in ("td", "th") and self.row is not None:
-                self.cell = []
-                self.row.append(self.cell)
-        if tag == "span" and own:
-            self.open.append((tag, own, []))
-
-    def handle_endtag(self, tag):
-        if tag == "tr" and self.table == self.depth and self.row is not None:
-            self.rows.append((len(self.rows), ["".join(c) for c in self.row]))
-            self.row = self.cell = None
-        elif tag == "td" and self.table == self.depth:
-            self.cell = None
-        elif tag == "table":
-            if self.table == self.depth:
-                self.table = 0
-            self.depth = max(0, self.depth - 1)
-        elif tag == "span" and self.open:
-            _, own, parts = self.open.pop()
-            self.spans.append((own, "".join(parts)))
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-        for _, _, parts in self.open:
-            parts.append(data)
-
-
-def _parsed(pages: DataFrame, id_col: str, html: str, schema: str, fn) -> DataFrame:
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(page, *r) for page, content in zip(batch[id_col], batch[html], strict=True) for r in fn(content or "")]
-            yield pd.DataFrame(rows, columns=[id_col, *(c.split()[0] for c in schema.split(", "))])
-
-    return pages.select(id_col, html).mapInPandas(run, f"{id_col} {kind}, {schema}")
-
-
-def table_rows(pages: DataFrame, id_col: str, html: str, table: str) -> DataFrame:
-    """The rows of each page's tables whose id matches: id, row (from 0), cells."""
-
-    def fn(content: str):
-        parser = _Cells(table)
-        parser.feed(content)
-        parser.close()
-        return parser.rows
-
-    return _parsed(pages, id_col, html, "row int, cells array<string>", fn)
-
-
-def labelled_texts(pages: DataFrame, id_col: str, html: str) -> DataFrame:
-    """The text of each span that has an id: id, label, text."""
-
-    def fn(content: str):
-        parser = _Cells("(?!)")
-        parser.feed(content)
-        parser.close()
-        return parser.spans
-
-    return _parsed(pages, id_col, html, "label string, text string", fn)

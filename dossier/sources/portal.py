@@ -10,14 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import values as V
-from .html import labelled_texts, table_rows
-
-# Ids of the portal's elements.
-OFFERS_TABLE = "gvOfertas$"
-LINE = r"^(.*rptLineas_ctl\d+_)"
-LINE_OFFER = r"^(.*rptLineas_ctl\d+_)(rptLineasOfertas_ctl\d+_)"
-NAME = r"^(.*?)\s*\(([\d-]+)\)\s*$"
+
 DAMAGED = "[\u00bf\ufffd\u00e8](?=[a-záéíóúñ])|[a-záéíóúñ][\u00bf\ufffd]"
 
 
@@ -56,76 +49,6 @@ def decoded(content: Column) -> Column:
     return F.when(marked, F.decode(F.substring(content, F.lit(4), F.octet_length(content)), "UTF-8")).when(declared.isin("iso-8859-1", "latin-1", "windows-1252"), latin).when(valid, utf8).otherwise(latin)
 
 
-def tax_id(text: Column) -> Column:
-    """The eleven digits of a tax id, null if they aren't eleven."""
-    digits = F.regexp_replace(text, r"\D", "")
-    return F.when(F.length(digits) == 11, digits)
-
-
-def opening_record(pages: DataFrame, id_col: str, html: str) -> tuple[DataFrame, DataFrame]:
-    """The offers of opening records, and what is wrong with them.
-
-    offers: id, tax_id, bidder, confirmed_on, currency, total, guarantees (distinct, in order), place. Rows of one tax id are one
-    offer, its first row tells the rest; rows of fewer than nine cells are no offers. issues: id, tax_id, issue.
-    """
-    rows = table_rows(pages, id_col, html, OFFERS_TABLE).where(F.size("cells") >= 9)
-    cell = lambda i: portal_text(F.col("cells")[i])
-    rows = rows.select(
-        id_col, "row", cell(0).alias("bidder"), tax_id(cell(1)).alias("tax_id"), V.day_first(F.regexp_extract(cell(2), r"(\d{1,2}/\d{1,2}/\d{4})", 1)).alias("confirmed_on"),
-        cell(3).alias("currency"), V.amount(cell(4)).alias("total"), F.struct(cell(6).alias("kind"), cell(7).alias("form"), V.amount(cell(8)).alias("amount")).alias("guarantee"),
-    )
-    named = rows.where(F.col("tax_id").isNotNull())
-    first = lambda k: F.min_by(k, "row").alias(k)
-    given = (F.col("guarantee.kind") != "") | (F.col("guarantee.form") != "") | F.col("guarantee.amount").isNotNull()
-    held = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(given, F.struct("row", "guarantee")))), lambda x: x["guarantee"]))
-    offers = named.groupBy(id_col, "tax_id").agg(
-        first("bidder"), first("confirmed_on"), first("currency"), first("total"), held.alias("guarantees"), F.min("row").alias("place"),
-        F.count_distinct("total").alias("totals"), F.count_distinct(F.lower("bidder")).alias("names"),
-    )
-    wrong = F.array_compact(F.array(
-        F.when(F.col("names") > 1, "several names"), F.when(F.col("totals") > 1, "several totals"),
-        F.when(F.col("total").isNull(), "no total"), F.when(F.col("confirmed_on").isNull(), "no date"),
-    ))
-    issues = offers.select(id_col, "tax_id", F.explode(wrong).alias("issue"))
-    nameless = rows.where(F.col("tax_id").isNull()).select(id_col, F.lit(None).cast("string").alias("tax_id"), F.lit("no tax id").alias("issue"))
-    return offers.drop("totals", "names"), issues.unionByName(nameless)
-
-
-def comparative_table(pages: DataFrame, id_col: str, html: str) -> DataFrame:
-    """The quotes of comparative tables: id, line, alternative, tax_id, price, quantity, total.
-
-    A quote without tax id, price or quantity is left out; of a line, alternative and bidder that stand twice the first counts.
-    """
-    spans = labelled_texts(pages, id_col, html).withColumn("text", portal_text("text"))
-    part = lambda pattern, i: F.regexp_extract("label", pattern, i)
-    lines = spans.withColumn("line_key", part(LINE + "lbl(?:Renglon|Opcion)$", 1)).where("line_key <> ''").groupBy(id_col, "line_key")
-    value = lambda suffix: F.min(F.when(F.col("label").endswith(suffix), F.col("text")))
-    lines = lines.agg(value("lblRenglon").try_cast("int").alias("line"), F.coalesce(value("lblOpcion").try_cast("int"), F.lit(1)).alias("alternative")).where("line IS NOT NULL")
-    quotes = spans.withColumns({"line_key": part(LINE_OFFER, 1), "quote_key": F.concat(part(LINE_OFFER, 1), part(LINE_OFFER, 2))}).where("quote_key <> ''")
-    quotes = quotes.groupBy(id_col, "line_key", "quote_key").agg(
-        tax_id(F.regexp_extract(value("lblNombre"), NAME, 2)).alias("tax_id"), V.amount(value("txtPrecioUnitario")).alias("price"),
-        V.amount(value("lblCantidadOfertada")).alias("quantity"), V.amount(value("txtTotalPorRenglon")).alias("total"),
-    )
-    whole = quotes.where("tax_id IS NOT NULL AND price IS NOT NULL AND quantity IS NOT NULL").join(lines, [id_col, "line_key"])
-    keys = [id_col, "line", "alternative", "tax_id"]
-    first = F.min_by(F.struct("price", "quantity", "total"), F.struct(F.length("quote_key"), "quote_key")).alias("q")
-    return whole.groupBy(*keys).agg(first).select(*keys, "q.price", "q.quantity", "q.total")
-
-
-def process_page(pages: DataFrame, id_col: str, html: str, fields: dict[str, str]) -> DataFrame:
-    """Named values of process pages: id, values (a map from the fields' names), missing and damaged (names, in order).
-
-    fields: from the end of an element's id to the name of its value.
-    """
-    spans = labelled_texts(pages, id_col, html).withColumn("text", portal_text("text"))
-    own = [F.min(F.when(F.col("label").endswith(suffix) & (F.col("text") != ""), F.col("text"))).alias(name) for suffix, name in fields.items()]
-    rows = pages.select(id_col).join(spans.groupBy(id_col).agg(*own), id_col, "left")
-    names = list(fields.values())
-    entries = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda _, v: v.isNotNull())
-    listed = lambda test: F.array_compact(F.array(*[F.when(test(F.col(n)), F.lit(n)) for n in names]))
-    return rows.select(id_col, entries.alias("values"), listed(lambda c: c.isNull()).alias("missing"), listed(damaged).alias("damaged"))
-
-
 def page_kind(chars: Column, unusable: Column, image_cover: Column, ink: Column, annotations: Column, cover: float = 0.9, share: float = 0.1) -> Column:
     """scanned, unusable text, text, fields only or blank, from what was seen of a page."""
     return (

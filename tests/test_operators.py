@@ -152,7 +152,9 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     out = retrieval.cosine_distances(rows, rows.where("id IN (0, 6, 32)"), "id", "v", 4).orderBy("query_id", "place").collect()
     assert [(r["query_id"], r["id"]) for r in out] == [(0, 0), (0, 5), (0, 10), (0, 15), (6, 1), (6, 6), (6, 11), (6, 16), (32, 32)]
     few = rows.where("id < 3")
-    assert retrieval.cosine_distances(few, few.where("id = 1"), "id", "v", None).count() == 3
+    assert [(r["kept"], round(r["best"], 6)) for r in retrieval.passing(few, few.where("id = 1"), "id", "v", 0.8).collect()] == [(1, 0.948683)]
+    tops = retrieval.best_of_groups(rows.withColumn("g", F.col("id") % 2), rows.where("id = 6"), "id", "v", ["g"]).collect()
+    assert {(r["g"], r["score"]) for r in tops} == {(0, 1.0), (1, 1.0)}
     assert retrieval.cosine_distances(rows.limit(0), few, "id", "v", 4).count() == 0
 
 

