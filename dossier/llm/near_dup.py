@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shingles import shingle_sets
-from .storage import drop_shuffles, forget, saved, short_batches
+from .storage import bucketed, forget, saved, short_batches
 
 SKETCH = 160
 #: Cells of the table of how often sketch values occur, at least and at most, and the values that fall in one on average, about.
@@ -182,20 +182,20 @@ def _named(pairs: DataFrame, name: str) -> DataFrame:
     return saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, as a table: by size and union sketch first, then on the full sets.
 
-    Only sketches and texts of documents that a pair names are shuffled.
+    sets: the digest and size of each node's set. Sketches stay where they are, bucketed by digest, for one side of a pair; those of b, of which
+    there may be few, are carried to those of a. Only texts of documents that a pair names are shuffled.
     """
     pairs = saved(pairs, "pairs")
-    named = _named(pairs, "pair-ids")
-    own = sketches.join(named, "id", "left_semi")
-    side = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    own = lambda c: sets.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n{c}"))
+    sized = pairs.join(own("b"), "b").join(own("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    sketch = lambda c: nodes.select(F.col("sig").alias(f"sig_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     # pairs grow with the corpus: they are not broadcast, so small tables run the plan of large ones
-    near = pairs.hint("merge").join(side("a"), "a").join(side("b").hint("merge"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    near = sized.hint("merge").join(sketch("b"), "sig_b").hint("merge").join(sketch("a"), "sig_a")
     near = saved(near.mapInPandas(_passing(percent), "a bigint, b bigint").distinct(), "near-pairs")
     forget(pairs)
-    forget(named)
     named = _named(near, "near-ids")
     whole = texts.where(F.col("text").isNotNull()).join(named, "id", "left_semi")
     text = lambda c: whole.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
@@ -217,27 +217,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     full = saved(texts.mapInPandas(_sketches(words), "id bigint, n bigint, sig binary, sketch array<bigint>"), "sketches")
+    # one shuffle of sketches in all: copies meet after a part of them has on each task, and each set stays in its bucket
+    sets_of = full.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = bucketed(sets_of, "nodes", "sig")
     # a table of its own, and never broadcast, as it grows with the corpus: the join's sides are both shuffled for it, and Spark can
     # split a hot set of copies
-    reps = saved(full.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("id").alias("rep")), "reps")
-    members = saved(full.select("id", "n", "sig").join(reps.hint("merge"), "sig", "left").select("id", "n", "rep"), "members")
-    nodes = full.join(reps.hint("merge"), "sig").where("id = rep").dropDuplicates(["sig"]).select("id", "n", "sketch")
+    sets = saved(nodes.select("sig", F.col("id").alias("rep"), "n"), "sets")
+    members = saved(full.select("id", "n", "sig").join(sets.select("sig", "rep").hint("merge"), "sig", "left").select("id", "n", "rep"), "members")
+    forget(full)
 
-    cells = counted_cells(full.where(F.col("sig").isNotNull()).select(F.explode("sketch").alias("v")))
+    cells = counted_cells(nodes.select(F.explode("sketch").alias("v")))
     listed = nodes.mapInPandas(_listed(cells, percent), "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("v"))
     listed = saved(listed, "listed")
-    forget(reps)
-    drop_shuffles(spark)
     # a table of its own, as with reps: a value that very many nodes are listed under can be split; it grows with the corpus, so it
     # is never broadcast
     lists = saved(listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where(F.col("size") > 1), "lists")
-    drop_shuffles(spark)
     shared = saved(listed.join(lists.hint("merge"), "v"), "shared")
     forget(listed)
     forget(lists)
 
     stars = shared.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _verified(stars, full, texts, words, percent)
+    links = _verified(stars, nodes, sets, texts, words, percent)
     first = components(links, "star-components")
 
     # what is left: lists whose members are in several components
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     short = short.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     met = (F.col("x.component") != F.col("y.component")) & (F.col("x.id") != F.col("x.pivot")) & (F.col("y.id") != F.col("y.pivot"))
     pairs = short.where(met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _verified(pairs, full, texts, words, percent)
+    more = _verified(pairs, nodes, sets, texts, words, percent)
 
     long = left.where(F.col("size") > SHORT_LIST)
     clusters = components(long.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "clusters")
@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     own = members.where(F.col("id") != F.col("node")).join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
 
     edges = links.unionByName(more).unionByName(blocks).unionByName(own)
-    forget(full)
+    forget(nodes)
+    forget(sets)
     final = components(edges, "components").withColumnRenamed("id", "node")
     for table in (links, more, left, parts):
         forget(table)

@@ -38,8 +38,20 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes df to the shared folder as a table bucketed by a key, as many buckets as a shuffle has partitions: joins by it leave df where it is.
+
+    Best for what has just been grouped by the key: each task then has one bucket's rows.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`saved` that no later plan reads, and the shuffle files of finished jobs."""
+    """Deletes the files of a table made by :func:`saved` or :func:`bucketed` that no later plan reads."""
     spark = df.sparkSession
     root = shared_dir(spark).rstrip("/")
     jvm = spark.sparkContext._jvm
@@ -48,12 +60,7 @@ def forget(df: DataFrame) -> None:
         if root.split(":", 1)[-1].strip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-    drop_shuffles(spark)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs: it does so once the driver's garbage collector has run."""
-    spark.sparkContext._jvm.System.gc()
+            spark.sql(f"DROP TABLE IF EXISTS `{folder.rsplit('/', 1)[1].replace('-', '_')}`")
 
 
 def short_batches(spark: SparkSession) -> None:
