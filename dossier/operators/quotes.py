@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -128,3 +129,85 @@ def reanchored(pairs: DataFrame, by: str, old: str, new: str, start: str, end: s
 
     kind = pairs.schema[by].dataType.simpleString()
     return pairs.select(by, old, new, start, end).mapInPandas(fn, f"{by} {kind}, {start} int, {end} int, share double")
+
+
+class _Best:
+    """The best chain so far up to a place: prefix maxima in a tree of ranges."""
+
+    def __init__(self, places: int) -> None:
+        self.best: list[tuple[tuple, int]] = [((0, 0), -1)] * (places + 1)
+
+    def upto(self, place: int) -> tuple[tuple, int]:
+        out = ((0, 0), -1)
+        while place:
+            out = max(out, self.best[place], key=lambda x: x[0])
+            place &= place - 1
+        return out
+
+    def put(self, place: int, value: tuple[tuple, int]) -> None:
+        while place < len(self.best):
+            if value[0] > self.best[place][0]:
+                self.best[place] = value
+            place += place & -place
+
+
+def chosen_places(candidates: list[list[tuple[int, int, int]]]) -> list[tuple[int, int] | None]:
+    """For anchors in the order of the old text, each with its candidate places in the new one (start, end, evidence): a place for each, in the
+    same order and without overlap, so that as many as possible have one, and of such choices one with the most evidence."""
+    ends = sorted({e for own in candidates for _, e, _ in own})
+    rank = {e: i + 1 for i, e in enumerate(ends)}
+    tree, chain = _Best(len(ends)), []
+    for i, own in enumerate(candidates):
+        new = []
+        for start, end, evidence in own:  # all of one anchor are looked up before any is put
+            (n, total), before = tree.upto(bisect_right(ends, start))
+            new.append(((n + 1, total + evidence), (i, start, end, before)))
+        for value, link in new:
+            chain.append(link)
+            tree.put(rank[link[2]], (value, len(chain) - 1))
+    out: list[tuple[int, int] | None] = [None] * len(candidates)
+    at = tree.upto(len(ends))[1]
+    while at >= 0:
+        i, start, end, at = chain[at]
+        out[i] = (start, end)
+    return out
+
+
+def reanchored_together(anchors: DataFrame, readings: DataFrame, by: str, old: str, new: str) -> DataFrame:
+    """Where the anchors of a document stand in its new reading, all together: by, anchor, start, end (characters), places (how many there are).
+
+    anchors: by, anchor (an id), start, end (of the old text). readings: one row for each document. An anchor's words are looked for as a run, with
+    capitals, white space and marks left out of account. Of an anchor that stands several times, the place is chosen with those of
+    all the others: places keep the order of the old text and don't overlap, as many anchors as can be are placed, and then as many words as
+    can be stand where the alignment of both texts has them. Null places where there is none. A task holds one document.
+    """
+    import re
+
+    word = re.compile(r"\w+")
+    kinds = {c: anchors.schema[c].dataType.simpleString() for c in (by, "anchor")}
+
+    def fn(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        a, b = (texts[c].iloc[0] or "" if len(texts) else "" for c in ("old", "new"))
+        first, second = list(word.finditer(a)), list(word.finditer(b))
+        x, y = [w.group().casefold() for w in first], [w.group().casefold() for w in second]
+        to = {i + k: j + k for i, j, size in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(size)}
+        begins: dict[str, list[int]] = {}
+        for j, w in enumerate(y):
+            begins.setdefault(w, []).append(j)
+        own = own.sort_values(["start", "end", "anchor"])
+        found = []
+        for s, e in zip(own["start"], own["end"], strict=True):
+            inside = [i for i, w in enumerate(first) if s <= w.start() < e]
+            run = [x[i] for i in inside]
+            starts = [j for j in begins.get(run[0], ()) if y[j : j + len(run)] == run] if run else []
+            found.append([(j, j + len(run), sum(to.get(i) == j + k for k, i in enumerate(inside))) for j in starts])
+        rows = [
+            (key, anchor, *((second[p[0]].start(), second[p[1] - 1].end()) if p else (None, None)), len(f))
+            for key, anchor, p, f in zip(own["by"], own["anchor"], chosen_places(found), found, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["by", "anchor", "start", "end", "places"]).astype({"start": "Int32", "end": "Int32"})
+
+    left = anchors.select(F.col(by).alias("by"), "anchor", "start", "end").groupBy("by")
+    right = readings.select(F.col(by).alias("by"), F.col(old).alias("old"), F.col(new).alias("new")).groupBy("by")
+    out = left.cogroup(right).applyInPandas(fn, f"by {kinds[by]}, anchor {kinds['anchor']}, start int, end int, places int")
+    return out.withColumnRenamed("by", by)

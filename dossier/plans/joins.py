@@ -8,6 +8,7 @@ from ..operators import matching as X
 from ..operators import validity as D
 from ..sources import files as S
 from ..streaming import changes as Z
+from ..streaming import windows as W
 from .registry import Tables, query
 from .temporal import AT, UNITS_SQL, _relations, _units
 
@@ -178,7 +179,8 @@ def _streamed(t: Tables, columns: list, transform) -> DataFrame:
     """The rows that a stream gives of the events, which land in two lots; the second run goes on from the first one's state."""
     path = S.scratch(t.spark, "stream")
     rows = t.events.select(*columns)
-    middle = t.events.agg(F.median("event_id")).first()[0] or 0
+    low, high = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    middle = ((low or 0) + (high or 0)) // 2
     for keep in (F.col("event_id") <= middle, F.col("event_id") > middle):
         S.append(rows.where(keep), f"{path}/landing")
         stream = transform(t.spark.readStream.schema(rows.schema).parquet(f"{path}/landing"))
@@ -204,6 +206,38 @@ def z5(t: Tables):
     return _streamed(t, ["event_id", "event_type", "props"], lambda d: d.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")))
 
 
+#: When an event happened: some minutes before it was told, so that events come out of order.
+HAPPENED = "ts - CAST(floor(value * 20) AS INTEGER) * INTERVAL 1 MINUTE"
+LOTS = f"e AS (SELECT user_id, event_type, CAST(floor(epoch({HAPPENED})) AS BIGINT) AS s, {HAPPENED} AS happened, event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events) AS first FROM events)"
+
+
+def _happened():
+    return (F.col("ts") - F.make_dt_interval(mins=F.floor(F.col("value") * 20).cast("int"))).alias("happened")
+
+
+@query(
+    "Z4_windows",
+    f"""WITH {LOTS}, m AS (SELECT max(happened) - INTERVAL 3 DAY AS mark FROM e) SELECT event_type, time_bucket(INTERVAL 6 HOUR, happened) AS start, count(*) AS n FROM e, m GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOUR, happened) + INTERVAL 6 HOUR <= any_value(mark)""",
+)
+def z4_windows(t: Tables):
+    """Events of a stream in windows of six hours by when they happened; a window is told once the watermark has passed its end."""
+    def counted(d):
+        out = Z.window_counts(d.withColumn("happened", F.col("happened").cast("timestamp")), "happened", "6 hours", "3 days", ["event_type"])
+        return out.select("event_type", F.col("window.start").alias("start"), "n")
+
+    return _streamed(t, ["event_id", "event_type", _happened()], counted).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(
+    "Z4_keyed_windows",
+    f"""WITH {LOTS}, c AS (SELECT user_id, max(s) FILTER (first) AS one, max(s) AS two FROM e GROUP BY 1), r AS (SELECT user_id, s, CAST(s // 7200 * 7200 AS BIGINT) AS start, first, one, two, NOT first AND one IS NOT NULL AND s < one - 3600 AS late FROM e JOIN c USING (user_id))
+SELECT user_id, 'window' AS kind, start, count(*) AS n FROM r WHERE NOT late GROUP BY user_id, start HAVING start + 7200 <= any_value(two) - 3600 UNION ALL SELECT user_id, 'late', NULL, count(*) FROM r WHERE late GROUP BY 1""",
+)
+def z4_keyed(t: Tables):
+    """Each user's events in windows of two hours by a clock of their own, an hour of delay, and how many came too late for that."""
+    return _streamed(t, ["event_id", "user_id", _happened()], lambda d: W.keyed_windows(d, ["user_id"], "happened", 7200, 3600))
+
+
 @query("Z7_latest_progress", "SELECT user_id, CASE WHEN arg_max(event_type, event_id) = 'purchase' THEN 100 ELSE least(99, CAST(round(CAST(json_extract(arg_max(props, event_id), '$.k') AS INTEGER) * 100 / 100) AS INTEGER)) END AS percent FROM events GROUP BY 1")
 def z7(t: Tables):
     """How far each job is by its latest report: never 100 before its end."""

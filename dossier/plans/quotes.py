@@ -167,3 +167,21 @@ def g29(t: Tables):
     rows = t.benchmark.select("item_id", F.col("text").alias("old"), new.alias("new"), F.lit(20).alias("start"), F.lit(60).alias("end"))
     out = Q.reanchored(rows, "item_id", "old", "new", "start", "end")
     return out.select("item_id", "start", "end", F.round("share", 6).alias("share"))
+
+
+#: Two readings of a text that says its passage three times: the new one has words before and between, and lost the third one's first word.
+OLD_READING, NEW_READING = "concat(p, ' uno ', p, ' dos ', p)", "concat('nuevo comienzo ', p, ' uno y medio ', p, ' dos ', substring(p, position(' ' IN p) + 1))"
+
+
+@query(
+    "G29_repeated_anchors",
+    r"""WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM benchmark), k AS (SELECT item_id, length(regexp_extract(p, '^[^\p{L}\p{N}_]*')) AS lead, length(regexp_extract(p, '[^\p{L}\p{N}_]*$')) AS trail, length(p) AS n FROM b)
+SELECT item_id, a AS anchor, CASE a WHEN 1 THEN 15 + lead WHEN 2 THEN 15 + n + 13 + lead END AS start, CASE a WHEN 1 THEN 15 + n - trail WHEN 2 THEN 15 + n + 13 + n - trail END AS "end", 2 AS places FROM k, (VALUES (1), (2), (3)) v(a)""",
+)
+def g29_repeated(t: Tables):
+    """Passages that stand several times in a document, found again in another reading, each in its own place; the one that lost a word is in none."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = t.benchmark.select("item_id", flat.alias("p")).selectExpr("item_id", f"{OLD_READING} AS old", f"{NEW_READING} AS new", "length(p) AS n")
+    spans = rows.selectExpr("item_id", "explode(array(named_struct('anchor', 1, 'start', 0), named_struct('anchor', 2, 'start', n + 5), named_struct('anchor', 3, 'start', 2 * n + 10))) AS a", "n")
+    spans = spans.selectExpr("item_id", "a.anchor", "a.start", "a.start + n AS end")
+    return Q.reanchored_together(spans, rows, "item_id", "old", "new")

@@ -187,3 +187,19 @@ def test_stream_of_changes(spark, tmp_path):
         run = changes.append_log(changes.changed_content(stream, ["k"], "digest", "seq"), str(out), str(tmp_path / "check")).trigger(availableNow=True).start()
         run.awaitTermination(120)
     assert {(r["k"], r["seq"]) for r in spark.read.parquet(str(out)).collect()} == {("a", 1), ("b", 1), ("a", 3), ("a", 4)}
+
+
+def test_keyed_windows_keep_late_rows_out_and_state_small(spark, tmp_path):
+    from dossier.streaming import windows
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, at timestamp"
+    at = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)  # noqa: E731, UP017
+    lots = [[("a", at(5)), ("a", at(25)), ("b", at(3)), ("a", None)], [("a", at(8)), ("a", at(21)), ("a", at(60)), ("b", at(4))], [("a", at(40)), ("b", at(200))]]
+    for lot in lots:
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = windows.keyed_windows(spark.readStream.schema(schema).parquet(source), ["k"], "at", 10, 10)
+        changes.append_log(stream, out, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    found = sorted((r["k"], r["kind"], r["start"], r["n"]) for r in spark.read.parquet(out).collect())
+    # a: 5 is over by 25 - 10; 8 comes too late for it, 21 doesn't; 60 ends the window of 20; 40 is late. b: two rows of one window, ended by 200
+    assert found == [("a", "late", None, 1), ("a", "late", None, 1), ("a", "window", 0, 1), ("a", "window", 20, 2), ("b", "window", 0, 2)]

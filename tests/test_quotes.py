@@ -69,3 +69,36 @@ def test_reanchored(spark):
     out = {r["id"]: r for r in Q.reanchored(spark.createDataFrame(rows, "id int, o string, n string, s int, e int"), "id", "o", "n", "s", "e").collect()}
     assert rows[0][2][out[1]["s"] : out[1]["e"]] == "dos  TRES" and out[1]["share"] == 1.0
     assert out[2]["s"] is None and out[2]["share"] == 0.0 and out[3]["share"] == 0.0
+
+
+def test_chosen_places_equal_all_choices():
+    import itertools
+    import random
+
+    from dossier.operators.quotes import chosen_places
+
+    rng = random.Random(4)
+    for _ in range(300):
+        candidates = [[(s, s + rng.randint(1, 4), rng.randint(0, 3)) for s in rng.sample(range(14), rng.randint(0, 3))] for _ in range(rng.randint(0, 6))]
+        best = (0, 0)
+        for choice in itertools.product(*[[None, *own] for own in candidates]):
+            taken = [c for c in choice if c]
+            if all(a[1] <= b[0] for a, b in itertools.pairwise(taken)):
+                best = max(best, (len(taken), sum(c[2] for c in taken)))
+        found = chosen_places(candidates)
+        taken = [next(c for c in own if c[:2] == f) for own, f in zip(candidates, found, strict=True) if f]
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(taken))
+        # candidates of one anchor may share a place with other evidence
+        assert (len(taken), sum(max(c[2] for c in own if c[:2] == f) for own, f in zip(candidates, found, strict=True) if f)) == best
+
+
+def test_repeated_anchors_keep_their_order(spark):
+    old, new = "Pago a treinta días. Plazo uno. Pago a treinta días. Fin.", "Plazo uno; PAGO a  treinta días, fin y pago a treinta días"
+    anchors = [(1, 7, 0, 19), (1, 8, 32, 51), (1, 9, 21, 30), (2, 1, 0, 4)]
+    out = Q.reanchored_together(
+        spark.createDataFrame(anchors, "doc int, anchor int, start int, end int"), spark.createDataFrame([(1, old, new), (3, "x", "x")], "doc int, old string, new string"), "doc", "old", "new"
+    )
+    rows = {(r["doc"], r["anchor"]): (r["start"], r["end"], r["places"]) for r in out.collect()}
+    # the first and the third anchor can't both be placed in order with the second one in front of both: two of three can
+    assert sum(rows[1, a][0] is not None for a in (7, 8, 9)) == 2 and rows[2, 1] == (None, None, 0)
+    assert rows[1, 9][2] == 1 and rows[1, 7][2] == rows[1, 8][2] == 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import values as V
 from dossier.operators import names, rules, selection
-from dossier.sources import files, html, portal
+from dossier.sources import files, html, json_values, page_tables
 
 ACTA = """<table id="otra"><tr><td>x</td></tr></table><table id="ctl00_gvOfertas"><tr><th>Oferente</th></tr>
 <tr><td>ACME &amp; C&iacute;a <b>S.A.</b></td><td>30-12345678-9</td><td>Confirmada 5/3/2024</td><td>Pesos</td><td>$ 1.234,50</td><td></td><td>Mant.</td><td>Póliza</td><td>100,00</td></tr>
@@ -18,13 +18,57 @@ ACTA = """<table id="otra"><tr><td>x</td></tr></table><table id="ctl00_gvOfertas
 
 def test_opening_record(spark):
     pages = spark.createDataFrame([(1, ACTA), (2, None), (3, "<p>nada")], "id int, html string")
-    offers, issues = portal.opening_record(pages, "id", "html")
-    out = {r["tax_id"]: r for r in offers.collect()}
+    rows = page_tables.read_pages(pages, "id", "html", "opening").collect()
+    out = {r["tax_id"]: r for r in rows if r["issue"] is None}
     assert set(out) == {"30123456789", "20111111111"}
     acme = out["30123456789"]
     assert (acme["bidder"], acme["total"], str(acme["confirmed_on"]), len(acme["guarantees"])) == ("ACME & Cía S.A.", Decimal("1234.50"), "2024-03-05", 1)
     assert out["20111111111"]["guarantees"] == [] and out["20111111111"]["total"] is None
-    assert sorted((r["tax_id"] or "", r["issue"]) for r in issues.collect()) == [("", "no tax id"), ("20111111111", "no date"), ("20111111111", "no total"), ("30123456789", "several names"), ("30123456789", "several totals")]
+    issues = sorted((r["id"], r["tax_id"] or "", r["issue"]) for r in rows if r["issue"])
+    own = [("", "no tax id"), ("20111111111", "no date"), ("20111111111", "no total"), ("30123456789", "several names"), ("30123456789", "several totals")]
+    assert issues == [(1, *x) for x in own] + [(2, "", "no table of offers"), (3, "", "no table of offers")]
+
+
+CUADRO = """<span id="a_rptProveedores_ctl01_lblNombreProveedor">ACME S.A. - 30-12345678-9</span><span id="a_rptProveedores_ctl01_lblTotal">Total: $ 1.234,50</span>
+<span id="a_rptProveedores_ctl02_lblNombreProveedor">Sin nada</span><span id="a_rptLineas_ctl00_lblRenglon">1</span><span id="a_rptLineas_ctl01_lblRenglon">uno</span>
+<span id="a_rptLineas_ctl00_rptLineasOfertas_ctl00_lblNombre">ACME - 30123456789</span><span id="a_rptLineas_ctl00_rptLineasOfertas_ctl00_txtPrecioUnitario">$ 10,5</span><span id="a_rptLineas_ctl00_rptLineasOfertas_ctl00_lblCantidadOfertada">1.500</span>
+<span id="a_rptLineas_ctl00_rptLineasOfertas_ctl01_lblNombre">ACME - 30123456789</span><span id="a_rptLineas_ctl00_rptLineasOfertas_ctl01_txtPrecioUnitario">11</span><span id="a_rptLineas_ctl00_rptLineasOfertas_ctl01_lblCantidadOfertada">1</span>
+<span id="a_rptLineas_ctl00_rptLineasOfertas_ctl02_lblNombre">Beta</span>"""
+
+
+def test_comparative_table_in_sql(spark):
+    spark.udtf.register("page_rows", page_tables.page_rows)
+    spark.createDataFrame([(1, CUADRO)], "id int, html string").createOrReplaceTempView("cuadros")
+    rows = spark.sql("SELECT id, r.* FROM cuadros, LATERAL page_rows(html, 'comparative') AS r").collect()
+    said = [(r["part"], r["line"], r["tax_id"], r["price"], r["quantity"], r["issue"]) for r in rows]
+    assert said == [
+        ("bidder", None, "30123456789", None, None, None), ("issue", None, None, None, None, "a bidder has no tax id"), ("issue", None, None, None, None, "a line has no number"),
+        ("quote", 1, "30123456789", Decimal("10.50"), Decimal("1500.00"), None), ("issue", 1, "30123456789", None, None, "stands twice"), ("issue", 1, None, None, None, "no tax id"),
+    ]
+    assert rows[0]["total"] == Decimal("1234.50")
+    with pytest.raises(Exception, match="kind of page"):
+        spark.sql("SELECT * FROM page_rows('<p>', 'other')").collect()
+
+
+def test_process_page_without_sections():
+    rows = list(page_tables.process_page(page_tables.Page("<p>nada")))
+    assert [(r[0], r[2]) for r in rows] == [("issue", "header"), ("issue", "basic"), ("missing", "number"), ("missing", "name"), ("missing", "kind"), ("issue", "schedule"), ("issue", "guarantees"), ("issue", "lines")]
+    form, direct = page_tables.Element("a", {"href": "javascript:__doPostBack('t$1','x')"}), page_tables.Element("a", {"href": 'javascript:WebForm_DoPostBackWithOptions(new WebForm_PostBackOptions("t", "a", true, "", "/doc?id=1", false, true))'})
+    assert page_tables.link_of(form) == {"opens": "form", "target": "t$1", "argument": "x"} and page_tables.link_of(None) == {}
+    assert page_tables.link_of(direct) == {"opens": "url", "target": "t", "argument": "a", "url": "/doc?id=1"}
+
+
+@pytest.mark.parametrize(("text", "want"), [("$ 1.234,50", "1234.50"), ("178.376", "178376"), ("12.5", "12.5"), ("1.500,5 kg", "1500.5"), ("n/d", None), ("-3", "3"), ("1,2,3", None), ("12,", "12.")])
+def test_amount_of(text, want):
+    assert page_tables.amount_of(text) == (Decimal(want) if want else None)
+
+
+def test_json_strings_at_any_depth(spark):
+    texts = [r'{"a" :"x \"y\"", "b": [["\u00e9", 1, {"c\t" : ""}], null, true]}', '"alone"', "[]", "12", "no json", None, '{"a": 1, "a": 2}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    out = sorted(tuple(r) for r in json_values.json_strings(rows, "id", "t").collect())
+    assert out == [(0, 1, False, 'x "y"'), (0, 1, True, "a"), (0, 1, True, "b"), (0, 3, False, "é"), (0, 4, False, ""), (0, 4, True, "c\t"), (1, 0, False, "alone")]
+    assert json_values.json_strings(rows.where("id > 2"), "id", "t").count() == 0
 
 
 def test_page_lines_equal_a_plain_reading(spark):
