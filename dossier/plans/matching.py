@@ -58,16 +58,16 @@ def u1(t: Tables):
     return t.customer.select("c_custkey").join(opened, "c_custkey", "left").select("c_custkey", F.col("o").isNotNull().alias("is_open"))
 
 
-@query("U5_new_kinds", "WITH m AS (SELECT date_trunc('day', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) AS half FROM events) SELECT DISTINCT user_id, event_type FROM events, m WHERE ts >= half EXCEPT SELECT user_id, event_type FROM events, m WHERE ts < half")
+@query("U5_new_kinds", "WITH m AS (SELECT date_trunc('day', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) AS half FROM events) SELECT DISTINCT user_id, event_type, CAST(floor(value) AS BIGINT) AS band FROM events, m WHERE ts >= half EXCEPT SELECT user_id, event_type, CAST(floor(value) AS BIGINT) FROM events, m WHERE ts < half")
 def u5(t: Tables):
     """What a user did in the second half of the time that the events span and never in the first."""
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = t.events.agg(F.min(moment), F.max(moment)).first()
     day = 86_400_000_000
     half = ((first or 0) + (last or 0)) // 2 // day * day
-    kinds = lambda keep: t.events.where(keep).select("user_id", "event_type").distinct()
+    kinds = lambda keep: t.events.where(keep).select("user_id", "event_type", F.floor("value").alias("band")).distinct()
     late = moment >= half
-    return L.unanswered(kinds(late), kinds(~late), ["user_id", "event_type"])
+    return L.unanswered(kinds(late), kinds(~late), ["user_id", "event_type", "band"])
 
 
 @query(

@@ -122,8 +122,13 @@ def _eight(table: str, *ids: str) -> str:
 SELECT doc_id, count(*) AS windows FROM d WHERE g IN (SELECT g FROM p) GROUP BY 1""",
 )
 def u4(t: Tables):
-    windows = lambda d, *c: d.select(*c, F.explode(X.shingles(F.lower("text"), 8, 8)).alias("g")).distinct()
-    return windows(t.documents, "doc_id").join(windows(t.benchmark), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("windows"))
+    """How many windows of eight words of each document stand in a benchmark passage too.
+
+    The passages' windows are met by hash, and by text where that is equal; only windows that are found are grouped.
+    """
+    windows = lambda d, *c: d.select(*c, F.explode(X.shingles(F.lower("text"), 8, 8)).alias("g")).withColumn("h", F.xxhash64("g"))
+    found = windows(t.documents, "doc_id").join(windows(t.benchmark).distinct(), ["h", "g"], "left_semi")
+    return found.distinct().groupBy("doc_id").agg(F.count("*").alias("windows"))
 
 
 @query("X30_nth_anchor", "SELECT doc_id, CASE WHEN len(p) > 3 THEN length(array_to_string(p[1:3], '. ')) ELSE -1 END AS place FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)".replace("length(", "CAST(length(").replace("'. '))", "'. ')) AS INTEGER)"))
