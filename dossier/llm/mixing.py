@@ -83,7 +83,8 @@ def pivot(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tuple[np.n
 
 def _rounding(level: int, last: bool, seed: int):
     def fn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "digest", "size", "part"], kind="stable").reset_index(drop=True)
+        # the largest meet first, so that what is left at the end is small
+        group = group.sort_values(["size", "doc_id", "digest", "part"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         own = crc32(repr((seed, level, *(None if pd.isna(k) else k for k in key))).encode())
         draws = np.random.Generator(np.random.PCG64(own)).random(len(group))
         part, held = pivot(group["size"].to_numpy(), group["part"].to_numpy(), draws)
