@@ -1,12 +1,13 @@
 """A positional inverted index over texts: stored postings, web-style queries answered by joins, ranked search with bounds.
 
-The index has one row for each term and block of documents. A block holds a bounded number of documents, dealt by a hash of the id, so the
-list of a word that every document has is many rows in many tasks and no key grows with the corpus. Beside its postings (id, times,
-size of the document, positions) a row has the largest score that the term gives any document of the block.
+The index has one row for each term and block of documents. A block is a bounded number of documents that one task read together, so the
+rows are made where the texts are, without a shuffle, and the list of a word that every document has is many rows in many tasks: no key
+grows with the corpus. A row has the documents that hold the term, how often each does, their sizes and the term's positions in them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,33 +24,57 @@ BLOCK_DOCS = 64
 #: Fixed values of the BM25 formula.
 K1, B = 1.2, 0.75
 #: Times k, the postings that a query's rarest words have to have before its first bound is taken.
-FIRST = 4
+FIRST = 2
 #: Scores are rounded to six decimals: a bound has to be farther off than that.
 MARGIN = 2e-6
-ENTRY = "id bigint, size int, terms array<string>, at array<array<int>>"
+#: A block's documents and their sizes have a row with an empty term.
+POSTINGS = "term string, block bigint, id array<bigint>, times array<int>, size array<int>, at array<array<int>>"
 ASKED = "query_id bigint, alternative int, clause int, excluded boolean, terms int, offset int, term string"
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, str] = {}
+class _Stems:
+    """Stems of words, kept for a task's next texts."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, str] = {}
+
+    def places(self, words: list[str] | None) -> dict[str, list[int]]:
+        """The stems of a text with their positions from 1; common words only count as positions."""
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(words if words is not None else (), 1):
+            if w in STOP_WORDS:
+                continue
+            if w not in self.known:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                self.known[w] = stem(w)
+            out.setdefault(self.known[w], []).append(i)
+        return out
+
+
+def _blocks(most: int):
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stems = _Stems()
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                own, lists = batch.iloc[at : at + most], {"": ([], [], [], [])}
+                for i, words in zip(own["id"].tolist(), own["words"], strict=True):
+                    places = stems.places(words)
+                    size = sum(map(len, places.values()))
+                    for term, found in (("", []), *places.items()):
+                        row = lists.setdefault(term, ([], [], [], []))
+                        for column, value in zip(row, (i, len(found), size, found), strict=True):
+                            column.append(value)
+                block = uuid.uuid4().int >> 65
+                yield pd.DataFrame([(term, block, *row) for term, row in lists.items()], columns=["term", "block", "id", "times", "size", "at"])
+
+    return fn
+
+
+def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stems = _Stems()
     for batch in batches:
-        sizes, terms, at = [], [], []
-        for words in batch["words"]:
-            own: dict[str, list[int]] = {}
-            size = 0
-            for i, w in enumerate(words if words is not None else (), 1):
-                if w in STOP_WORDS:
-                    continue
-                if w not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[w] = stem(w)
-                own.setdefault(known[w], []).append(i)
-                size += 1
-            sizes.append(size)
-            terms.append(list(own))
-            at.append(list(own.values()))
-        yield pd.DataFrame({"id": batch["id"], "size": sizes, "terms": terms, "at": at})
+        yield pd.DataFrame({"query_id": batch["id"], "terms": [list(stems.places(words)) for words in batch["words"]]})
 
 
 def words_of(text: Column) -> Column:
@@ -59,13 +84,12 @@ def words_of(text: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """postings: term, block, top, list of (id, times, size, at); terms: term, df, top; docs and mean size of the documents with terms."""
+    """postings: term, block, and arrays of id, times, size and at; terms: term, df, top (the largest weight); docs, and the mean size of those with terms."""
 
     postings: DataFrame
     terms: DataFrame
     docs: int
     mean: float
-    blocks: int
 
 
 def weight(times: Column, size: Column, mean: float) -> Column:
@@ -77,29 +101,30 @@ def rarity(df: Column, docs: int) -> Column:
     return F.ln((F.lit(docs) - df + 0.5) / (df + 0.5) + 1)
 
 
-def text_index(docs: DataFrame, id_col: str, text: str) -> TextIndex:
-    """Builds and stores the index of all documents; rows without an id are left out, of repeated ids any is found.
+def postings_of(*ids: Column) -> Column:
+    """The postings of a row as structs; with ids, only those of the documents in that array."""
+    every = F.arrays_zip("id", "times", "size", "at")
+    return F.filter(every, lambda p: F.array_contains(ids[0], p["id"])) if ids else every
 
-    A document's postings are made in one task; the only shuffle deals them to terms and blocks.
-    """
+
+def largest(mean: float) -> Column:
+    """The largest weight of a row's postings."""
+    return F.array_max(F.zip_with("times", "size", lambda t, s: weight(t, s, mean)))
+
+
+def text_index(docs: DataFrame, id_col: str, text: str) -> TextIndex:
+    """Builds and stores the index of all documents; rows without an id are left out, of repeated ids any is found. Nothing is shuffled."""
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), words_of(F.col(text)).alias("words"))
-    path = scratch(spark, "entries")
-    rows.mapInPandas(_entries, ENTRY).write.parquet(path)
-    entries = spark.read.schema(ENTRY).parquet(path)
-    n, some, mean = entries.agg(F.count("*"), F.count_if(F.col("size") > 0), F.avg(F.when(F.col("size") > 0, F.col("size")))).first()
-    blocks, mean = max(1, -(-some // BLOCK_DOCS)), float(mean or 1)
-    spread = entries.select("id", "size", F.explode(F.arrays_zip("terms", "at")).alias("e"))
-    posting = F.struct("id", F.size("e.at").alias("times"), "size", F.col("e.at").alias("at"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    lists = spread.select(F.col("e.terms").alias("term"), block, posting.alias("p"), weight(F.size("e.at"), F.col("size"), mean).alias("w"))
-    lists = lists.groupBy("term", "block").agg(F.max("w").alias("top"), F.collect_list("p").alias("list"))
     path = scratch(spark, "postings")
-    lists.sortWithinPartitions("term", "block").write.parquet(path)
-    postings = spark.read.schema(lists.schema).parquet(path)
+    rows.mapInPandas(_blocks(BLOCK_DOCS), POSTINGS).write.parquet(path)
+    both = spark.read.schema(POSTINGS).parquet(path)
+    sizes = both.where("term = ''").select(F.explode("size").alias("size"))
+    n, mean = sizes.agg(F.count("*"), F.avg(F.when(F.col("size") > 0, F.col("size")))).first()
+    postings, mean = both.where("term <> ''"), float(mean or 1)
     path = scratch(spark, "terms")
-    postings.groupBy("term").agg(F.sum(F.size("list")).alias("df"), F.max("top").alias("top")).write.parquet(path)
-    return TextIndex(postings, spark.read.parquet(path), n, mean, blocks)
+    postings.groupBy("term").agg(F.sum(F.size("id")).alias("df"), F.max(largest(mean)).alias("top")).write.parquet(path)
+    return TextIndex(postings, spark.read.parquet(path), n, mean)
 
 
 # -- boolean and phrase queries -----------------------------------------------------------------------------------------------
@@ -135,12 +160,11 @@ def answers(index: TextIndex, asked: DataFrame) -> DataFrame:
     asked = spark.read.parquet(path)
     able = asked.where("NOT excluded").groupBy(*by).agg(F.countDistinct("clause").alias("wanted"), F.count_if(F.col("df").isNull()).alias("lacking"), F.min_by("term", F.struct("df", "term")).alias("first"))
     able = able.where("lacking = 0").drop("lacking")
-    block = F.pmod(F.xxhash64("id"), F.lit(index.blocks)).cast("int")
-    left = able.join(index.postings.select(F.col("term").alias("first"), "block", F.col("list.id").alias("ids")), "first").select(*by, "wanted", "block", "ids")
+    left = able.join(index.postings.select(F.col("term").alias("first"), "block", F.col("id").alias("ids")), "first").select(*by, "wanted", "block", "ids")
     # one row for an alternative and block: what its other lists are met with
     tests = left.join(asked.where("df IS NOT NULL"), by)
-    met = tests.join(index.postings.select("term", "block", "list"), ["term", "block"])
-    hits = met.select(*by, "wanted", "clause", "excluded", "terms", "offset", F.explode(F.filter("list", lambda p: F.array_contains("ids", p["id"]))).alias("p"))
+    met = tests.join(index.postings, ["term", "block"])
+    hits = met.select(*by, "wanted", "clause", "excluded", "terms", "offset", F.explode(postings_of(F.col("ids"))).alias("p"))
     starts = F.transform("p.at", lambda x: x - F.col("offset"))
     hits = hits.select("query_id", F.col("p.id").alias("id"), "alternative", "wanted", "clause", "excluded", "terms", "offset", starts.alias("starts"))
     # all that follows is by query and document, so it is dealt out once
@@ -181,19 +205,20 @@ def ranked(index: TextIndex, queries: DataFrame, query_id: str, text: str, k: in
     gives = F.col("idf") * weight(F.col("p.times"), F.col("p.size"), index.mean)
 
     def parts(own: DataFrame) -> DataFrame:
-        lists = own.join(index.postings, "term").select("query_id", "block", "idf", F.explode("list").alias("p"))
+        lists = own.join(index.postings.drop("at"), "term").select("query_id", "block", "idf", F.explode(F.arrays_zip("id", "times", "size")).alias("p"))
         return lists.groupBy("query_id", "block", F.col("p.id").alias("id")).agg(F.sum(gives).alias("part"))
 
     def completed(found: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The scores of found (query_id, block, id, part) with what own terms add, and the lists that were looked up for it."""
         wanted = found.groupBy("query_id", "block").agg(F.collect_list("id").alias("ids"))  # a block's documents at most
-        touched = wanted.join(own.select("query_id", "term", "idf"), "query_id").join(index.postings, ["term", "block"])
-        more = touched.select("query_id", "idf", F.explode(F.filter("list", lambda p: F.array_contains("ids", p["id"]))).alias("p"))
+        touched = wanted.join(own.select("query_id", "term", "idf"), "query_id").join(index.postings.drop("at"), ["term", "block"])
+        inside = F.filter(F.arrays_zip("id", "times", "size"), lambda p: F.array_contains("ids", p["id"]))
+        more = touched.select("query_id", "idf", F.explode(inside).alias("p"))
         both = found.select("query_id", "id", "part").unionByName(more.select("query_id", F.col("p.id").alias("id"), gives.alias("part")))
-        return both.groupBy("query_id", "id").agg(F.sum("part").alias("score")), touched.select("query_id", F.size("list").cast("bigint").alias("read"))
+        return both.groupBy("query_id", "id").agg(F.sum("part").alias("score")), touched.select("query_id", F.size("id").cast("bigint").alias("read"))
 
     rows = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("bigint").alias("id"), words_of(F.col(text)).alias("words"))
-    terms = rows.mapInPandas(_entries, ENTRY).select(F.col("id").alias("query_id"), F.explode("terms").alias("term")).distinct().join(index.terms, "term")
+    terms = rows.mapInPandas(_terms, "query_id bigint, terms array<string>").select("query_id", F.explode("terms").alias("term")).distinct().join(index.terms, "term")
     idf = rarity(F.col("df"), index.docs)
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
     before = F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -209,7 +234,7 @@ def ranked(index: TextIndex, queries: DataFrame, query_id: str, text: str, k: in
     split = stored(split.withColumn("leads", F.col("below") >= F.col("bound")), "split-terms")
 
     rest = split.where("NOT leads")
-    tops = rest.join(index.postings.select("term", "block", "top"), "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("reach"))
+    tops = rest.drop("top").join(index.postings.select("term", "block", largest(index.mean).alias("top")), "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("reach"))
     found = parts(split.where("leads")).join(split.select("query_id", "bound").distinct(), "query_id").join(tops, ["query_id", "block"], "left")
     found = found.where(F.col("part") + F.coalesce("reach", F.lit(0.0)) >= F.col("bound")).select("query_id", "block", "id", "part")
     scores, more = completed(stored(found, "candidates"), rest)
