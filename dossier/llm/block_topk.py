@@ -110,7 +110,8 @@ def top_products(rows: DataFrame, k: int = 10, scale: int = 1024, every: int = 1
     or hold null or non-finite components take no part, nor do null ids; a shorter vector counts as filled with 0, an empty
     one as all 0. Components and scores beyond a long are the long nearest to them.
     A query id that is repeated is asked once, with the least of its vectors; repeated candidate rows all count.
-    Returns query_id, rank (from 1), vec_id, score, ties to the smaller id; fewer than k where candidates are fewer.
+    Returns query_id, rank (from 1), vec_id, score, ties to the smaller id; fewer than k where candidates are fewer. An empty table gives
+    no rows; other columns may have any name.
     """
     whole = lambda x: F.least(F.greatest(F.floor(x.cast("double") * scale), F.lit(-float(MOST))), F.lit(float(MOST)))
     clean = rows.where(F.col(id_col).isNotNull() & usable(vector_col, zero=True)).select(

@@ -185,7 +185,12 @@ class ByteCNN:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", size: int = SAMPLE_DOCS) -> ByteCNN:
-    """Fits on a bounded sample of the labelled rows for which train (of the id) holds."""
+    """Fits on a bounded sample of the labelled rows for which train (of the id) holds.
+
+    Rows with a null id, text or label, or a label that is neither 0 nor 1, are left out; an id that is repeated counts once, with its
+    largest label and its least text; very long texts give a run of bounded length. Without rows of both labels, the model gives every text the
+    chance of the label that there is. Other columns may have any name.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(train).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     found, counts = sample(texts, known.where(F.col("label").isin(0, 1)), size)
@@ -194,7 +199,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str =
 
 
 def quality(model: ByteCNN, text: Column) -> Column:
-    """The probability of label 1 of a text; null counts as empty, and an empty text has one too."""
+    """The probability of label 1 of a text; null counts as empty, and an empty text has one too. Rows are scored one by one: repeated ones
+    score the same, very long texts are read whole, piece by piece, and an empty table gives none."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

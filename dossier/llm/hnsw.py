@@ -241,6 +241,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, beam: int = SEARCH_B
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids.
     A query id that is repeated is asked once, with the least of its vectors; repeated candidate rows all count.
     Returns query_id, rank (from 1), vec_id, score (the distance in double precision), ties to the smaller id.
+    An empty table gives no rows; other columns may have any name.
     """
     clean = rows.where(F.col(id_col).isNotNull() & usable(vector_col, zero=False)).select(
         F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")

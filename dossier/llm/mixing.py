@@ -106,7 +106,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     Returns doc_id, source, size (words of the text; none for null), source_size, target, copies and taken
     (copies times size). Documents without words take part with size 0 and give nothing. Null is a source of
     its own, the last. Repeated rows are documents of their own. The draws depend on seed, source and row key
-    only, so reruns agree. An empty table gives an empty result. The driver holds one number for each source.
+    only, so reruns agree. Of documents with equal row keys any may be taken. A very long text counts whole and is one document like
+    others. Other columns of docs may have any name. An empty table gives an empty result. The driver holds one number for each source.
     """
     rows = saved(
         docs.select(

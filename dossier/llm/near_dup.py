@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     (doc_id = component_id). ASCII capitals count as small; words are runs without ASCII white space; a text of fewer
     words is one shingle; null, empty and blank texts have none and link with nothing. Rows that repeat an id are
     one document with several texts: it links by any. Null ids take no part: component null, kept true. Ids are longs.
+    Very long texts are read whole. An empty table gives no rows; other columns may have any name.
     """
     spark = docs.sparkSession
     short_batches(spark)

@@ -388,6 +388,7 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = TOP, alpha: float =
     Gumbel number), inclusion (the probability of being among the k, given the threshold), round_trip (whether the ids decode
     to the text) and, if asked for, ids. Null and empty texts have one segmentation, without ids. Rows with equal id and text get
     equal samples; a null id counts as one key. A text that holds the space mark itself decodes to spaces: round_trip false.
+    Very long texts are segmented whole. An empty table gives no rows; other columns may have any name.
     """
     short_batches(docs.sparkSession)
 

@@ -145,7 +145,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32 (unsigned; 0 for null),
     shard, slot (gapless from 0 in the shard) and capacity (the largest shard that the search allowed).
     Null and empty texts are one group. Repeated rows each get their own slot; null ids are kept.
-    An empty table gives an empty result, and shards stay empty where groups are fewer than shards.
+    An empty table gives an empty result, and shards stay empty where groups are fewer than shards. A very long text is
+    a group over a fair share, with a shard of its own. Other columns of docs may have any name.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(

@@ -119,14 +119,22 @@ class StringKernel:
 
 
 def fit_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE_DOCS) -> StringKernel:
-    """Fits on a bounded sample of the rows for which train holds and whose language is not null."""
+    """Fits on a bounded sample of the rows for which train holds and whose language is not null.
+
+    An id that is repeated counts once, with its largest language and its least text; null ids and texts are left out, very long texts give a run of
+    bounded length. Without any row the model finds no language. Other columns may have any name.
+    """
     rows = docs.where(train).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
     found, _ = sample(rows.select("doc_id", "text"), rows.select("doc_id", "label"), size)
     return StringKernel.fit([t.encode() for t in found["text"]], found["label"].tolist())
 
 
 def language(model: StringKernel, text: Column) -> Column:
-    """A struct of lang_pred and score of a text; ``und`` with score 0 for null and for texts without a letter."""
+    """A struct of lang_pred and score of a text; ``und`` with score 0 for null and for texts without a letter.
+
+    Of equally likely languages the first by name counts; repeated rows get the same; very long texts are scored whole, in windows; an
+    empty table gives nothing.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
