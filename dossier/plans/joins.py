@@ -118,12 +118,12 @@ def j16(t: Tables):
 
 @query(
     "J23_regime_pairs",
-    "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND floor(a.value) = floor(b.value) AND a.event_id < b.event_id",
+    "SELECT * FROM (SELECT min(event_id) OVER (PARTITION BY user_id, event_type, floor(value)) AS first_id, event_id AS second_id FROM events) WHERE first_id < second_id",
 )
 def j23(t: Tables):
-    """The pairs of cases with the same whole question."""
+    """Cases with the same whole question, each with the first of them."""
     rows = t.events.select("event_id", F.concat_ws("|", "user_id", "event_type", F.floor("value")).alias("question"))
-    return X.pairs_within(rows, "question", "event_id")
+    return X.pairs_with_first(rows, "question", "event_id")
 
 
 @query("S1_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 100")
