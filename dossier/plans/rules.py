@@ -156,7 +156,8 @@ SELECT l_orderkey, CASE WHEN doubt <> '' THEN 'undetermined' WHEN p THEN 'pass'
 )
 def a19(t: Tables):
     groups = t.lineitem.selectExpr(*[x.strip() for x in _fields(GROUPS)])
-    return R.combined(groups, ["l_orderkey"], "i")
+    # numbers of part and line may meet in one i; the row that is read first goes first then
+    return R.combined(groups.withColumn("i", F.struct("i", F.monotonically_increasing_id().alias("at"))), ["l_orderkey"], "i")
 
 
 def _fields(cte: str) -> list[str]:
