@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
-def _walked(df: DataFrame, by: list[str], order: list[str], columns: str, step: Callable[[list, int], object], cost: str) -> DataFrame:
+def _walked(df: DataFrame, by: list[str], order: list[str], columns: str, step: Callable[[list, float], object], cost: str) -> DataFrame:
     """df with a column that step(state, cost) gives for each row, the rows of a key taken in order.
 
     Rows are sorted within partitions and pass through in batches, so a task holds a batch and one key's state, however
@@ -25,7 +25,7 @@ def _walked(df: DataFrame, by: list[str], order: list[str], columns: str, step:
             for own, price in zip(batch[by].itertuples(index=False, name=None), batch[cost].fillna(0), strict=True):
                 if own != key:
                     key, state = own, []
-                out.append(step(state, int(price)))
+                out.append(step(state, price))
             batch[name] = out
             yield batch
 
@@ -36,8 +36,8 @@ def _walked(df: DataFrame, by: list[str], order: list[str], columns: str, step:
 def budget_fill(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """taken: the row fits in what is left of its group's budget, in order; those that don't are passed over."""
 
-    def step(state: list, price: int) -> bool:
-        used = state[0] if state else 0
+    def step(state: list, price: float) -> bool:
+        price, used = int(price), state[0] if state else 0
         fits = used + price <= budget
         state[:] = [used + price if fits else used]
         return fits
@@ -48,8 +48,8 @@ def budget_fill(df: DataFrame, by: list[str], order: list[str], cost: str, budge
 def packed_groups(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """part: consecutive groups of each key's rows (from 1) within the budget; a row over the budget is one by itself."""
 
-    def step(state: list, price: int) -> int:
-        part, used = state or (1, 0)
+    def step(state: list, price: float) -> int:
+        price, (part, used) = int(price), state or (1, 0)
         if state and used + price > budget:
             part, used = part + 1, 0
         state[:] = [part, used + price]
@@ -58,10 +58,10 @@ def packed_groups(df: DataFrame, by: list[str], order: list[str], cost: str, bud
     return _walked(df, by, order, "part bigint", step, cost)
 
 
-def levels(df: DataFrame, by: list[str], order: list[str], place: str, separation: int) -> DataFrame:
+def levels(df: DataFrame, by: list[str], order: list[str], place: str, separation: float) -> DataFrame:
     """level: the first one on which the row's place is that far from the last row put there; rows go in order of place."""
 
-    def step(state: list, own: int) -> int:
+    def step(state: list, own: float) -> int:
         level = next((i for i, last in enumerate(state) if own - last >= separation), len(state))
         state[level : level + 1] = [own]
         return level
