@@ -44,7 +44,7 @@ def x27(t: Tables):
     met = windows.join(items.withColumn("h", F.xxhash64("g")), ["h", "g"]).select("doc_id", "item_id", "q").distinct().join(t.documents.select("doc_id", "text"), "doc_id")
     noisy = F.regexp_replace("text", "([aeiou]) ", "$1* ")
     spaced = F.replace(F.col("q"), F.lit(" "), F.lit(" \n "))
-    found = met.select("doc_id", "item_id", Q.located(F.col("text"), spaced).alias("f"), Q.located(noisy, spaced).alias("n")).where("f IS NOT NULL")
+    found = met.select("doc_id", "item_id", Q.located(F.col("text"), spaced).alias("f"), Q.located(noisy, spaced, noisy=True).alias("n")).where("f IS NOT NULL")
     return found.select("doc_id", "item_id", "f.start", "f.end", "f.way", F.col("n.start").alias("noisy_start"), F.col("n.way").alias("noisy_way"))
 
 
