@@ -34,6 +34,8 @@ SKETCH = 160
 #: The table is what is broadcast: a few megabytes at most, whatever the corpus.
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 20
 VALUES_OF_CELL = 256
+#: Cells that come to the driver as one value, their counts packed.
+RUN = 1 << 14
 #: Lists up to this length give pairs; longer ones are compared in blocks of BLOCK nodes.
 SHORT_LIST = 24
 BLOCK = 512
@@ -105,12 +107,20 @@ def counted_cells(values: DataFrame) -> np.ndarray:
     total, cells = values.count(), LEAST_CELLS
     while cells < MOST_CELLS and cells * VALUES_OF_CELL < total:
         cells *= 2
-    found = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count().toPandas()  # a row for each cell at most
+    counts = values.groupBy(F.col("v").bitwiseAND(cells - 1).alias("cell")).count()
+    runs = counts.groupBy(F.floor(F.col("cell") / RUN).alias("run")).applyInPandas(_packed, "run bigint, counts binary")
     out = np.zeros(cells, np.int32)
-    out[found["cell"].to_numpy(np.int64)] = np.minimum(found["count"], np.iinfo(np.int32).max)
+    for run, packed in runs.collect():  # four bytes a cell
+        out[run * RUN : (run + 1) * RUN] = np.frombuffer(packed, np.int32)
     return out
 
 
+def _packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(RUN, np.int32)
+    out[group["cell"].to_numpy(np.int64) % RUN] = np.minimum(group["count"], np.iinfo(np.int32).max)
+    return pd.DataFrame({"run": [key[0]], "counts": [out.tobytes()]})
+
+
 def _passing(percent: int):
     bound = least_overlap(SKETCH, percent) / SKETCH
 
