@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
+from ..sources.files import short_batches
 from .numbers import NUMBER, figures
 from .text import ACCENTED, PLAIN, folded, plain, search_normalized
 
@@ -219,6 +220,7 @@ def register_functions(spark: SparkSession) -> None:
 
     search_document(text) is a map from stems to positions, search_query(text) the alternatives of a web-style query.
     """
+    short_batches(spark)
     spark.udf.register("search_words_located", document_lexemes)
     spark.udf.register("search_query_parsed", query_lexemes)
     form = rf"regexp_replace(translate(input, '{ACCENTED}', '{PLAIN}'), r'(?i)([au])cion(?![\p{{L}}\p{{N}}_])', r'$1ción')"
