@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from math import ceil
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from ..functions.classes import MODAL_WORDS, NUMBER_WORDS, SENSE_WORDS, signature
 from ..functions.text import split_words
-from ..sources.files import scratch
+from ..sources.files import short_batches
+from .structure import each_document
 
 # Words that don't count for the similarity, least words of a contained statement, words that may be left over.
 COMMON_WORDS = (
     "a ante bajo con contra de del desde durante e el en entre la las lo los o para por segun sin sobre u un una uno unos unas y al se su sus que es son ser sera seran este esta estos estas ese esa"
 ).split()
+COMMON = frozenset(COMMON_WORDS)
 LEAST_CONTAINED = 3
 MOST_LEFT_OVER = 1
 #: Stands in the index for a statement of common words alone, which no content word could bring together with another.
 BARE = "\u0001"
 
 
-def content(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.isin(COMMON_WORDS))
-
-
 def order_ratio(a: list[str], b: list[str]) -> float:
     """Twice the words in matching runs over all words, of the words that count; 0 where one has none."""
-    a, b = ([w for w in x if w not in COMMON_WORDS] for x in (a, b))
+    a, b = ([w for w in x if w not in COMMON] for x in (a, b))
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
 
 
@@ -40,69 +38,83 @@ def is_contained(short: list[str], long: list[str]) -> bool:
     at = next((i for i in range(len(long) - n + 1) if long[i : i + n] == short), None)
     if at is None:
         return False
-    rest = [w for w in long[:at] + long[at + n :] if w not in COMMON_WORDS]
+    rest = [w for w in long[:at] + long[at + n :] if w not in COMMON]
     changes = lambda w: w in SENSE_WORDS or w in MODAL_WORDS or w in NUMBER_WORDS or w == "%" or any(c.isdigit() for c in w)
     return len(rest) <= MOST_LEFT_OVER and not any(map(changes, rest))
 
 
-def _says(share: float, containment: bool):
-    @F.pandas_udf("string")
-    def fn(a: pd.Series, b: pd.Series) -> pd.Series:
-        def why(x: str, y: str) -> str | None:
-            short, long = sorted((x, y), key=len)
-            one, two = short.split(), long.split()
-            if containment and is_contained(one, two):
-                return "contained"
-            return "similar" if share < 1 and order_ratio(x.split(), y.split()) >= share else None
-
-        return pd.Series([why(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype=object)
-
-    return fn
+def _reason(x: list[str], y: list[str], share: float, containment: bool) -> str | None:
+    """Why two statements say the same, or null; x is the earlier one."""
+    short, long = sorted((" ".join(x), " ".join(y)), key=len)
+    if containment and f" {short} " in f" {long} " and is_contained(short.split(), long.split()):
+        return "contained"
+    return "similar" if share < 1 and order_ratio(x, y) >= share else None
 
 
-def like_forms(forms: DataFrame, by: str, share: float, containment: bool) -> DataFrame:
-    """Pairs of a document's forms (by, form, other, reason; the earlier first) with one signature that are contained or that much alike.
+def like_forms(forms: list[tuple[str, str]], share: float, containment: bool) -> list[tuple[int, int, str]]:
+    """Pairs of a document's distinct forms (form and signature, in order) with one signature that are contained or that much alike: the places of both and why.
 
-    forms: by, first (place of the first statement with the form), form. Two forms whose matching runs cover share of their words have that many
-    words in common, so they meet in an index of each one's rarest words (a repeated word is several); a contained form lacks at most
-    one content word of the other. The pairs found are confirmed on the whole forms.
+    Two forms whose matching runs cover share of their words have that many words in common, so they meet in an index of each one's
+    rarest words (a repeated word is several); a contained form lacks at most one content word of the other. The pairs found are
+    confirmed on the whole forms.
     """
-    words = content(split_words(F.col("form")))
-    rows = forms.withColumns({"own": words, "signature": F.md5(F.to_json(signature(split_words(F.col("form")))))})
-    rows = rows.withColumn("n", F.size("own"))
-    spread = rows.select(by, "first", "signature", "n", F.posexplode("own").alias("i", "w"))
-    spread = spread.withColumn("turn", F.row_number().over(Window.partitionBy(by, "first", "w").orderBy("i"))).drop("i")
-    often = spread.groupBy(by, "signature", "w", "turn").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy(by, "first").orderBy("often", "w", "turn"))
-    # words that a partner has at least: of matching runs, and of a statement that contains this one or is in it
-    least = F.ceil(F.col("n") * (share / (2 - share)) - 1e-9)
-    least = F.least(least, F.col("n") - 1) if containment else least
-    listed = spread.join(often, [by, "signature", "w", "turn"]).withColumn("rank", rank).where((F.col("rank") <= F.col("n") - least + 1) & (F.col("often") > 1))
-    listed = listed.select(by, "signature", "first", "n", "w", "turn")
-    if containment:
-        bare = rows.where(f"n <= {MOST_LEFT_OVER}").select(by, "signature", "first", "n", F.lit(BARE).alias("w"), F.lit(1).alias("turn"))
-        listed = listed.unionByName(bare)
-    right = listed.withColumnsRenamed({"first": "later", "n": "m"})
-    pairs = listed.join(right, [by, "signature", "w", "turn"]).where(f"first < later AND (w <> '{BARE}' OR n = 0 OR m = 0)").select(by, "first", "later").distinct()
-    form = lambda at, name: rows.select(by, F.col("first").alias(at), F.col("form").alias(name))
-    both = pairs.join(form("first", "a"), [by, "first"]).join(form("later", "b"), [by, "later"]).withColumn("reason", _says(share, containment)("a", "b"))
-    return both.where("reason IS NOT NULL").select(by, "first", "later", "reason")
-
-
-def _walk(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    near: dict[int, list[int]] = {}
-    for a, b in zip(links["first"], links["later"], strict=True):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    best: dict[int, int] = {}
-    own = own.sort_values("__at")
-    kept = []
-    for at, form in zip(own["__at"], own["__first"], strict=True):
-        group = min((best[f] for f in (form, *near.get(form, ())) if f in best), default=at) if form >= 0 else at
-        if form >= 0:
-            best[form] = min(group, best.get(form, group))
-        kept.append(group)
-    return pd.DataFrame({"by": own["__by"], "at": own["__at"], "kept": kept})
+    words = [form.split() for form, _ in forms]
+    terms, often = [], Counter()
+    for own, (_, signed) in zip(words, forms, strict=True):
+        turns: Counter = Counter()
+        mine = []
+        for w in own:
+            if w not in COMMON:
+                turns[w] += 1
+                mine.append((signed, w, turns[w]))
+        often.update(mine)
+        terms.append(mine)
+    lists: dict[tuple, list[int]] = {}
+    out = []
+    for j, mine in enumerate(terms):
+        n = len(mine)
+        # words that a partner has at least: of matching runs, and of a statement that contains this one or is in it
+        least = ceil(n * (share / (2 - share)) - 1e-9)
+        least = min(least, n - 1) if containment else least
+        rare = [t for t in sorted(mine, key=lambda t: (often[t], t))[: n - least + 1] if often[t] > 1]
+        if containment and n <= MOST_LEFT_OVER:
+            rare.append((forms[j][1], BARE, 1))
+        # a form meets the earlier ones of its lists, so a task holds one form's partners
+        for i in sorted({i for t in rare for i in lists.get(t, ()) if t[1] != BARE or not n or not terms[i]}):
+            few, many = sorted((len(terms[i]), n))
+            if (containment and many - few <= MOST_LEFT_OVER) or 2 * few >= share * (few + many) - 1e-9:
+                if why := _reason(words[i], words[j], share, containment):
+                    out.append((i, j, why))
+        for t in rare:
+            lists.setdefault(t, []).append(j)
+    return out
+
+
+def _groups(share: float, containment: bool):
+    def walk(rows: list) -> list[tuple]:
+        """The place of the statement that stands for each row's group."""
+        forms: dict[str, int] = {}
+        signed: list[tuple[str, str]] = []
+        for r in rows:
+            if r.form and r.form not in forms:
+                forms[r.form] = len(signed)
+                signed.append((r.form, r.signature))
+        near: dict[int, list[int]] = {}
+        for a, b, _ in like_forms(signed, share, containment):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        best: dict[int, int] = {}
+        kept = []
+        for r in rows:
+            group = at = r.at
+            if r.form:
+                own = forms[r.form]
+                group = min((best[f] for f in (own, *near.get(own, ())) if f in best), default=at)
+                best[own] = min(group, best.get(own, group))
+            kept.append((group,))
+        return kept
+
+    return walk
 
 
 def unified_like(rows: DataFrame, by: str, order: str, form: Column, wide: Column, share: float = 1.0, containment: bool = False) -> DataFrame:
@@ -110,20 +122,11 @@ def unified_like(rows: DataFrame, by: str, order: str, form: Column, wide: Colum
 
     In the order of the document, a statement joins the first group that has a member that says the same: equal in form, contained, or
     with share of its words in matching runs, each under one signature (figures, conjunctions, negations and modals in order). It may so
-    join a group whose first statement it isn't like. A wide statement, or one without a form, stays by itself. Groups are walked document by
-    document, over numbers only: a task holds the places of one document's statements and the links of its forms. Rows with a null by or order go.
+    join a group whose first statement it isn't like. A wide statement, or one without a form, stays by itself. Documents are walked one by one: a
+    task holds one document's statements, which are shuffled once. Rows with a null by or order go.
     """
-    spark = rows.sparkSession
-    own = rows.where(F.col(by).isNotNull() & F.col(order).isNotNull()).select(F.col(by).alias("by"), F.col(order).cast("bigint").alias("__at"), form.alias("form"), F.coalesce(wide, F.lit(False)).alias("wide"))
-    path = scratch(spark, "statements")
-    own.write.parquet(path)
-    own = spark.read.schema(own.schema).parquet(path)
-    forms = own.where("NOT wide AND form <> ''").groupBy("by", "form").agg(F.min("__at").alias("first"))
-    links = like_forms(forms, "by", share, containment).select("by", "first", "later")
-    path = scratch(spark, "statement-links")
-    links.write.parquet(path)
-    links = spark.read.schema(links.schema).parquet(path)
-    own = own.join(forms.withColumnRenamed("first", "__first"), ["by", "form"], "left").select("by", "__at", F.when(F.col("wide"), -1).otherwise(F.coalesce("__first", F.lit(-1))).alias("__first"), F.col("by").alias("__by"))
-    kind = own.schema["by"].dataType.simpleString()
-    out = own.groupBy("by").cogroup(links.groupBy("by")).applyInPandas(_walk, f"by {kind}, at bigint, kept bigint")
-    return out.select(F.col("by").alias(by), F.col("at").alias(order), "kept")
+    short_batches(rows.sparkSession)
+    form = F.when(F.coalesce(wide, F.lit(False)), None).otherwise(form)
+    own = rows.where(F.col(by).isNotNull() & F.col(order).isNotNull()).select(F.col(by).alias("by"), F.col(order).cast("bigint").alias("at"), form.alias("form"))
+    own = own.repartition("by").withColumn("signature", F.md5(F.to_json(signature(split_words(F.col("form"))))))
+    return each_document(own, "by", "at", _groups(share, containment), "kept bigint").select(F.col("by").alias(by), F.col("at").alias(order), "kept")

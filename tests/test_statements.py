@@ -81,3 +81,9 @@ def test_order_decides(spark):
     out = T.unified_like(spark.createDataFrame(rows, "k int, at int, form string, wide boolean"), "k", "at", F.col("form"), F.col("wide"), 0.8)
     assert {r["at"]: r["kept"] for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
     assert T.unified_like(spark.createDataFrame([], "k int, at int, form string, wide boolean"), "k", "at", F.col("form"), F.col("wide"), 0.8).count() == 0
+
+
+def test_statements_are_shuffled_once(spark, rows):
+    df = spark.createDataFrame(rows, "doc int, at int, form string, wide boolean")
+    plan = T.unified_like(df, "doc", "at", F.col("form"), F.col("wide"), 0.8, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "CoGroup" not in plan
