@@ -11,7 +11,7 @@ whose path leaves a node "any other piece here" at each step. The k segmentation
 replacement; the largest number still open is the threshold of their inclusion probabilities.
 
 No piece reaches across the start of a word, so the lattice of a text is a chain of word lattices. Each worker makes
-those once for each distinct word and remembers a bounded number; all texts of a batch walk them together in numpy.
+those once for each distinct word and remembers a bounded number until its task ends; all texts of a batch walk them together in numpy.
 Draws come from a hash of seed, row key and place, so neither batches nor partitions change them.
 """
 
@@ -28,13 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shingles import mix
-from .storage import short_batches
+from .storage import short_batches, trim
 
 SPACE = "▁"
 TOP = 2
 ALPHA = 0.5
 #: Lattice edges that a worker remembers, about; beyond it starts afresh.
 KEPT_EDGES = 2_000_000
+#: Words whose lattices are made together.
+NEW_WORDS = 4_096
 #: Bytes of text whose samples are drawn together.
 PIECE = 1 << 19
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +154,9 @@ class Lattices:
             if self.n_edges > KEPT_EDGES:
                 self.forget()
                 absent = range(len(words))
-            self._add(list(dict.fromkeys([words[i] for i in absent])))
+            new = list(dict.fromkeys([words[i] for i in absent]))
+            for at in range(0, len(new), NEW_WORDS):
+                self._add(new[at : at + NEW_WORDS])
             out[absent] = [self.known[words[i]] for i in absent]
         return out
 
@@ -372,7 +376,7 @@ _lattices: dict[tuple[str, float], Lattices] = {}
 
 
 def worker_lattices(path: str, alpha: float) -> Lattices:
-    """The worker's own lattices: what it remembers serves the tasks that follow."""
+    """The worker's own lattices: the vocabulary serves the tasks that follow."""
     if (path, alpha) not in _lattices:
         _lattices[path, alpha] = Lattices(Vocabulary(path, alpha))
     return _lattices[path, alpha]
@@ -394,6 +398,13 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = TOP, alpha: float =
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattices = worker_lattices(model_path, alpha)
+        try:
+            yield from sampled(lattices, batches)
+        finally:  # the worker lives on, in other stages' tasks too
+            lattices.forget()
+            trim()
+
+    def sampled(lattices: Lattices, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             keys = np.array([0 if pd.isna(i) else int(i) + 1 for i in batch["doc_id"]], np.int64).view(np.uint64)

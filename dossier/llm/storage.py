@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow.fs as pafs
@@ -70,6 +71,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, where the C library can: Python workers outlive their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def put_file(uri: str, data: bytes) -> None:
     """Writes a whole file from a task. It appears at once or not at all, so a repeated task does no harm."""
     fs, path = pafs.FileSystem.from_uri(uri)
