@@ -64,8 +64,25 @@ def _regions(w: str) -> tuple[int, int, int]:
     return rv, r1, r2
 
 
-def _longest(w: str, suffixes: list[str]) -> str:
-    return max((s for s in suffixes if w.endswith(s)), key=len, default="")
+class _Suffixes(frozenset):
+    """A set of suffixes."""
+
+    def __init__(self, own) -> None:
+        self.most = max(map(len, self))
+
+
+def _longest(w: str, suffixes: _Suffixes) -> str:
+    """The longest suffix that a word ends with: its endings are looked up, not the suffixes one by one."""
+    for n in range(min(len(w), suffixes.most), 0, -1):
+        if w[-n:] in suffixes:
+            return w[-n:]
+    return ""
+
+
+#: The suffixes as they are looked up, and the step that each standard one belongs to.
+_PRONOUNS, _BEFORE, _Y, _VERBS, _RESIDUAL = (_Suffixes(x) for x in (PRONOUNS, BEFORE_PRONOUN, Y_VERBS, VERBS + VERBS_GU, RESIDUAL))
+_KIND = {s: k for k, own in reversed(STANDARD.items()) for s in own}
+_STANDARD = _Suffixes(_KIND)
 
 
 def stem(word: str) -> str:
@@ -74,18 +91,17 @@ def stem(word: str) -> str:
     rv, r1, r2 = _regions(w)
     cut = lambda w, n: w[: len(w) - n]
     # pronouns
-    p = _longest(w, PRONOUNS)
+    p = _longest(w, _PRONOUNS)
     if p and len(w) - len(p) >= rv:
         body = cut(w, len(p))
-        b = _longest(body, BEFORE_PRONOUN)
+        b = _longest(body, _BEFORE)
         if b and len(body) - len(b) >= rv:
             w = body if b[0] in "aeiou" else cut(body, len(b)) + b.translate(_PLAIN)
         elif body.endswith("uyendo") and len(body) - 5 >= rv:
             w = body
     # suffixes
-    every = [s for own in STANDARD.values() for s in own]
-    s, changed = _longest(w, every), False
-    kind = next((k for k, own in STANDARD.items() if s in own), None) if s else None
+    s, changed = _longest(w, _STANDARD), False
+    kind = _KIND.get(s)
     inside = lambda w, s, r: len(w) - len(s) >= r
 
     def drop(w: str, *options: str) -> str:
@@ -116,17 +132,17 @@ def stem(word: str) -> str:
         elif kind == "at":
             w = drop(w, "at")
     if not changed:
-        s = _longest(w[rv:], Y_VERBS)
+        s = _longest(w[rv:], _Y)
         if s and w[: len(w) - len(s)].endswith("u"):
             w, changed = cut(w, len(s)), True
     if not changed:
-        s = _longest(w[rv:], VERBS + VERBS_GU)
+        s = _longest(w[rv:], _VERBS)
         if s:
             w = cut(w, len(s))
             if s in VERBS_GU and w.endswith("gu"):
                 w = cut(w, 1)
     # what is left
-    s = _longest(w[rv:], RESIDUAL)
+    s = _longest(w[rv:], _RESIDUAL)
     if s:
         w = cut(w, len(s))
     elif w[rv:].endswith(("e", "é")):

@@ -27,40 +27,54 @@ K1, B = 1.2, 0.75
 FIRST = 2
 #: Scores are rounded to six decimals: a bound has to be farther off than that.
 MARGIN = 2e-6
+#: Terms that the index is made for alone; if queries ask for more, it has all terms.
+ONLY_TERMS = 65_536
+#: Stands for the stems that the index leaves out.
+OTHER = "\u0001"
 #: A block's documents and their sizes have a row with an empty term.
 POSTINGS = "term string, block bigint, id array<bigint>, times array<int>, size array<int>, at array<array<int>>"
 ASKED = "query_id bigint, alternative int, clause int, excluded boolean, terms int, offset int, term string"
 
 
 class _Stems:
-    """Stems of words, kept for a task's next texts."""
+    """Stems of words, kept for a task's next texts; with only, no others than those."""
 
-    def __init__(self) -> None:
+    def __init__(self, only: frozenset[str] | None = None) -> None:
         self.known: dict[str, str] = {}
-
-    def places(self, words: list[str] | None) -> dict[str, list[int]]:
-        """The stems of a text with their positions from 1; common words only count as positions."""
+        self.only = only
+
+    def _learn(self, word: str) -> str:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        own = "" if word in STOP_WORDS else stem(word)
+        if own and self.only is not None and own not in self.only:
+            own = OTHER
+        self.known[word] = own
+        return own
+
+    def places(self, words: list[str] | None) -> tuple[dict[str, list[int]], int]:
+        """The stems of a text with their positions from 1, and how many words have one; common words only count as positions."""
         out: dict[str, list[int]] = {}
+        size, known = 0, self.known
         for i, w in enumerate(words if words is not None else (), 1):
-            if w in STOP_WORDS:
-                continue
-            if w not in self.known:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                self.known[w] = stem(w)
-            out.setdefault(self.known[w], []).append(i)
-        return out
+            own = known.get(w)
+            if own is None:
+                own = self._learn(w)
+            if own:
+                size += 1
+                if own is not OTHER:
+                    out.setdefault(own, []).append(i)
+        return out, size
 
 
-def _blocks(most: int):
+def _blocks(most: int, only: frozenset[str] | None):
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stems = _Stems()
+        stems = _Stems(only)
         for batch in batches:
             for at in range(0, len(batch), most):
                 own, lists = batch.iloc[at : at + most], {"": ([], [], [], [])}
                 for i, words in zip(own["id"].tolist(), own["words"], strict=True):
-                    places = stems.places(words)
-                    size = sum(map(len, places.values()))
+                    places, size = stems.places(words)
                     for term, found in (("", []), *places.items()):
                         row = lists.setdefault(term, ([], [], [], []))
                         for column, value in zip(row, (i, len(found), size, found), strict=True):
@@ -74,7 +88,7 @@ def _blocks(most: int):
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     stems = _Stems()
     for batch in batches:
-        yield pd.DataFrame({"query_id": batch["id"], "terms": [list(stems.places(words)) for words in batch["words"]]})
+        yield pd.DataFrame({"query_id": batch["id"], "terms": [list(stems.places(words)[0]) for words in batch["words"]]})
 
 
 def words_of(text: Column) -> Column:
@@ -112,12 +126,20 @@ def largest(mean: float) -> Column:
     return F.array_max(F.zip_with("times", "size", lambda t, s: weight(t, s, mean)))
 
 
-def text_index(docs: DataFrame, id_col: str, text: str) -> TextIndex:
-    """Builds and stores the index of all documents; rows without an id are left out, of repeated ids any is found. Nothing is shuffled."""
+def text_index(docs: DataFrame, id_col: str, text: str, asked: DataFrame | None = None) -> TextIndex:
+    """Builds and stores the index of all documents; rows without an id are left out, of repeated ids any is found. Nothing is shuffled.
+
+    asked: the terms (column term) that queries will ask for. All words are read and counted in the sizes, but the index has no other lists; with
+    more than ONLY_TERMS of them it has all.
+    """
     spark = docs.sparkSession
+    only = None
+    if asked is not None:
+        terms = [r["term"] for r in asked.select("term").where("term IS NOT NULL").distinct().limit(ONLY_TERMS + 1).collect()]
+        only = frozenset(terms) if len(terms) <= ONLY_TERMS else None
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), words_of(F.col(text)).alias("words"))
     path = scratch(spark, "postings")
-    rows.mapInPandas(_blocks(BLOCK_DOCS), POSTINGS).write.parquet(path)
+    rows.mapInPandas(_blocks(BLOCK_DOCS, only), POSTINGS).write.parquet(path)
     both = spark.read.schema(POSTINGS).parquet(path)
     sizes = both.where("term = ''").select(F.explode("size").alias("size"))
     n, mean = sizes.agg(F.count("*"), F.avg(F.when(F.col("size") > 0, F.col("size")))).first()
@@ -165,14 +187,14 @@ def answers(index: TextIndex, asked: DataFrame) -> DataFrame:
     tests = left.join(asked.where("df IS NOT NULL"), by)
     met = tests.join(index.postings, ["term", "block"])
     hits = met.select(*by, "wanted", "clause", "excluded", "terms", "offset", F.explode(postings_of(F.col("ids"))).alias("p"))
-    starts = F.transform("p.at", lambda x: x - F.col("offset"))
-    hits = hits.select("query_id", F.col("p.id").alias("id"), "alternative", "wanted", "clause", "excluded", "terms", "offset", starts.alias("starts"))
-    # all that follows is by query and document, so it is dealt out once
-    hits = hits.repartition("query_id", "id")
-    parts = hits.groupBy("query_id", "id", "alternative", "wanted", "clause", "excluded", "terms").agg(F.collect_list("starts").alias("s"))
-    shared = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("s")[0], lambda a, b: F.array_intersect(a, b))
-    held = parts.withColumn("holds", (F.size("s") == F.col("terms")) & (F.size(shared) > 0))
-    whole = held.groupBy("query_id", "id", "alternative", "wanted").agg(F.count_if(F.col("holds") & ~F.col("excluded")).alias("n"), F.count_if(F.col("holds") & F.col("excluded")).alias("bad"))
+    # where a phrase would start; a clause of one term holds wherever that stands
+    starts = F.when(F.col("terms") > 1, F.transform("p.at", lambda x: x - F.col("offset"))).otherwise(F.array(F.lit(0)))
+    clause = ["query_id", "id", "alternative", "wanted", "clause", "excluded"]
+    hits = hits.select("query_id", F.col("p.id").alias("id"), *clause[2:], "terms", "offset", starts.alias("starts"))
+    # all that follows is by query and document, so it is dealt out once, and groups hold counts only
+    hits = hits.repartition("query_id", "id").withColumn("start", F.explode("starts"))
+    held = hits.groupBy(*clause, "terms", "start").agg(F.countDistinct("offset").alias("n")).where("n = terms").select(*clause).distinct()
+    whole = held.groupBy("query_id", "id", "alternative", "wanted").agg(F.count_if(~F.col("excluded")).alias("n"), F.count_if("excluded").alias("bad"))
     return whole.where("n = wanted AND bad = 0").groupBy("query_id", "id").agg(F.lit(True).alias("x")).drop("x")
 
 
@@ -187,6 +209,12 @@ class Ranked:
     read: DataFrame
 
 
+def ranked_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    """The distinct terms that each query is ranked by: query_id, term."""
+    rows = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("bigint").alias("id"), words_of(F.col(text)).alias("words"))
+    return rows.mapInPandas(_terms, "query_id bigint, terms array<string>").select("query_id", F.explode("terms").alias("term")).distinct()
+
+
 def ranked(index: TextIndex, queries: DataFrame, query_id: str, text: str, k: int) -> Ranked:
     """Each query's k documents with the highest BM25 score of its distinct terms (six decimals), ties to the smaller id.
 
@@ -217,8 +245,7 @@ def ranked(index: TextIndex, queries: DataFrame, query_id: str, text: str, k: in
         both = found.select("query_id", "id", "part").unionByName(more.select("query_id", F.col("p.id").alias("id"), gives.alias("part")))
         return both.groupBy("query_id", "id").agg(F.sum("part").alias("score")), touched.select("query_id", F.size("id").cast("bigint").alias("read"))
 
-    rows = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("bigint").alias("id"), words_of(F.col(text)).alias("words"))
-    terms = rows.mapInPandas(_terms, "query_id bigint, terms array<string>").select("query_id", F.explode("terms").alias("term")).distinct().join(index.terms, "term")
+    terms = ranked_terms(queries, query_id, text).join(index.terms, "term")
     idf = rarity(F.col("df"), index.docs)
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
     before = F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

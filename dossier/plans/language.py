@@ -111,7 +111,7 @@ def _item_queries(t: Tables, *parts):
 def x3(t: Tables):
     """Documents that answer each item's web-style query, by their stems: alternatives, a phrase and an exclusion."""
     asked = I.asked_terms(_item_queries(t, 1, ' "', 2, " ", 3, '" or ', 4, " ", 5, " -", 6), "item_id", "text")
-    return I.answers(I.text_index(t.documents, "doc_id", "text"), asked).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
+    return I.answers(I.text_index(t.documents, "doc_id", "text", asked), asked).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query("U7_any_variant", f"WITH {POSTED}, {_asked([(0, 0, False, [1]), (0, 1, False, [2]), (1, 0, False, [3, 4, 5]), (2, 0, False, [6])])} SELECT item_id, doc_id FROM found")
@@ -119,7 +119,8 @@ def u7(t: Tables):
     """Documents that any of several queries of an item finds: the queries' alternatives as one."""
     variants = [_item_queries(t, *parts) for parts in ((1, " ", 2), ('"', 3, " ", 4, " ", 5, '"'), (6,))]
     asked = [I.asked_terms(q, "item_id", "text").withColumn("alternative", F.col("alternative") * 3 + i) for i, q in enumerate(variants)]
-    found = I.answers(I.text_index(t.documents, "doc_id", "text"), asked[0].unionByName(asked[1]).unionByName(asked[2]))
+    every = asked[0].unionByName(asked[1]).unionByName(asked[2])
+    found = I.answers(I.text_index(t.documents, "doc_id", "text", every), every)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
@@ -127,7 +128,7 @@ def u7(t: Tables):
 def a1(t: Tables):
     """The distinct units of the passages that each item's query finds."""
     asked = I.asked_terms(_item_queries(t, 7, ' or "', 8, " ", 9, '"'), "item_id", "text")
-    found = I.answers(I.text_index(t.documents, "doc_id", "text"), asked)
+    found = I.answers(I.text_index(t.documents, "doc_id", "text", asked), asked)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id")).join(t.documents.select("doc_id", "source", "lang"), "doc_id").select("item_id", "source", "lang").distinct()
 
 

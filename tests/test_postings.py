@@ -104,3 +104,21 @@ def test_functions_in_sql(spark):
     assert r["n"] == "Adjudicación de la GARANTIA" and r["d"] == {"cas": [2, 4], "plaz": [7]}
     said = [[(c["excluded"], [(t["distance"], t["term"]) for t in c["terms"]]) for c in a] for a in r["q"]]
     assert said == [[(False, [(0, "cas")]), (False, [(0, "plaz"), (2, "ofert")]), (True, [(0, "mor")])], [(False, [(0, "plieg")])]]
+
+
+def test_index_of_asked_terms_answers_and_ranks_as_the_whole_one(spark):
+    words = "casa perro norma gastos ley compra oferta precio acta pliego".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([*words, "de", "la"], k=12))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked = I.asked_terms(spark.createDataFrame([(1, 'casa "perro norma" or ley -acta'), (2, "nada")], "q long, text string"), "q", "text")
+    whole, own = I.text_index(docs, "id", "text"), I.text_index(docs, "id", "text", asked)
+    assert (own.docs, own.mean) == (whole.docs, whole.mean) and own.terms.count() < whole.terms.count()
+    found = [sorted(map(tuple, I.answers(x, asked).collect())) for x in (whole, own)]
+    assert found[0] == found[1] and found[0]
+    queries = spark.createDataFrame([(1, "gastos de compra"), (2, "precio")], "q long, text string")
+    own = I.text_index(docs, "id", "text", I.ranked_terms(queries, "q", "text"))
+    scores = [sorted(map(tuple, I.ranked(x, queries, "q", "text", 5).scores.collect())) for x in (whole, own)]
+    assert scores[0] == scores[1] and len(scores[0]) == 10
+    plan = I.answers(own, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
