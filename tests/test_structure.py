@@ -169,3 +169,10 @@ def test_search_language():
         [(False, [(0, "chequ")]), (True, [(0, "pag")])],
     ]
     assert parse_search("") == [] and parse_search("de la or el") == []
+
+
+def test_paragraphs_are_classed_after_they_are_dealt_out(spark):
+    rows = spark.createDataFrame([(1, 1, "ARTÍCULO 1°.- OBJETO. Uno."), (1, 2, "a) dos")], "doc long, at long, text string").coalesce(1)
+    plan = S.units_of(rows, "doc", "at", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "rlike" not in plan[plan.index("Exchange hashpartitioning") :].lower()
