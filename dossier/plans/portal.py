@@ -49,17 +49,21 @@ def s10_issues(t: Tables):
 
 
 def _comparison(t: Tables):
-    """A comparative table for each part: its order lines as lines, suppliers as bidders, the last quote twice."""
-    line = t.lineitem.groupBy("l_partkey", "l_linenumber", "l_suppkey").agg(F.min("l_quantity").alias("q"), F.min(money("l_extendedprice")).alias("p"))
-    line = line.selectExpr("l_partkey", "l_linenumber", "l_suppkey AS s_suppkey", "q", "p", TAX.replace("s_suppkey", "l_suppkey").format("STRING") + " AS tax")
-    span = """concat('<span id="g_rptLineas_ctl0', l_linenumber, '_rptLineasOfertas_ctl', s_suppkey, '_', {0}, '">', {1}, '</span>')"""
-    price = "translate(format_number(p, 2), ',.', '.,')"
-    parts = [span.format("'lblNombre'", "concat('Prov ', s_suppkey, ' (', tax, ')')"), span.format("'txtPrecioUnitario'", price), span.format("'lblCantidadOfertada'", "CASE WHEN s_suppkey % 5 = 0 THEN 'n/d' ELSE CAST(CAST(q AS INT) AS STRING) END")]
-    quotes = line.selectExpr("l_partkey", "l_linenumber", "s_suppkey", f"concat({', '.join(parts)}) AS html")
-    body = F.array_join(F.sort_array(F.collect_list(F.struct("s_suppkey", "html")))["html"], "")
-    head = F.concat(F.lit('<div><span id="g_rptLineas_ctl0'), "l_linenumber", F.lit('_lblRenglon">'), "l_linenumber", F.lit('</span><span id="g_rptLineas_ctl0'), "l_linenumber", F.lit('_lblOpcion">'), F.when(F.col("l_linenumber") % 2 == 0, "2").otherwise(""), F.lit("</span>"))
-    lines = quotes.groupBy("l_partkey", "l_linenumber").agg(body.alias("b")).select("l_partkey", "l_linenumber", F.concat(head, "b", F.lit("</div>")).alias("html"))
-    return lines.groupBy(F.col("l_partkey").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", "html")))["html"], "<br>").alias("html"))
+    """A comparative table for each part: its order lines as lines, suppliers as bidders, the last quote twice. The order lines are shuffled once,
+    by part; a page's html is made of its sorted quotes where they meet."""
+    line = t.lineitem.select("l_partkey", "l_linenumber", "l_suppkey", "l_quantity", money("l_extendedprice").alias("p")).repartition("l_partkey")
+    line = line.groupBy("l_partkey", "l_linenumber", "l_suppkey").agg(F.min("l_quantity").alias("q"), F.min("p").alias("p"))
+    pages = line.groupBy(F.col("l_partkey").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "q", "p"))).alias("quotes"))
+    tax = TAX.replace("s_suppkey", "x.l_suppkey").format("STRING")
+    key = "'<span id=\"g_rptLineas_ctl0', x.l_linenumber, '_"
+    own = key + "rptLineasOfertas_ctl', x.l_suppkey, '_"
+    quote = f"""{own}lblNombre">Prov ', x.l_suppkey, ' (', {tax}, ')</span>', {own}txtPrecioUnitario">', translate(format_number(x.p, 2), ',.', '.,'), '</span>',
+        {own}lblCantidadOfertada">', CASE WHEN x.l_suppkey % 5 = 0 THEN 'n/d' ELSE CAST(CAST(x.q AS INT) AS STRING) END, '</span>'"""
+    head = f"""'<div>', {key}lblRenglon">', x.l_linenumber, '</span>', {key}lblOpcion">', CASE WHEN x.l_linenumber % 2 = 0 THEN '2' ELSE '' END, '</span>'"""
+    first = f"CASE WHEN i = 0 THEN concat({head}) WHEN NOT quotes[i - 1].l_linenumber <=> x.l_linenumber THEN concat('</div><br>', {head}) ELSE '' END"
+    # a quote without a supplier or price isn't told, but its line is
+    told = f"concat(coalesce({first}, ''), coalesce(concat({quote}), ''))"
+    return pages.selectExpr("page_id", f"concat(array_join(transform(quotes, (x, i) -> {told}), ''), '</div>') AS html")
 
 
 @query(
@@ -69,7 +73,7 @@ CAST(min(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price, CAST(floor
 )
 def s11(t: Tables):
     """Quotes of comparative tables; those without a readable quantity are left out."""
-    out = R.read_pages(_comparison(t), "page_id", "html", "comparative").where("part = 'quote'")
+    out = R.read_pages(_comparison(t), "page_id", "html", "comparative", "part", "line", "alternative", "tax_id", "price", "quantity").where("part = 'quote'")
     return out.select("page_id", "line", "alternative", "tax_id", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
 
 

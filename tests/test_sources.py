@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -50,6 +51,44 @@ def test_comparative_table_in_sql(spark):
         spark.sql("SELECT * FROM page_rows('<p>', 'other')").collect()
 
 
+MARKUP = """<div>|</div>|<span id="a">|</span>|x|12|<br>|<br/>|<td>|</td>|<tr>|<table id="t">|</table>|<p>|</p >|<P>| |&amp;|&nbsp|<|>|<!-- c -->|<!DOCTYPE html>|<script>|</script>|<a href="x&amp;y=1" ID='q'>|<a href=x>|<b x="1"y="2">|<b x="1" x="2" id="">|</ b>|<title>|é|<li>|<td class="a>b" id="c<d">|<img src="a">x</img>|<b>x</i>|<td>1</td>|</x|<a x="|"|'""".split("|")
+
+
+def test_plain_and_broken_markup_give_the_standard_parsers_elements():
+    def tree(e):
+        inside = [x if isinstance(x, str) else tree(x) for x in e.inside]
+        return e.tag, e.attributes, e.text(), [x for x in inside if not isinstance(x, str)]
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        page = "".join(rng.choices(MARKUP, k=rng.randint(1, 14)))
+        standard = page_tables._Builder("")
+        standard.feed(page)
+        standard.close()
+        own = page_tables._Builder(page)
+        assert (tree(own.root), [e.key for e in own.keyed]) == (tree(standard.root), [e.key for e in standard.keyed]), page
+
+
+def test_plain_markup_needs_no_standard_parser(monkeypatch):
+    def stop(*_):
+        raise AssertionError("read by the standard parser")
+
+    monkeypatch.setattr(page_tables._Builder, "feed", stop)
+    assert len(page_tables.Page(CUADRO.rstrip()).keyed) == CUADRO.count(" id=")
+
+
+def test_pages_are_read_with_the_columns_asked(spark):
+    pages = spark.createDataFrame([(i, CUADRO.replace("10,5", "10,555") if i else None) for i in range(3)], "id int, html string")
+    assert page_tables.read_pages(pages, "id", "html", "comparative", "issue", "price").columns == ["id", "issue", "price"]
+    rows = page_tables.read_pages(pages, "id", "html", "comparative", "issue", "price").collect()
+    assert sorted(r["id"] for r in rows) == [1] * 6 + [2] * 6
+    assert [r["price"] for r in rows if r["price"]] == [Decimal("10.56")] * 2
+    pages.createOrReplaceTempView("cuadros")
+    spark.udtf.register("page_rows", page_tables.page_rows)
+    told = spark.sql("SELECT id, r.* FROM cuadros, LATERAL page_rows(html, 'comparative') AS r").collect()
+    assert sorted(map(str, told)) == sorted(map(str, page_tables.read_pages(pages, "id", "html", "comparative").collect()))
+
+
 def test_process_page_without_sections():
     rows = list(page_tables.process_page(page_tables.Page("<p>nada")))
     assert [(r[0], r[2]) for r in rows] == [("issue", "header"), ("issue", "basic"), ("missing", "number"), ("missing", "name"), ("missing", "kind"), ("issue", "schedule"), ("issue", "guarantees"), ("issue", "lines")]
