@@ -80,7 +80,7 @@ def s11(t: Tables):
 @query("S11_comparative_issues", "SELECT l_partkey AS page_id, 'no price or quantity' AS issue, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey % 5 = 0) GROUP BY 1")
 def s11_issues(t: Tables):
     """What can't be read in comparative tables."""
-    return R.read_pages(_comparison(t), "page_id", "html", "comparative").where("part = 'issue'").groupBy("page_id", "issue").agg(F.count("*").alias("n"))
+    return R.read_pages(_comparison(t), "page_id", "html", "comparative", "part", "issue").where("part = 'issue'").groupBy("page_id", "issue").agg(F.count("*").alias("n"))
 
 
 def _process(t: Tables):
