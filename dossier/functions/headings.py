@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # How norms write their headings.
@@ -27,6 +29,17 @@ LADDER = (
     ("considering", CONSIDERING, False), ("recital", RECITAL, False), ("formula", FORMULA, False), ("signature", SIGNATURE, False), ("publication", PUBLICATION, False),
     ("item", ITEM, False), ("item", LOOSE_ITEM, False),
 )
+#: What a text that a pattern of the ladder matches begins with, where that is fixed: told before the pattern is asked.
+BEGINNINGS = {
+    ARTICLE: ("ART", "Art"), INDEX: ("INDICE", "ÍNDICE"), ANNEX_ONLY: ("ANEXO",), ANNEX: ("ANEXO",), TITLE: ("T", "CAP", "SECCI"), CLAUSE: ("CL",), VISTO: ("VISTO",), CONSIDERING: ("CONSIDERANDO", "Y"),
+    RECITAL: ("Que",), FORMULA: ("Por ello",), SIGNATURE: ("Digitally", "Firmado", "Date:"), PUBLICATION: ("NOTA:", "e."),
+}
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """The text matches a pattern of the ladder; its beginning is asked first, as that costs little."""
+    begins = [text.startswith(b) for b in BEGINNINGS.get(pattern, ())]
+    return reduce(Column.__or__, begins) & text.rlike(pattern) if begins else text.rlike(pattern)
 
 
 def capitals(text: Column) -> Column:
@@ -38,26 +51,24 @@ def heading(text: Column) -> Column:
     """article, index, annex, title, clause, visto, considering, recital, formula, signature, publication, item, upper or text."""
     upper, out = capitals(text), F.when(F.lit(False), "text")
     for kind, pattern, only_upper in LADDER:
-        out = out.when(text.rlike(pattern) & upper if only_upper else text.rlike(pattern), kind)
+        out = out.when(matches(text, pattern) & upper if only_upper else matches(text, pattern), kind)
     return out.when(upper & text.rlike(r"^\p{L}"), "upper").otherwise("text")
 
 
-def heading_only(text: Column) -> Column:
-    """An article without a text of its own behind its heading, but for a title in capitals."""
-    return F.coalesce(text.rlike(ARTICLE) & ~F.regexp_replace(text, ARTICLE, "").rlike(LOWER), F.lit(False))
-
-
-def heading_parts(text: Column) -> Column:
-    """number, suffix, style (letter, paren or dot), word (an item that begins with the word for it) and level (of a title) of a heading."""
-    get = lambda p, i: F.regexp_extract(text, p, i)
-    first = lambda *options: F.coalesce(*[F.when(o != "", o) for o in options], F.lit(""))
-    letter = first(get(ITEM, 2), get(LOOSE_ITEM, 2))
-    paren = first(get(ITEM, 3), get(LOOSE_ITEM, 3))
-    level = F.when(get(TITLE, 1).startswith("T"), 0).when(get(TITLE, 1).startswith("C"), 1).when(get(TITLE, 1).startswith("S"), 2)
-    return F.struct(
-        first(get(ARTICLE, 1), letter, paren, get(ITEM, 4), get(TITLE, 2), get(ANNEX, 1)).alias("number"),
-        F.lower(get(ARTICLE, 2)).alias("suffix"),
-        F.when(letter != "", "letter").when(paren != "", "paren").when(get(ITEM, 4) != "", "dot").alias("style"),
-        (first(get(ITEM, 1), get(LOOSE_ITEM, 1)) != "").alias("word"),
-        level.alias("level"),
-    )
+def heading_groups(text: Column, kind: Column) -> Column:
+    """What heading_parts reads: the groups of the pattern of a heading of that kind, parted by tabs; empty for the other kinds."""
+    groups = lambda p, *g: F.regexp_replace(text, f"(?s){p}.*", "\t".join(f"${i}" for i in g))
+    item = F.when(text.rlike(ITEM), groups(ITEM, 2, 3, 4, 1)).otherwise(F.regexp_replace(text, f"(?s){LOOSE_ITEM}.*", "$2\t$3\t\t$1"))
+    return F.when(kind == "article", groups(ARTICLE, 1, 2)).when(kind == "item", item).when(kind == "title", groups(TITLE, 2, 1)).when(kind == "annex", groups(ANNEX, 1)).otherwise("")
+
+
+def heading_parts(kind: str, groups: str) -> dict:
+    """number, suffix, style (letter, paren or dot), word (an item that begins with the word for it) and level (of a title) that a
+    heading of that kind has."""
+    if kind == "item":
+        *forms, word = groups.split("\t", 3)
+        number, style = next((n, s) for n, s in zip(forms, ("letter", "paren", "dot"), strict=True) if n)
+        return {"number": number, "style": style, "word": bool(word)}
+    number, _, rest = groups.partition("\t")
+    more = {"suffix": rest.lower()} if kind == "article" else {"level": "TCS".index(rest[0])} if kind == "title" else {}
+    return {"number": number, **more}

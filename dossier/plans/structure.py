@@ -54,7 +54,7 @@ WHERE n IS NOT NULL AND doc NOT IN (SELECT l_orderkey FROM lineitem WHERE l_part
 )
 def x21_first(t: Tables):
     """The first article that each norm without annexes has accepted: the first whose number its sequence allows."""
-    units = S.units_of(_paragraphs(t), "doc", "at", "text")
+    units = S.units_of(_paragraphs(t), "doc", "at", "text", ("kind", "unit_type", "key"))
     plain = units.groupBy("doc").agg(F.min_by("key", F.when(F.col("unit_type") == "article", F.col("at"))).alias("key"), F.bool_or(F.col("kind") == "annex").alias("annex"))
     return plain.where("key IS NOT NULL AND NOT annex").select("doc", "key")
 
@@ -80,7 +80,7 @@ def x21_index(t: Tables):
     """Norms with a cover and an index: articles that the index names are no units, unless their headings don't come again in the same part."""
     cases = "CASE at " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(WITH_INDEX, 1)) + " END AS text"
     rows = t.orders.selectExpr("o_orderkey AS doc", "o_custkey AS k", f"explode(sequence(1, {len(WITH_INDEX)})) AS at").selectExpr("doc", "at", cases)
-    return S.units_of(rows, "doc", "at", "text").select("doc", "at", "unit_type", "key")
+    return S.units_of(rows, "doc", "at", "text", ("unit_type", "key"))
 
 
 #: The paragraphs of an article with lists, and the items that they belong to: key, first and last paragraph.
@@ -96,7 +96,7 @@ def x22(t: Tables):
     """The items of two levels of an article: what they are inside of, where they begin and end; a paragraph that presents a list begins a new one."""
     cases = "CASE at " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(WITH_ITEMS, 1)) + " END AS text"
     rows = t.orders.selectExpr("o_orderkey AS doc", "o_custkey AS k", f"explode(sequence(1, {len(WITH_ITEMS)})) AS at").selectExpr("doc", "at", cases)
-    return S.units_of(rows, "doc", "at", "text").where("unit_type = 'item'").select("doc", "at", "key", "parent", "first", "last")
+    return S.units_of(rows, "doc", "at", "text", ("unit_type", "key", "parent", "first", "last")).where("unit_type = 'item'").drop("unit_type")
 
 
 @query("X23_points")

@@ -176,3 +176,51 @@ def test_paragraphs_are_classed_after_they_are_dealt_out(spark):
     plan = S.units_of(rows, "doc", "at", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "rlike" not in plan[plan.index("Exchange hashpartitioning") :].lower()
+
+
+def test_units_over_long_and_many_documents(spark):
+    # documents of equal classes, of other ones, and one longer than what a task walks at once; places have gaps
+    long = ["ARTÍCULO 1°.- Uno."] + ["texto"] * (S.WALKED + 5) + ["ARTÍCULO 2°.- Dos.", "a) uno", "b) dos"]
+    rows = [(d, 10 * i, p if d % 7 else p.replace("bis", "ter")) for d in range(40) for i, p in enumerate(NORM)] + [(99, i, p) for i, p in enumerate(long)] + [(None, 1, "TÍTULO I")]
+    df = spark.createDataFrame(rows, "d int, i int, t string").repartition(3)
+    out = {(r["d"], r["i"]): r for r in S.units_of(df, "d", "i", "t").collect()}
+    assert len(out) == len(rows) - 1
+    for d in range(40):
+        keys = [out[d, 10 * i]["key"] for i in range(len(NORM))]
+        assert keys[12:14] == (["art-1-bis"] if d % 7 else ["art-1-ter"]) * 2 and keys[7:11] == ["art-1/inc-a", "art-1/inc-a/inc-1", "art-1/inc-a/inc-2", "art-1/inc-b"]
+        assert (out[d, 70]["first"], out[d, 70]["last"]) == (70, 90) and (out[d, 120]["first"], out[d, 120]["last"]) == (120, 130)
+    assert out[99, 5]["key"] == "art-1" and out[99, 5]["last"] == S.WALKED + 5 and out[99, len(long) - 1]["key"] == "art-2/inc-b"
+    some = S.units_of(df, "d", "i", "t", ("key", "last"))
+    assert some.columns == ["d", "i", "key", "last"] and {(r["d"], r["i"]): (r["key"], r["last"]) for r in some.collect()} == {k: (r["key"], r["last"]) for k, r in out.items()}
+
+
+def test_equal_documents_are_walked_once(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(S, "_walk", lambda rows: calls.append(len(rows)) or [("text", None, None, None, None, 0, 0)] * len(rows))
+    walked = S._Walked()
+    codes = pa.array(["article\t\t1\t", "text\tpresents\t", "item\t\ta\t\t\tinciso\t"] * 50)
+    numbers = walked.numbers(codes)
+    assert [len(walked.of(numbers[i : i + 3].tobytes())) for i in range(0, 150, 3)] == [3] * 50 and calls == [3]
+    assert [p.kind for p in walked.paragraphs] == ["article", "text", "item"] and walked.paragraphs[1].presents and walked.paragraphs[2][1:5] == ("a", "", "letter", True)
+
+
+def test_paragraphs_are_classed_on_both_sides_of_the_sort(spark):
+    # Java compiles no method of 8,000 bytes of code, and one of all patterns is larger
+    rows = spark.createDataFrame([(1, 1, "a) dos")], "doc long, at long, text string")
+    plan = S.units_of(rows, "doc", "at", "text")._jdf.queryExecution().executedPlan().toString()
+    after, before = plan[: plan.index("Exchange hashpartitioning")].split("- Sort", 1)
+    assert "MapInArrow" in after and "RLIKE" in after and "RLIKE" in before
+
+
+def test_beginnings_are_those_of_the_patterns(spark):
+    import re
+
+    from dossier.functions import headings as H
+
+    lines = [*NORM, "Art. 5. Algo", "INDICE", "ÍNDICE:", "ANEXO", "ANEXO B (x)", "TITULO 2", "SECCIÓN 2ª", "CAPITULO IV", "CLAUSULA TRANSITORIA", "Y CONSIDERANDO:", "CONSIDERANDO", "Digitally signed by X", "Date: 2024.01.02", "NOTA: se publica en la edición web del BORA", "e. 12/03/2024 N° 1234/24 v. 12/03/2024"]
+    for _, pattern, _ in H.LADDER:
+        found = [x for x in lines if re.search(pattern, x)]
+        assert found or pattern in (H.LOOSE_ITEM,)
+        assert all(x.startswith(H.BEGINNINGS.get(pattern, "")) for x in found)
