@@ -69,6 +69,7 @@ def like_forms(forms: list[tuple[str, str]], share: float, containment: bool) ->
                 mine.append((signed, w, turns[w]))
         often.update(mine)
         terms.append(mine)
+    sets = [frozenset(mine) for mine in terms]
     lists: dict[tuple, list[int]] = {}
     out = []
     for j, mine in enumerate(terms):
@@ -82,7 +83,9 @@ def like_forms(forms: list[tuple[str, str]], share: float, containment: bool) ->
         # a form meets the earlier ones of its lists, so a task holds one form's partners
         for i in sorted({i for t in rare for i in lists.get(t, ()) if t[1] != BARE or not n or not terms[i]}):
             few, many = sorted((len(terms[i]), n))
-            if (containment and many - few <= MOST_LEFT_OVER) or 2 * few >= share * (few + many) - 1e-9:
+            # matching runs have no more words than both have in common, in any order, and a contained statement has all of its own in common
+            common = len(sets[i] & sets[j])
+            if (containment and many - few <= MOST_LEFT_OVER and common == few) or 2 * common >= share * (few + many) - 1e-9:
                 if why := _reason(words[i], words[j], share, containment):
                     out.append((i, j, why))
         for t in rare:

@@ -87,3 +87,12 @@ def test_statements_are_shuffled_once(spark, rows):
     df = spark.createDataFrame(rows, "doc int, at int, form string, wide boolean")
     plan = T.unified_like(df, "doc", "at", F.col("form"), F.col("wide"), 0.8, True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "CoGroup" not in plan
+
+
+def test_long_statements_are_compared_too(spark, tmp_path):
+    from dossier.plans import FUNCTIONS
+
+    long = " ".join(f"palabra{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    text = f"{long}\notra cosa\n{long.replace('palabraaa', 'distinta')}\n{long}"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["kept"], r["n"]) for r in FUNCTIONS["X17_similar"](spark, str(tmp_path)).collect()} == {(0, 3), (1, 1)}
